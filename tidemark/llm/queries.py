@@ -3,14 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup
 from ._spark import table
+from .bpe import encode_decode_digests
+from .chat import format_chats, read_back, with_control_case
 from .jaccard_join import near_duplicates
+from .media import media_features, to_media
+from .packing import pack
+
+
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary of the installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join,)}
-ORACLE_SQL_BY_QUERY: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_features(to_media(table(spark, sf_dir, "documents")))
+    return found.drop("frame_offsets")
+
+
+def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(format_chats(with_control_case(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op4_mpeg_audio, op8_hilbert_packing, op9_bpe, op10_chat_format)}
+ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
