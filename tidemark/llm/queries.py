@@ -12,6 +12,7 @@ from .chat import format_chats, read_back, with_control_case
 from .jaccard_join import near_duplicates
 from .media import media_features, to_media
 from .packing import pack
+from .substring_dedup import dedup_substrings
 
 
 def vocabulary_path() -> str:
@@ -31,6 +32,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), window=13, digest=True, layout=False)
+
+
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_features(to_media(table(spark, sf_dir, "documents")))
     return found.drop("frame_offsets")
@@ -48,5 +53,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(with_control_case(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op4_mpeg_audio, op8_hilbert_packing, op9_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op8_hilbert_packing, op9_bpe, op10_chat_format)}
 ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
