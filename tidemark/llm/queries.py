@@ -12,6 +12,7 @@ from .chat import format_chats, read_back, with_control_case
 from .jaccard_join import near_duplicates
 from .media import media_features, to_media
 from .packing import pack
+from .quality import fit, held_out, scored
 from .substring_dedup import dedup_substrings
 
 
@@ -41,6 +42,12 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("frame_offsets")
 
 
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return scored(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False)
 
@@ -53,5 +60,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(with_control_case(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op8_hilbert_packing, op9_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op6_factorisation_machine, op8_hilbert_packing, op9_bpe, op10_chat_format)}
 ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
