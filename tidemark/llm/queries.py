@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, mtree
 from ._spark import table
 from .bpe import encode_decode_digests
 from .chat import format_chats, read_back, with_control_case
 from .jaccard_join import near_duplicates
 from .media import media_features, to_media
+from .mtree import top_k
 from .packing import pack
 from .quality import fit, held_out, scored
 from .substring_dedup import dedup_substrings
@@ -48,6 +49,11 @@ def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path(), keep_ids=False)
 
@@ -60,5 +66,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(with_control_case(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op6_factorisation_machine, op8_hilbert_packing, op9_bpe, op10_chat_format)}
-ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op6_factorisation_machine, op7_mtree_search, op8_hilbert_packing, op9_bpe, op10_chat_format)}
+ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op7_mtree_search": mtree.ORACLE}
