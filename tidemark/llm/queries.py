@@ -9,6 +9,7 @@ from . import line_dedup, mtree
 from ._spark import table
 from .bpe import encode_decode_digests
 from .chat import format_chats, read_back, with_control_case
+from .html_extract import extract_pages
 from .jaccard_join import near_duplicates
 from .media import media_features, to_media
 from .mtree import top_k
@@ -43,6 +44,10 @@ def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("frame_offsets")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
@@ -66,5 +71,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(with_control_case(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op6_factorisation_machine, op7_mtree_search, op8_hilbert_packing, op9_bpe, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op5_html_extract, op6_factorisation_machine, op7_mtree_search, op8_hilbert_packing, op9_bpe, op10_chat_format)}
 ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op7_mtree_search": mtree.ORACLE}
