@@ -203,8 +203,8 @@ class Model:
 
 
 def label_pages(n: int = LABELLED, seed: int = 11):
-    """(html, labels by marker) of n pages made by rule. Each block element has data-y="1" if it
-    is content, else "0"."""
+    """(html, the root's label) of n pages made by rule. Each block element but html has
+    data-y="1" if it is content, else "0"."""
     r = random.Random(seed)
     words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(300)]
 
@@ -295,7 +295,11 @@ def label_pages(n: int = LABELLED, seed: int = 11):
         around = [f() for f in (head, menu) if r.random() < 0.7] + [f() for f in (advert, notice, form) if r.random() < 0.3]
         after = [f() for f in (side, comments, share, advert, notice) if r.random() < 0.35] + [foot()] * (r.random() < 0.9)
         body = "".join(around) + main + "".join(after)
-        yield f"<html><head><title>{say(2, 6)}</title></head><body>{el('div', 0, body, named('page', 'wrapper', 'container')) if r.random() < 0.3 else body}</body></html>"
+        bare = int(kind >= 0.95)  # then the body itself is content
+        if not bare and r.random() < 0.3:
+            body = el("div", 0, body, named("page", "wrapper", "container"))
+        whole = f"<html><head><title>{say(2, 6)}</title></head>{el('body', bare, body)}</html>"
+        yield (whole, 0) if r.random() < 0.85 else (body, bare)
 
 
 @cache
@@ -304,18 +308,17 @@ def trained(n: int = LABELLED) -> Model:
     nodes = [np.full((k, 2), 0.5) for k in FEATURES]
     edges, root = np.full((len(TAGS), 2, 2), 0.5), np.array([1.0, 0.5])
     label = re.compile(r"""<([a-z0-9]+) data-y="([01])\"""")
-    for source in label_pages(n):
+    for source, base in label_pages(n):
         marks = [int(y) for tag, y in label.findall(source) if tag not in INLINE]
         page = Page(source)
-        shells = len(page.parent) - len(marks)  # the root, html and body come first and aren't content
-        y = np.array([0] * shells + marks)
+        y = np.array([base] * (len(page.parent) - len(marks)) + marks)
         x = page.node_features()
         for i, table in enumerate(nodes):
             np.add.at(table, (x[:, i], y), 1)
         up = np.array(page.parent)
         at = np.flatnonzero(up >= 0)
         np.add.at(edges, (x[at, 0], y[up[at]], y[at]), 1)
-        root[0] += 1
+        root[base] += 1
     share = nodes[0].sum(axis=0)
     tables = []
     for i, table in enumerate(nodes):
