@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import of
 
 #: The pattern of byte-level vocabularies of this kind, with white space as Unicode has it.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PIECES_KEPT = 200_000  # encodings kept by a task
 LONGEST_KEPT = 64  # characters of a piece that may be kept
 
-_loaded: dict[str, "Bpe"] = {}
+_loaded: dict[tuple, "Bpe"] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,6 +42,8 @@ def byte_letters() -> dict[str, int]:
 class Bpe(dict):
     """A vocabulary; as a dict, the packed little-endian 32-bit ids of pieces."""
 
+    kept = PIECES_KEPT
+
     def __init__(self, path: str):
         super().__init__()
         with open(path, encoding="utf-8") as f:
@@ -62,7 +64,7 @@ class Bpe(dict):
     def __missing__(self, piece: str) -> bytes:
         packed = np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= PIECES_KEPT:
+            if len(self) >= self.kept:
                 self.clear()
             self[piece] = packed
         return packed
@@ -90,16 +92,19 @@ class Bpe(dict):
                 heapq.heappush(queue, (found[0], h, found[1], ids[h], new))
         return [x for x in ids if x >= 0]
 
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        return b"".join(map(self.__getitem__, self.pieces(text)))
+
     def packed(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit numbers."""
         if self.cut is None or not self.cut.search(text):
-            return b"".join(map(self.__getitem__, self.pieces(text)))
+            return self.plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += map(self.__getitem__, self.pieces(text[at : m.start()]))
-            out.append(np.array([self.specials[m[0]]], "<u4").tobytes())
+            out += [self.plain(text[at : m.start()]), np.array([self.specials[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return b"".join([*out, *map(self.__getitem__, self.pieces(text[at:]))])
+        return b"".join([*out, self.plain(text[at:])])
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that aren't UTF-8 become U+FFFD, unknown ids nothing."""
@@ -112,11 +117,11 @@ def ship_vocabulary(spark: SparkSession, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def vocabulary(name: str) -> Bpe:
+def vocabulary(name: str, kind: type[Bpe] = Bpe) -> Bpe:
     """In a task: the vocabulary, read once by each Python worker."""
-    if name not in _loaded:
-        _loaded[name] = Bpe(SparkFiles.get(name))
-    return _loaded[name]
+    if (name, kind) not in _loaded:
+        _loaded[name, kind] = kind(SparkFiles.get(name))
+    return _loaded[name, kind]
 
 
 def _digest(ids: np.ndarray, names: dict[int, bytes]) -> str:

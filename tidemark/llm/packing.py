@@ -16,7 +16,9 @@ are packed each for itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._spark import of
 from ._text import chunks, hashes, utf8, words
-from .bpe import ship_vocabulary, vocabulary
+from .bpe import LONGEST_KEPT, PATTERN, SPACE, Bpe, ship_vocabulary, vocabulary
 
 WIDTH = 64  # of the hashed vectors
 DIMS, BITS = 3, 12  # of the curve
@@ -85,6 +87,37 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key)], ["doc_id", "text", "key"])
 
 
+class _Words(Bpe):
+    """The vocabulary with its merges done by a compiled library: same ids, for the many rare words.
+
+    No piece of the pattern reaches over a space that something other than white space
+    follows, so texts are encoded, and encodings kept, word by word.
+    """
+
+    kept = 500_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+
+        ranks = {s: i for i, s in self.strings.items() if i not in self.specials.values()}
+        self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.uneven = re.compile(rf"\0| (?:[{SPACE}]|\Z)").search
+
+    def __missing__(self, word: str) -> bytes:
+        packed = array("I", self.encode(word)).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.kept:
+                self.clear()
+            self[word] = packed
+        return packed
+
+    def plain(self, text: str) -> bytes:
+        if self.uneven(text):
+            return array("I", self.encode(text)).tobytes()
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
+
+
 class Packer:
     """Deals out documents' ids to sequences; add() and close() give finished pieces."""
 
@@ -139,7 +172,7 @@ def _packed(name: str, length: int, close_id: int, keep_ids: bool):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if keep_ids and i == 3 else pa.int64()) for i, v in enumerate(x)], titles)
 
     def run(batches):
-        bpe = vocabulary(name)
+        bpe = vocabulary(name, _Words)
         packer = Packer(length, TaskContext.get().partitionId() << 33, keep_ids)
         rows: list[tuple] = []
         for b in batches:
