@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -28,3 +30,15 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(_ROOT)))
     sc.addPyFile(path)
     sc._tidemark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, found, True)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
