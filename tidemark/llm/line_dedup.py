@@ -41,9 +41,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return likely.where(sure).select("h1", "h2", "keeper").unionByName(near.where(F.col("exact") >= min_sites).drop("exact"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(doc_id, text, source, n_lines, n_removed, kept_text) for each row of docs."""
-    d = of(docs, doc_id="long", text="string", source="string").withColumn("tie", F.xxhash64("text"))
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, source, *keep, n_lines, n_removed, kept_text) for each row of docs. keep: further text columns."""
+    d = of(docs, doc_id="long", text="string", source="string", **{c: "string" for c in keep}).withColumn("tie", F.xxhash64("text"))
     lines = _lines(d)
     found = lines.join(boilerplate(lines, min_sites), ["h1", "h2"]).where("doc_id is null or doc_id > keeper")
     gone = found.groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_tie")
@@ -54,6 +54,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         "doc_id",
         "text",
         "source",
+        *keep,
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
