@@ -128,8 +128,12 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return parse_calendar(spark.read.text(path, wholetext=True), "value")
 
 
-def nested_rule_files(spark: SparkSession, root: str, name: str = ".gitignore") -> DataFrame:
-    """(dir, line_no, line) of every rule file below a root, for compose_rules()."""
+def nested_rule_files(spark: SparkSession, root: str, name: str = "gitignore") -> DataFrame:
+    """(dir, line_no, line) of every rule file below a root, for compose_rules().
+
+    Spark's readers skip files whose names begin with a dot, so the tree must hold the rule
+    files without it (as an export does).
+    """
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
     rel = F.substring_index("path", base, -1)
