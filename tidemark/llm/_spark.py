@@ -49,3 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fields(**kinds: str) -> T.StructType:
     return T._parse_datatype_string(", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+
+
+WORDS = 1 << 20  # 64-bit words of a membership filter: at most so many rows are broadcast
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with a column `maybe`: false only if df[key] is surely not in ids (one bigint column).
+
+    A bitmap of 64 * WORDS hashed cells, made by aggregation and broadcast: its size is
+    bounded whatever the data's. An exact join follows; this keeps rows out of its shuffle.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * WORDS))
+    (name,) = ids.columns
+    words = ids.select(F.shiftright(cell(name), 6).cast("int").alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{name}`), {64 * WORDS}L) & 63 AS int))").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    out = df.withColumn("_word", F.shiftright(cell(key), 6).cast("int")).join(F.broadcast(words), "_word", "left")
+    on = F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64(`{key}`), {64 * WORDS}L) & 63 AS int)) & 1L") == 1
+    return out.withColumn("maybe", F.coalesce(on, F.lit(False))).drop("_word", "_bits")

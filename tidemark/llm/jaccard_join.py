@@ -8,13 +8,17 @@
 3. The token-group matrix has a row (token, group, smallest and largest set) for each token
    of the union of a group's prefixes. Prefixes follow one global order, rare tokens first:
    a class of n shingles shares at least ceil(t * n) with any partner, so its first
-   n - ceil(t * n) + 1 tokens must meet the partner's. The order comes from a sketch of
-   fixed size, so frequent passages stay out of prefixes; any order would be exact.
-4. A query class meets the groups that own one of its prefix tokens and fit in size, and is
-   verified against the group's leader. Links so far are contracted into components.
-5. Pairs of class and group still apart are bounded: the query's overlap with the union of
-   all tokens of a part of the group (about `PART` classes) must reach ceil(t * n). Only
-   parts that reach it are opened, and their classes verified one by one.
+   n - ceil(t * n) + 1 tokens must meet the partner's. The order comes from a frequency
+   sketch of bounded size, so frequent passages, and what copies of one text share, stay out
+   of prefixes as far as can be; any order would be exact.
+4. A query class meets the groups that own one of its prefix tokens and fit in size; the
+   number of prefix tokens met bounds its overlap with every class of the group, and only
+   groups that reach the bound go on. They are verified against the group's leader, and
+   links so far are contracted into components.
+5. Groups of several classes that are still apart from their query are bounded again, by the
+   query's overlap with the union of all tokens of a part of the group (about `PART`
+   classes). Only parts that reach ceil(t * n) are opened: a block of queries and a part
+   meet in one task, where pairs are verified until a query has a link to the group.
 
 No cap is set anywhere: a link is missed only if two 64-bit hashes collide within a pair.
 Rows with a null doc_id or an empty set take no part in links. Rows that share a doc_id are
@@ -24,39 +28,73 @@ versions of one document: a link of one counts for it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, of
+from ._spark import cut, maybe_in, of, written
 from ._text import mix, shingle_sets
 from .components import components
 
-BUCKETS = 1 << 18  # cells of the frequency sketch: 1 MB on the driver and in each task
-PART = 64  # classes of a group whose tokens make one union
+MAX_CELLS = 1 << 24  # of the frequency sketch: 16 MB on the driver and in each task, at most
+SHARDS, FAN = 64, 8
+PART, BLOCK = 64, 256  # classes of a group whose tokens make one union; queries that meet them at a time
 
 
-def _counts(k: int):
+def _packed(shard: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["shard", "salt", "counts"])
+
+
+def _counts(k: int, cells: int):
+    """Each task's document counts of hashed tokens, up to 255, as compressed shards."""
+
     def run(batches):
-        cells = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(cells, np.uint32)
         for b in batches:
             for _, s in shingle_sets(b.column(0), k):
-                np.add.at(cells, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
+                np.add.at(counts, (s & np.uint64(cells - 1)).astype(np.int64), 1)
+        small, wide = np.minimum(counts, 255).astype(np.uint8), cells // SHARDS
+        for shard in range(SHARDS):
+            part = small[shard * wide : (shard + 1) * wide]
+            if part.any():
+                yield _packed(shard, TaskContext.get().partitionId() % FAN, part)
+
+    return run
+
+
+def _summed(kind, classes: bool):
+    """Adds up shards, streaming; at last gives each cell's class, the bits of its count."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for shard, _, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                x = np.frombuffer(zlib.decompress(x), kind).astype(np.uint32)
+                sums[shard] = sums[shard] + x if shard in sums else x
+        for shard, x in sums.items():
+            yield _packed(shard, 0, np.ceil(np.log2(x + 1.0)).astype(np.uint8) if classes else x)
 
     return run
 
 
 def token_order(docs: DataFrame, k: int):
-    """Broadcast of each sketch cell's frequency class (bits of its count)."""
-    cells = docs.select("text").mapInArrow(_counts(k), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    order = np.zeros(BUCKETS, np.uint8)
-    for r in cells.toLocalIterator():  # at most BUCKETS rows
-        order[r.cell] = int(r.n).bit_length()
+    """Broadcast of each sketch cell's frequency class. Its size follows the input's up to MAX_CELLS."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = 1 << 16
+    while 8 * cells < size and cells < MAX_CELLS:
+        cells *= 2
+    kind, wide = "shard int, salt int, counts binary", cells // SHARDS
+    parts = docs.select("text").mapInArrow(_counts(k, cells), kind)
+    parts = parts.repartition("shard", "salt").mapInArrow(_summed(np.uint8, False), kind)
+    parts = parts.repartition("shard").mapInArrow(_summed(np.uint32, True), kind)
+    order = np.zeros(cells, np.uint8)
+    for r in parts.toLocalIterator():  # SHARDS rows
+        order[r.shard * wide : (r.shard + 1) * wide] = np.frombuffer(zlib.decompress(r.counts), np.uint8)
     return docs.sparkSession.sparkContext.broadcast(order)
 
 
@@ -69,7 +107,7 @@ def _signatures(k: int, num: int, den: int, order):
                 fp.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest())
                 least.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).min().astype(np.int64)) if len(s) else None)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                rank = order.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                rank = order.value[(s & np.uint64(len(order.value) - 1)).astype(np.int64)]
                 prefix.append(s[np.argsort(rank, kind="stable")[:p]].astype(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
@@ -141,42 +179,114 @@ def _bounded(k: int, num: int, den: int):
     return run
 
 
+def _opened(k: int, num: int, den: int):
+    """Links of a block of queries to an opened part of a group.
+
+    A group's classes are one component already, so a query's first link to it is enough.
+    """
+
+    def sets(rows: pa.Table):
+        for b in rows.to_batches():
+            ids = b.column("id").to_pylist()
+            for i, s in shingle_sets(b.column("text"), k):
+                yield ids[i], s
+
+    def run(queries: pa.Table, held: pa.Table) -> pa.Table:
+        inside, found = list(sets(held)), []
+        for a, x in sets(queries):
+            for b, y in inside:
+                if len(x) and len(y) and den * min(len(x), len(y)) >= num * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        found.append((a, b))
+                        break
+        x = list(zip(*found)) or [(), ()]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in x], ["a", "b"])
+
+    return run
+
+
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    text = docs.where("doc_id is not null")
-    out = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return out.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """(a, b, ta, tb); texts that no pair needs stay out of the shuffle."""
 
+    def texts(side: str) -> DataFrame:
+        near = maybe_in(docs.where("doc_id is not null"), "doc_id", pairs.select(side)).where("maybe")
+        return near.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}"))
 
-def token_group_matrix(classes: DataFrame) -> DataFrame:
-    """(token, g, lo, hi) from classes (rep, n, prefix, g)."""
-    rows = classes.select(F.explode("prefix").alias("token"), "g", "n")
+    return pairs.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "ta", "tb")
+
+
+def token_group_matrix(rows: DataFrame) -> DataFrame:
+    """(token, g, lo, hi) from prefix tokens of classes (token, a, n, g)."""
     return rows.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
 
 
+def _need(n, lo, hi, num: int, den: int):
+    """Least number of matching prefix tokens of a class of n shingles and a similar one of lo to hi.
+
+    Similar classes of n and m share at least s = ceil(num * (n + m) / (num + den)). Up to the
+    earlier end of both prefixes every shared token is matched and at most n - s (or m - s)
+    are not, so matches are at least s - ceil(t * n) + 1, or the same with m. The first rises
+    with m and the second falls; over several m one is taken off for rounding.
+    """
+    share = lambda m: F.ceil(num * (n + m) / (num + den))
+    least = lambda m: F.ceil(num * m / den)
+    return F.least(share(lo) - least(n), share(hi) - least(hi)) + F.when(lo == hi, 1).otherwise(0)
+
+
+def bounded_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, g): classes and the groups, of smaller id than their own, that they may be similar to.
+
+    Matches with a group's union bound those with any of its classes from above.
+    """
+    matrix = token_group_matrix(rows)
+    asked = rows.withColumnRenamed("g", "own")
+    fits = (F.col("own") > F.col("g")) & (den * F.col("n") >= num * F.col("lo")) & (num * F.col("n") <= den * F.col("hi"))
+    met = asked.join(matrix, "token").where(fits).groupBy("a", "g", "n").agg(F.count("*").alias("met"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return met.where(F.col("met") >= _need(F.col("n"), F.col("lo"), F.col("hi"), num, den)).select("a", "g").distinct()
+
+
+def _bounded_pairs(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes whose prefixes match often enough."""
+
+    def prefixes(side: str) -> DataFrame:
+        near = maybe_in(sigs.select("doc_id", "n", "prefix"), "doc_id", pairs.select(side)).where("maybe")
+        return near.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}"))
+
+    j = pairs.join(prefixes("a"), "a").join(prefixes("b"), "b")
+    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.size(F.array_intersect("pa", "pb")) >= _need(F.col("na"), F.col("nb"), F.col("nb"), num, den))
+    return j.where(fits).select("a", "b").distinct()
+
+
 def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles) of all documents, and links (a, b) that join up each component.
 
     Two documents are similar when den * |intersection| >= num * |union|.
     """
     docs = of(docs, doc_id="long", text="string")
-    sigs = cut(docs.mapInArrow(_signatures(words, num, den, token_order(docs, words)), "doc_id long, n long, fp binary, least long, prefix array<long>"))
-    live = sigs.where("doc_id is not null and n > 0")
-    firsts = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    copies = live.select("doc_id", "fp").join(firsts.where("rows > 1"), "fp").where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    same = live.join(firsts.select("fp", F.col("rep").alias("doc_id"), "rows"), ["fp", "doc_id"])
-    classes = cut(same.select(F.col("doc_id").alias("rep"), "n", "least", "prefix").dropDuplicates(["rep", "n", "least"]))
-
     verified = lambda pairs: cut(_with_texts(pairs, docs).mapInArrow(_verified(words, num, den), "a long, b long").distinct())
-    buckets = classes.groupBy("least").agg(F.min("rep").alias("b"), F.count("*").alias("rows")).where("rows > 1")
-    stars = verified(classes.select(F.col("rep").alias("a"), "least").join(buckets, "least").where("a > b").select("a", "b"))
-    led = stars.groupBy("a").agg(F.min("b").alias("b"))  # a doc_id of several versions may have two leaders
-    classes = classes.join(led.withColumnRenamed("a", "rep"), "rep", "left").withColumn("g", F.coalesce("b", "rep")).drop("b")
-
-    matrix = token_group_matrix(classes)
-    shared = matrix.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token")
-    asked = classes.select(F.explode("prefix").alias("token"), F.col("rep").alias("a"), "n", F.col("g").alias("own"))
-    fits = (F.col("own") > F.col("g")) & (den * F.col("n") >= num * F.col("lo")) & (num * F.col("n") <= den * F.col("hi"))
-    candidates = cut(asked.join(matrix.join(shared, "token"), "token").where(fits).select("a", "g").distinct())
+
+    sigs = written(docs.mapInArrow(_signatures(words, num, den, token_order(docs, words)), "doc_id long, n long, fp binary, least long, prefix array<long>"))
+    live = sigs.where("doc_id is not null and n > 0")
+    firsts = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    copies = cut(live.select("doc_id", "fp").join(firsts, "fp").where("doc_id > rep"))
+
+    own = live.select("doc_id", "fp", "least").join(copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("a"), "least")
+    own = cut(own)
+    buckets = own.groupBy("least").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").drop("last")
+    near = cut(own.join(buckets, "least").where("a > b").select("a", "b").distinct())
+    stars = verified(cut(_bounded_pairs(near, live, num, den)))
+    led = cut(stars.groupBy("a").agg(F.min("b").alias("b")))  # versions of one doc_id may have two leaders
+
+    marked = maybe_in(live.select("doc_id", "fp", "n", "prefix"), "doc_id", copies.select("doc_id").unionByName(led.select(F.col("a").alias("doc_id"))))
+    alone = marked.where("not maybe").select("doc_id", "n", "prefix", F.col("doc_id").alias("g"))
+    grouped = marked.where("maybe").join(copies, ["doc_id", "fp"], "left_anti").join(led.withColumnRenamed("a", "doc_id"), "doc_id", "left")
+    grouped = grouped.select("doc_id", "n", "prefix", F.coalesce("b", "doc_id").alias("g"))
+    rows = alone.unionByName(grouped).select(F.explode("prefix").alias("token"), F.col("doc_id").alias("a"), F.col("n").cast("int"), "g")
+    shared = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token")
+    rows = cut(maybe_in(rows, "token", cut(shared)).where("maybe").drop("maybe"))
+
+    candidates = cut(bounded_groups(rows, num, den))
     found = verified(candidates.select("a", F.col("g").alias("b")))
     links = stars.unionByName(found)
 
@@ -188,13 +298,23 @@ def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     if not apart.isEmpty():
         parts = lambda who: F.pmod(F.xxhash64(who), F.ceil(F.col("members") / PART)).cast("int")
         touched = apart.select("g", "members").distinct()
-        members = cut(led.select(F.col("a").alias("b"), F.col("b").alias("g")).join(touched, "g").withColumn("part", parts("b")).drop("members"))
-        texts = members.join(docs.where("doc_id is not null").withColumnRenamed("doc_id", "b"), "b").select("g", "part", "text")
+        led = led.select(F.col("a").alias("b"), F.col("b").alias("g"))
+        members = cut(led.join(touched, "g").withColumn("part", parts("b")).drop("members"))
+        known = maybe_in(docs.where("doc_id is not null"), "doc_id", members.select("b").unionByName(apart.select(F.col("a").alias("b")))).where("maybe").drop("maybe")
+        texts = members.join(known.withColumnRenamed("doc_id", "b"), "b").select("g", "part", "text")
         unions = texts.groupBy("g", "part").applyInArrow(_union(words), "g long, part int, tokens binary, least long")
-        asks = apart.join(docs.where("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        asks = apart.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").drop("members")
         opened = asks.join(unions, "g").select("a", "g", "part", "ta", "tokens", "least").mapInArrow(_bounded(words, num, den), "a long, g long, part int")
-        links = links.unionByName(verified(opened.distinct().join(members, ["g", "part"]).select("a", "b")))
-    return sigs.select("doc_id", F.col("n").alias("n_shingles")), copies.unionByName(links)
+        opened = cut(opened.distinct())
+        blocks = opened.groupBy("g", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        blocked = opened.join(blocks, ["g", "part"]).withColumn("block", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+        queries = blocked.join(asks, ["a", "g"]).select("g", "part", "block", F.col("a").alias("id"), F.col("ta").alias("text"))
+        held = blocked.select("g", "part", "block").distinct().join(members, ["g", "part"]).join(known.withColumnRenamed("doc_id", "b"), "b")
+        held = held.select(*[F.col(c).alias(c) for c in ("g", "part", "block")], F.col("b").alias("id"), "text")
+        keys = ["g", "part", "block"]
+        links = links.unionByName(cut(queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_opened(words, num, den), "a long, b long")))
+    copied = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return sigs.select("doc_id", F.col("n").alias("n_shingles")), copied.unionByName(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -211,4 +331,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5)
 def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs without every document that another of its group comes before; rows with null doc_id stay."""
     gone = near_duplicates(docs, words, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
