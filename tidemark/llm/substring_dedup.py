@@ -5,12 +5,14 @@
    least as many documents as any window it stands for. Each map task counts anchors, once
    for each document, in a count-min sketch of two rows of saturating cells (0, 1, many); it
    sends the cells it touched, sorted and compressed. Sketches are merged in two levels by
-   shard, streaming, and only the bits "many" are kept and broadcast. Their size follows the
+   shard, streaming, and only the bits "many" are kept and sent to all tasks as a file. Their size follows the
    input's up to `MAX_CELLS` (2 rows, 64 MB each at the bound), then stays: beyond it more
    windows pass to step 2, and the result is the same.
 2. Only windows whose anchor is "many" in both rows go on. The sketch never counts too low, so
    no repeated window is lost; those let through by chance fall out here: windows are
    grouped exactly by a 128-bit hash, and each takes the smallest doc_id.
+   Exact copies of a whole text are set apart before both steps: all their windows are
+   repeated, so only the copy with the smallest doc_id is worth counting.
 3. Words covered by a window that starts in a document with a smaller doc_id are removed.
 
 Windows are judged on the input. Null texts are empty; rows that share a doc_id don't remove
@@ -20,20 +22,22 @@ from each other, and rows with a null doc_id neither remove nor lose anything.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 import zlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import of
+from ._spark import cut, maybe_in, of
 from ._text import BLOCK, chunks, grams, hashes, mix, utf8, words
 
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
-SHARDS, FAN = 64, 8
+SHARDS, FAN, FLUSH = 64, 8, 1 << 21
 _ROWS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15))
 _PART = "side int, shard int, salt int, ones binary, many binary"
 
@@ -96,7 +100,7 @@ def _sketched(window: int, cells: int):
                 new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
                 found.append(a[new])
                 held += int(new.sum())
-                if held > 4 * BLOCK:
+                if held > FLUSH:
                     yield _part_batch(rows(found))
                     found, held = [], 0
         if held:
@@ -112,14 +116,21 @@ def _part_batch(rows) -> pa.RecordBatch:
 
 
 def _merged(wide: int, dense: bool):
-    """Adds up rows of _PART by shard; a task holds the planes of the shards dealt to it."""
+    """Adds up rows of _PART sorted by shard; a task holds one shard's planes at a time."""
     bits = lambda x: np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).astype(bool)
 
+    def flush(key, one, many):
+        packed = [zlib.compress(np.packbits(p).tobytes(), 1) for p in (one, many)]
+        return _part_batch([(*key, 0, *packed)])
+
     def run(batches):
-        planes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        last, one, many = None, None, None
         for b in batches:
             for side, shard, _, x, y in zip(*(b.column(i).to_pylist() for i in range(5))):
-                one, many = planes.setdefault((side, shard), (np.zeros(wide, bool), np.zeros(wide, bool)))
+                if (side, shard) != last:
+                    if last is not None:
+                        yield flush(last, one, many)
+                    last, one, many = (side, shard), np.zeros(wide, bool), np.zeros(wide, bool)
                 if dense:
                     new, more = bits(x), bits(y)
                     many |= more | (one & new)
@@ -130,35 +141,37 @@ def _merged(wide: int, dense: bool):
                     many[more] = True
                     one[at] = True
                     one[more] = True
-        for (side, shard), (one, many) in planes.items():
-            packed = [zlib.compress(np.packbits(p).tobytes(), 1) for p in (one, many)]
-            yield _part_batch([(side, shard, 0, *packed)])
+        if last is not None:
+            yield flush(last, one, many)
 
     return run
 
 
 def repeated_cells(docs: DataFrame, window: int):
-    """(broadcast of the two rows' "many" bits, cells of a row)."""
+    """(file of the two rows' "many" bits, cells of a row)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = MIN_CELLS
-    while cells < size and cells < MAX_CELLS:  # about one anchor in 25 bytes: a load below a tenth
+    while 2 * cells < size and cells < MAX_CELLS:  # about one anchor in 25 bytes: a load of a tenth
         cells *= 2
-    cells = min(MAX_CELLS, max(MIN_CELLS, cells // 4))
     wide = cells // SHARDS
     parts = docs.select("text").mapInArrow(_sketched(window, cells), _PART)
-    parts = parts.repartition("side", "shard", "salt").mapInArrow(_merged(wide, False), _PART)
-    parts = parts.repartition("side", "shard").mapInArrow(_merged(wide, True), _PART)
+    parts = parts.repartition("side", "shard", "salt").sortWithinPartitions("side", "shard").mapInArrow(_merged(wide, False), _PART)
+    parts = parts.repartition("side", "shard").sortWithinPartitions("side", "shard").mapInArrow(_merged(wide, True), _PART)
     out = np.zeros((2, cells // 8), np.uint8)
     for r in parts.select("side", "shard", "many").toLocalIterator():  # 2 * SHARDS rows, cells / 4 bytes in all
         out[r.side, r.shard * wide // 8 : (r.shard + 1) * wide // 8] = np.frombuffer(zlib.decompress(r.many), np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(out), cells
+    fd, path = tempfile.mkstemp(prefix="many-")
+    with os.fdopen(fd, "wb") as f:
+        f.write(out.tobytes())
+    docs.sparkSession.sparkContext.addFile(path)  # Spark serves it; tasks map it, so an executor holds it once
+    return os.path.basename(path), cells
 
 
 def _windows(window: int, many, cells: int):
     """(h1, h2, doc_id, tie, pos) of windows that the sketch takes for repeated."""
 
     def run(batches):
-        planes = many.value
+        planes = np.memmap(SparkFiles.get(many), np.uint8, "r").reshape(2, cells // 8)
         for b in batches:
             ids, ties = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for first, data, offsets in chunks(*utf8(b.column(2)), BLOCK):
@@ -175,7 +188,7 @@ def _windows(window: int, many, cells: int):
                 h2 = grams(hashes(data, starts, ends, seed=1), window)[at]
                 row = doc[at]
                 pos = at - np.searchsorted(doc, row)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(ids[first + row]), pa.array(ties[first + row]), pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "tie", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(ids[first + row]), pa.array(ties[first + row]), pa.array(pos.astype(np.int32))], ["h1", "h2", "doc_id", "tie", "pos"])
 
     return run
 
@@ -183,25 +196,35 @@ def _windows(window: int, many, cells: int):
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, tie, pos) of each window that also starts in a document with a smaller doc_id.
 
-    docs: doc_id, tie (a hash of the text), text.
+    docs: doc_id, tie (a 32-bit hash of the text), text.
     """
-    d = docs.where("doc_id is not null").select("doc_id", "tie", "text")
-    many, cells = repeated_cells(d, window)
-    rows = d.mapInArrow(_windows(window, many, cells), "h1 long, h2 long, doc_id long, tie long, pos int")
+    many, cells = repeated_cells(docs, window)
+    rows = docs.mapInArrow(_windows(window, many, cells), "h1 long, h2 int, doc_id long, tie int, pos int")
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     return rows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "tie", "pos")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie) of documents whose whole text a smaller doc_id has too."""
+    d = docs.select("doc_id", "tie", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    first = d.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return cut(d.join(first, ["t1", "t2"]).where("doc_id > first").select("doc_id", "tie").distinct())
+
+
 def _removed(window: int, digest: bool, layout: bool):
     def run(batches):
         for b in batches:
-            texts, gone = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
+            texts, gone, copied = (b.column(b.num_columns - i) for i in (3, 2, 1))
+            whole = copied.to_pylist()
             total, removed, kept = [], [], []
             for i in range(len(texts)):
                 raw = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
                 parts = raw.split()  # at 0x20 and 0x09-0x0D
                 n, out = len(parts), None
-                if gone[i].is_valid and len(gone[i]):
+                if whole[i] and n >= window:
+                    out = b""
+                    removed.append(n)
+                elif gone[i].is_valid and len(gone[i]):
                     p = gone[i].values.to_numpy(zero_copy_only=False)
                     steps = np.zeros(n + 1, np.int64)
                     steps[np.unique(p)] += 1
@@ -214,8 +237,8 @@ def _removed(window: int, digest: bool, layout: bool):
                     removed.append(0)
                 total.append(n)
                 kept.append(hashlib.sha256(out).hexdigest() if digest else out.decode())
-            names = [*b.schema.names[:-2], "n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names)
+            names = [*b.schema.names[:-3], "n_words", "n_removed", "kept_sha256" if digest else "kept_text"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names)
 
     return run
 
@@ -237,8 +260,16 @@ def dedup_substrings(docs: DataFrame, window: int = 50, digest: bool = False, la
     kept_text keeps the white space between kept words, or one space with layout=False;
     with digest its SHA-256 stands instead, as kept_sha256. keep: further text columns.
     """
-    d = of(docs, doc_id="long", text="string", **{c: "string" for c in keep}).withColumn("tie", F.xxhash64("text"))
-    gone = repeated_windows(d, window).groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone"))
-    out = d.join(gone, ["doc_id", "tie"], "left").select("doc_id", *keep, "text", "gone")
+    d = of(docs, doc_id="long", text="string", **{c: "string" for c in keep}).withColumn("tie", F.hash("text"))
+    known = d.where("doc_id is not null").select("doc_id", "tie", "text")
+    copies = _copies(known)
+    marked = maybe_in(known, "doc_id", copies.select("doc_id"))
+    counted = marked.where("not maybe").unionByName(marked.where("maybe").join(copies, ["doc_id", "tie"], "left_anti")).drop("maybe")
+    gone = repeated_windows(counted, window).groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone"))
+    gone = cut(gone.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", "tie", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("copied"))))
+    marked = maybe_in(d, "doc_id", gone.select("doc_id"))
+    same = marked.where("not maybe").select("doc_id", *keep, "text", F.lit(None).cast("array<int>").alias("gone"), F.lit(False).alias("copied"))
+    out = marked.where("maybe").join(gone, ["doc_id", "tie"], "left").select("doc_id", *keep, "text", "gone", F.coalesce("copied", F.lit(False)).alias("copied"))
+    out = same.unionByName(out)
     schema = ", ".join(["doc_id long", *(f"`{c}` string" for c in keep), "n_words long", "n_removed long", "kept_sha256 string" if digest else "kept_text string"])
     return out.mapInArrow(_removed(window, digest, layout), schema)
