@@ -54,13 +54,14 @@ def _counts(k: int, cells: int):
     """Each task's document counts of hashed tokens, up to 255, as compressed shards."""
 
     def run(batches):
-        counts = np.zeros(cells, np.uint32)
+        counts, wide = np.zeros(cells, np.uint8), cells // SHARDS
         for b in batches:
             for _, s in shingle_sets(b.column(0), k):
-                np.add.at(counts, (s & np.uint64(cells - 1)).astype(np.int64), 1)
-        small, wide = np.minimum(counts, 255).astype(np.uint8), cells // SHARDS
+                at = (s & np.uint64(cells - 1)).astype(np.int64)
+                seen = counts[at]
+                counts[at] = seen + (seen < 255)
         for shard in range(SHARDS):
-            part = small[shard * wide : (shard + 1) * wide]
+            part = counts[shard * wide : (shard + 1) * wide]
             if part.any():
                 yield _packed(shard, TaskContext.get().partitionId() % FAN, part)
 

@@ -94,7 +94,7 @@ class _Words(Bpe):
     follows, so texts are encoded, and encodings kept, word by word.
     """
 
-    kept = 500_000
+    kept = 150_000
 
     def __init__(self, path: str):
         super().__init__(path)
