@@ -162,16 +162,28 @@ def repeated_cells(docs: DataFrame, window: int):
         out[r.side, r.shard * wide // 8 : (r.shard + 1) * wide // 8] = np.frombuffer(zlib.decompress(r.many), np.uint8)
     fd, path = tempfile.mkstemp(prefix="many-")
     with os.fdopen(fd, "wb") as f:
-        f.write(out.tobytes())
-    docs.sparkSession.sparkContext.addFile(path)  # Spark serves it; tasks map it, so an executor holds it once
+        f.write(zlib.compress(out.tobytes(), 1))  # few bits are set
+    docs.sparkSession.sparkContext.addFile(path)  # Spark's file server sends it to each executor once
     return os.path.basename(path), cells
 
 
+_loaded: dict[str, np.ndarray] = {}
+
+
+def _planes(name: str, cells: int) -> np.ndarray:
+    """In a task: the "many" bits, unpacked once by each Python worker."""
+    if name not in _loaded:
+        _loaded.clear()
+        with open(SparkFiles.get(name), "rb") as f:
+            _loaded[name] = np.frombuffer(zlib.decompress(f.read()), np.uint8).reshape(2, cells // 8)
+    return _loaded[name]
+
+
 def _windows(window: int, many, cells: int):
     """(h1, h2, doc_id, tie, pos) of windows that the sketch takes for repeated."""
 
     def run(batches):
-        planes = np.memmap(SparkFiles.get(many), np.uint8, "r").reshape(2, cells // 8)
+        planes = _planes(many, cells)
         for b in batches:
             ids, ties = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             for first, data, offsets in chunks(*utf8(b.column(2)), BLOCK):
