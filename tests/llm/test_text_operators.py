@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import _text, line_dedup
+from tidemark.llm import _text, jaccard_join, line_dedup
 from tidemark.llm.components import components
 from tidemark.llm.jaccard_join import near_duplicates, without_near_duplicates
 from tidemark.llm.substring_dedup import dedup_substrings
@@ -79,6 +79,31 @@ def test_near_duplicates_against_all_pairs(spark, seed, k, num, den):
     assert got == {i: (len(_set(t, k)), want[i]) for i, t in enumerate(texts)}
 
 
+def _link_numbers(texts, k, num, den):
+    sets = [_set(t, k) for t in texts]
+    similar = lambda x, y: bool(x and y) and den * len(x & y) >= num * len(x | y)
+    return [sum(similar(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("seed,k,num,den,block", [(1, 3, 9, 10, 256), (2, 5, 4, 5, 2), (4, 1, 1, 2, 3)])
+def test_links_are_counted_whole(spark, monkeypatch, seed, k, num, den, block):
+    """All links count, also between texts of one group and within a component."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    near = [" ".join(f"n{r.randrange(9)}" if r.random() < 0.02 else w for w in base) for _ in range(40)]
+    texts = [*_corpus(seed, 60), *near]
+    want = _link_numbers(texts, k, num, den)
+    got = {x.doc_id: x.n_links for x in near_duplicates(_docs(spark, enumerate(texts)), k, num, den).collect()}
+    assert max(want) > 5 and got == dict(enumerate(want))
+
+
+def test_links_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (None, "one two"), (4, "One Two"), (5, "one two"), (8, "one two"), (8, "one two"), (8, "three four"), (9, "one two three")]
+    got = sorted((str(x.doc_id), x.n_shingles, x.n_links) for x in near_duplicates(_docs(spark, rows), 3, 9, 10).collect())
+    assert got == sorted([("1", 0, 0), ("2", 0, 0), ("None", 1, 0), ("4", 1, 2), ("5", 1, 2), ("8", 1, 2), ("8", 1, 2), ("8", 1, 0), ("9", 1, 0)])
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One Two"), (5, "one two"), (6, long), (7, long + " more"), (None, "one two"), (8, "one two"), (8, "one two"), (9, "one two three")]

@@ -19,10 +19,14 @@
    query's overlap with the union of all tokens of a part of the group (about `PART`
    classes). Only parts that reach ceil(t * n) are opened: a block of queries and a part
    meet in one task, where pairs are verified until a query has a link to the group.
+6. If links are to be counted, every two classes of one group and every candidate of step 4
+   are verified, blocks of classes against each other. A pair is met in one place only: there
+   each class gets the other's number of copies. Partial sums leave the task, never pairs.
 
 No cap is set anywhere: a link is missed only if two 64-bit hashes collide within a pair.
 Rows with a null doc_id or an empty set take no part in links. Rows that share a doc_id are
-versions of one document: a link of one counts for it.
+versions of one document: a link of one joins it to a component. Links are counted for each
+text of a doc_id.
 """
 
 from __future__ import annotations
@@ -99,13 +103,17 @@ def token_order(docs: DataFrame, k: int):
     return docs.sparkSession.sparkContext.broadcast(order)
 
 
+def _fingerprint(s: np.ndarray) -> bytes:
+    return hashlib.md5(s.tobytes(), usedforsecurity=False).digest()
+
+
 def _signatures(k: int, num: int, den: int, order):
     def run(batches):
         for b in batches:
             n, fp, least, prefix = [], [], [], []
             for _, s in shingle_sets(b.column(1), k):
                 n.append(len(s))
-                fp.append(hashlib.md5(s.tobytes(), usedforsecurity=False).digest())
+                fp.append(_fingerprint(s))
                 least.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).min().astype(np.int64)) if len(s) else None)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 rank = order.value[(s & np.uint64(len(order.value) - 1)).astype(np.int64)]
@@ -118,20 +126,24 @@ def _signatures(k: int, num: int, den: int, order):
 
 
 def _verified(k: int, num: int, den: int):
-    """Rows (a, b, ta, tb) whose texts are similar, as (a, b)."""
+    """Rows (a, b, ta, tb) whose texts are similar, as (a, b, fa, fb) with the sets' fingerprints."""
 
     def run(batches):
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
         for b in batches:
             left = shingle_sets(b.column(2), k)
             ids = b.column(1).to_pylist()
-            ok = np.zeros(len(ids), bool)
+            ok, fa, fb = np.zeros(len(ids), bool), [], []
             right = _cached(b.column(3), ids, k, kept)
             for i, ((_, x), y) in enumerate(zip(left, right)):
                 if len(x) and len(y) and den * min(len(x), len(y)) >= num * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok[i] = den * both >= num * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+                    if ok[i]:
+                        fa.append(_fingerprint(x))
+                        fb.append(_fingerprint(y))
+            a, b = (b.column(j).filter(pa.array(ok)) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(fa, pa.binary()), pa.array(fb, pa.binary())], ["a", "b", "fa", "fb"])
 
     return run
 
@@ -207,6 +219,100 @@ def _opened(k: int, num: int, den: int):
     return run
 
 
+def _sets(k: int):
+    def run(batches):
+        for b in batches:
+            found = [(_fingerprint(s), s.tobytes()) for _, s in shingle_sets(b.column(1), k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[j] for x in found], pa.binary()) for j in (0, 1))], ["doc_id", "fp", "tokens"])
+
+    return run
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
+    """Shared tokens of each set of left and each of right, by products of 0/1 matrices of `width` tokens."""
+    out = np.zeros((len(left), len(right)))
+    entries = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    (x, xi), (y, yi) = entries(left), entries(right)
+    known = np.intersect1d(x, y)
+    sides = []
+    for tokens, at in ((x, xi), (y, yi)):
+        place = np.searchsorted(known, tokens)
+        hit = place < len(known)
+        hit[hit] = known[place[hit]] == tokens[hit]
+        place, at = place[hit], at[hit]
+        order = np.argsort(place, kind="stable")
+        sides.append((place[order], at[order]))
+    for lo in range(0, len(known), width):
+        parts = []
+        for (place, at), n in zip(sides, out.shape):
+            a, b = np.searchsorted(place, (lo, lo + width))
+            m = np.zeros((n, min(width, len(known) - lo)), np.float32)
+            m[at[a:b], place[a:b] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _counted(num: int, den: int):
+    """Weights of similar classes, added up for each class of two blocks (or of one, against itself)."""
+
+    def run(key, rows):
+        side, weight = rows.column("side").to_numpy(), rows.column("w").to_numpy()
+        fp = np.array(rows.column("fp").to_pylist(), object)
+        sets = [np.frombuffer(t, np.uint64) for t in rows.column("tokens").to_pylist()]
+        one = np.flatnonzero(side == 0)
+        two = one if key[1] == key[2] else np.flatnonzero(side == 1)
+        ids, n = [], []
+        if len(one) and len(two):
+            x, y = ([sets[i] for i in at] for at in (one, two))
+            both, sizes = overlaps(x, y), np.array([len(s) for s in sets])
+            ok = den * both >= num * (sizes[one][:, None] + sizes[two][None, :] - both)
+            if two is one:
+                np.fill_diagonal(ok, False)
+            for at, sums in ((one, ok @ weight[two]), (two, weight[one] @ ok))[: 1 if two is one else 2]:
+                ids += fp[at[sums > 0]].tolist()
+                n += sums[sums > 0].tolist()
+        return pa.Table.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["fp", "n_links"])
+
+    return run
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, copies: DataFrame, candidates: DataFrame, found: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(fp, n_links) of classes with links: documents with the same set, but for one, and with similar sets.
+
+    classes: (doc_id, fp, g), one a fingerprint; copies: (doc_id, fp) of documents that are not
+    their class's first; candidates: (a, g); found: verified (a, b, fa, fb) with b a group's name.
+    """
+    more = copies.select("doc_id", "fp").distinct().groupBy("fp").agg(F.count("*").alias("more"))
+    classes = cut(classes.join(more, "fp", "left").select("doc_id", "fp", "g", (1 + F.coalesce("more", F.lit(0))).alias("w")))
+    side = lambda s: classes.select(F.col("fp").alias(f"f{s}"), F.col("doc_id").alias(s), F.col("g").alias(f"g{s}"), F.col("w").alias(f"w{s}"))
+    led = found.distinct().join(side("a"), ["a", "fa"]).join(side("b").where("b = gb"), ["b", "fb"])
+    sums = classes.where("w > 1").select("fp", (F.col("w") - 1).alias("n_links"))
+    sums = sums.unionByName(led.groupBy(F.col("fa").alias("fp")).agg(F.sum("wb").alias("n_links")))
+    sums = sums.unionByName(led.groupBy(F.col("fb").alias("fp")).agg(F.sum("wa").alias("n_links")))
+
+    groups = classes.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
+    asked = candidates.join(groups, "g").select("g", "a")
+    asked = cut(asked.join(classes.drop("g").withColumnRenamed("doc_id", "a"), "a").withColumnRenamed("a", "doc_id"))
+    queries = asked.groupBy("g").agg(F.count("*").alias("queries"))
+    groups = groups.join(queries, "g", "left").select("g", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"), F.ceil(F.coalesce("queries", F.lit(0)) / BLOCK).cast("int").alias("nq"))
+    groups = cut(groups)
+    members = cut(classes.join(groups, "g"))
+    ids = members.select("doc_id").unionByName(asked.select("doc_id"))
+    known = maybe_in(docs.where("doc_id is not null"), "doc_id", ids).where("maybe").select("doc_id", "text")
+    known = written(known.mapInArrow(_sets(words), "doc_id long, fp binary, tokens binary").dropDuplicates(["doc_id", "fp"]))
+
+    block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    keyed = lambda i, j, s: [F.col("g"), i.alias("i"), j.alias("j"), s.alias("side"), F.col("doc_id"), F.col("fp"), F.col("w")]
+    inside = members.withColumn("at", block("nb")).withColumn("to", F.explode(F.expr("sequence(0, nb + nq - 1)")))
+    inside = inside.where("to < nb or doc_id <> g").select(*keyed(F.least("at", "to"), F.greatest("at", "to"), F.when(F.col("to") < F.col("at"), 1).otherwise(0)))
+    outside = asked.join(groups, "g").withColumn("to", F.explode(F.expr("sequence(0, nb - 1)")))
+    outside = outside.select(*keyed(F.col("to"), F.col("nb") + block("nq"), F.lit(1)))
+    met = inside.unionByName(outside).join(known, ["doc_id", "fp"]).select("g", "i", "j", "side", "fp", "w", "tokens")
+    sums = sums.unionByName(cut(met.groupBy("g", "i", "j").applyInArrow(_counted(num, den), "fp binary, n_links long")))
+    return sums.groupBy("fp").agg(F.sum("n_links").alias("n_links"))
+
+
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, ta, tb); texts that no pair needs stay out of the shuffle."""
 
@@ -259,13 +365,15 @@ def _bounded_pairs(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> Dat
     return j.where(fits).select("a", "b").distinct()
 
 
-def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, count: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles) of all documents, and links (a, b) that join up each component.
 
+    The links are spanning ones, not all; with `count`, rows have n_links, the number of all.
+
     Two documents are similar when den * |intersection| >= num * |union|.
     """
     docs = of(docs, doc_id="long", text="string")
-    verified = lambda pairs: cut(_with_texts(pairs, docs).mapInArrow(_verified(words, num, den), "a long, b long").distinct())
+    verified = lambda pairs: cut(_with_texts(pairs, docs).mapInArrow(_verified(words, num, den), "a long, b long, fa binary, fb binary").distinct())
 
     sigs = written(docs.mapInArrow(_signatures(words, num, den, token_order(docs, words)), "doc_id long, n long, fp binary, least long, prefix array<long>"))
     live = sigs.where("doc_id is not null and n > 0")
@@ -280,16 +388,17 @@ def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     led = cut(stars.groupBy("a").agg(F.min("b").alias("b")))  # versions of one doc_id may have two leaders
 
     marked = maybe_in(live.select("doc_id", "fp", "n", "prefix"), "doc_id", copies.select("doc_id").unionByName(led.select(F.col("a").alias("doc_id"))))
-    alone = marked.where("not maybe").select("doc_id", "n", "prefix", F.col("doc_id").alias("g"))
+    alone = marked.where("not maybe").select("doc_id", "fp", "n", "prefix", F.col("doc_id").alias("g"))
     grouped = marked.where("maybe").join(copies, ["doc_id", "fp"], "left_anti").join(led.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-    grouped = grouped.select("doc_id", "n", "prefix", F.coalesce("b", "doc_id").alias("g"))
-    rows = alone.unionByName(grouped).select(F.explode("prefix").alias("token"), F.col("doc_id").alias("a"), F.col("n").cast("int"), "g")
+    grouped = grouped.select("doc_id", "fp", "n", "prefix", F.coalesce("b", "doc_id").alias("g"))
+    classes = alone.unionByName(grouped)
+    rows = classes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("a"), F.col("n").cast("int"), "g")
     shared = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token")
     rows = cut(maybe_in(rows, "token", cut(shared)).where("maybe").drop("maybe"))
 
     candidates = cut(bounded_groups(rows, num, den))
     found = verified(candidates.select("a", F.col("g").alias("b")))
-    links = stars.unionByName(found)
+    links = stars.unionByName(found).select("a", "b")
 
     sizes = led.groupBy(F.col("b").alias("g")).agg(F.count("*").alias("members"))
     joined = components(links, "a", "b")
@@ -315,21 +424,27 @@ def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
         keys = ["g", "part", "block"]
         links = links.unionByName(cut(queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_opened(words, num, den), "a long, b long")))
     copied = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return sigs.select("doc_id", F.col("n").alias("n_shingles")), copied.unionByName(links)
+    out = sigs.select("doc_id", F.col("n").alias("n_shingles"))
+    if count:
+        counts = link_counts(docs, classes.select("doc_id", "fp", "g").distinct(), copies, candidates, found, words, num, den)
+        n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
+        out = sigs.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(counts, "fp", "left").select("doc_id", "n_shingles", n_links.alias("n_links"))
+    return out, copied.unionByName(links)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, count: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and,
+    with `count`, n_links (other documents with a similar text, exact copies among them).
 
     An empty or null text is alone; a null doc_id gives a null component_id; an empty table
     gives no rows.
     """
-    rows, links = jaccard_links(docs, words, num, den)
+    rows, links = jaccard_links(docs, words, num, den, count)
     of_node = components(links, "a", "b").select(F.col("node").alias("doc_id"), "component")
-    return rows.join(of_node, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(of_node, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *(["n_links"] if count else []))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs without every document that another of its group comes before; rows with null doc_id stay."""
-    gone = near_duplicates(docs, words, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, words, num, den, count=False).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
