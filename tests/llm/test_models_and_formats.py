@@ -124,6 +124,19 @@ def test_html_text(source, want):
     assert html_extract.extract(source) == want
 
 
+@pytest.mark.parametrize("source", [
+    "<html><head><title>t</title><body><article>{}</article>",
+    "<html><head><meta charset=utf-8><title>t</title><article>{}</article>",
+    "<html><head><script>x = '<!--'; y = '</head>'</script></head><body><article>{}</article>",
+    "<article><script>x = '<!--'</script>{}</article>",
+    "<div><button>Menu</div><article>{}</article>", "<div><select><option>A<option>B</div><article>{}</article>",
+    "<div><svg><g><path d=''/></div><article>{}</article>", "<article><svg><g>{}</article>",
+    "<div><object data=x>none</div><article>{}</article>", "<article><svg><svg><text>no</text></svg><text>no</text></svg>{}</article>",
+])
+def test_html_unclosed_silent_elements(source):
+    assert html_extract.extract(source.format("<p>Some text that is main.</p>")) == "Some text that is main."
+
+
 def test_html_rows(spark):
     rows = [(1, None, None), (2, "u", "<article><p>Hi there, you.</p></article>"), (2, "u", "<article><p>Hi there, you.</p></article>")]
     out = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

@@ -12,7 +12,8 @@ Potentials are smoothed counts from labelled pages that label_pages() makes by r
 footers, sidebars, notices, adverts, forms and reader comments.
 
 Null and empty html give an empty text; markup that doesn't parse is read as browsers do:
-unclosed elements end with their parent, stray end tags are ignored. Repeated rows are
+unclosed elements end with their parent (a head at the first thing that can't stand in it),
+stray end tags are ignored. Repeated rows are
 extracted each for itself.
 """
 
@@ -34,6 +35,10 @@ LABELLED = 400
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript svg math iframe object select option textarea button head title canvas audio video map dialog datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+IN_HEAD = frozenset("html head base link meta title noscript style script template".split())
+#: Start tags that end an svg or math, but for those inside the elements that hold HTML there.
+LEAVES_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -83,32 +88,44 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.part, self.runs = [-1], [_TAG["body"]], [0], []
-        names, nodes, links, silent = ["#"], [0], 0, ""
+        names, nodes, links = ["#"], [0], 0
+        silent = 0  # where names has the outermost silent element
+
+        def close(i: int) -> None:
+            nonlocal links, silent
+            links -= names[i:].count("a")
+            del names[i:], nodes[i:]
+            silent = silent if silent < i else 0
+
         at = 0
-        for m in _token.finditer(source):
-            if m.start() < at:
-                continue
+        while m := _token.search(source, at):
+            if names[-1] == "head" and source[at : m.start()].strip():
+                close(len(names) - 1)
             if m.start() > at and not silent:
                 self.runs.append((nodes[-1], source[at : m.start()], links > 0))
             at = m.end()
             name = (m[2] or "").lower()
-            if not name or (silent and name != silent):
+            if not name:
                 continue
             if m[1]:
-                if silent:
-                    silent = ""
-                    names.pop()
-                    nodes.pop()
-                elif name in names:
-                    if name in INLINE and any(n not in INLINE for n in names[len(names) - names[::-1].index(name) :]):
+                if name in names:
+                    i = len(names) - 1 - names[::-1].index(name)
+                    if name in INLINE and any(n not in INLINE for n in names[i + 1 :]):
                         continue  # an inline end tag doesn't end the blocks opened since
-                    while names[-1] != name:
-                        links -= names.pop() == "a"
-                        nodes.pop()
-                    links -= names.pop() == "a"
-                    nodes.pop()
+                    close(i)
                 continue
-            if name == "br" or name == "hr":
+            if silent:
+                inside = names[silent:]
+                foreign = next((i for i in range(len(names) - 1, silent - 1, -1) if names[i] in ("svg", "math")), 0)
+                if inside[0] == "head" and (name == "body" or (len(inside) == 1 and name not in IN_HEAD)):
+                    close(silent)
+                elif foreign and name in LEAVES_FOREIGN and not HTML_INSIDE.intersection(names[foreign:]):
+                    close(foreign)
+                elif foreign and m[3].endswith("/"):
+                    continue
+                elif name in ("button", "select") and name in inside:
+                    close(silent + inside.index(name))
+            if (name == "br" or name == "hr") and not silent:
                 self.runs.append((nodes[-1], " ", links > 0))
             if name in VOID:
                 continue
@@ -119,7 +136,7 @@ class Page:
                     end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                     continue
-                silent = name
+                silent = silent or len(names)
                 names.append(name)
                 nodes.append(nodes[-1])
                 continue
@@ -129,8 +146,7 @@ class Page:
                         if names[i] in fence:
                             break
                         if names[i] in target:
-                            links -= names[i:].count("a")
-                            del names[i:], nodes[i:]
+                            close(i)
                             if name not in ("tr", "tbody", "tfoot"):
                                 break
             names.append(name)
@@ -138,14 +154,20 @@ class Page:
                 links += name == "a"
                 nodes.append(nodes[-1])
                 continue
+            if silent:
+                nodes.append(nodes[-1])
+                continue
             self.parent.append(nodes[-1])
             self.tag.append(_TAG.get(name, len(TAGS) - 1))
             self.part.append(_part(m[3]))
             nodes.append(len(self.parent) - 1)
-        if at < len(source) and not silent:
-            rest = source[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
-            self.runs.append((nodes[-1], rest[: cut.start()] if cut else rest, links > 0))
+        rest = source[at:]
+        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
+        rest = rest[: cut.start()] if cut else rest
+        if names[-1] == "head" and rest.strip():
+            close(len(names) - 1)
+        if rest and not silent:
+            self.runs.append((nodes[-1], rest, links > 0))
         self.runs = [(n, html.unescape(t), a) for n, t, a in self.runs if t]
 
     def node_features(self) -> np.ndarray:
