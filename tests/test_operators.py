@@ -142,6 +142,14 @@ def test_git_changes(spark):
     assert got == {"new": ("renamed", "old", True, False), "dir": ("added", None, False, True), "a b": ("modified", None, False, False), "x": ("deleted", None, True, False)}
 
 
+def test_git_entries_of_many_exports(spark):
+    """Exports of one folder are parsed each for itself, and a long one in one pass."""
+    long = "R  n\0o\0?? d/\0" * 50_000
+    out = spark.createDataFrame([("f", 1, long), ("f", 2, "R  new\0old\0"), ("f", 3, "D  x\0"), ("f", 4, None), ("g", 1, "R  lost\0")], "folder_id string, export_id int, output string")
+    got = {r.folder_id: (r.deleted, r.renamed, r.added, r.modified, r.staged) for r in commits.git_change_counts(commits.git_entries(out)).collect()}
+    assert got == {"f": (1, 50_001, 50_000, 0, 50_002), "g": (0, 0, 0, 1, 1)}
+
+
 def test_wire_round_trip(spark):
     odd = _m(spark, ('q"uote\\', {"A": 1, "é": 2}, 1, False, ["x"], 5), ("empty", {}, 0, True, [], None))
     sent = manifest.encode_manifest(odd).select("folder_id", F.concat(F.lit("["), "json", F.lit("]")).alias("body"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from tidemark.operators.common import KEYS, as_manifest
 
@@ -30,31 +32,40 @@ def change_status(xy: Column | str, renamed: Column | str) -> Column:
     return F.when(F.instr(x, "D") > 0, "deleted").when(r, "renamed").when((F.instr(x, "A") > 0) | (x == "??"), "added").otherwise("modified")
 
 
-def git_changes(exported: DataFrame, most: int = 2000) -> DataFrame:
-    """(folder_id, path, status, orig_path, staged, dir, truncated) from (folder_id, output): the
-    NUL-separated porcelain status of each folder; the first `most` entries of a folder."""
-    records = F.filter(F.split("output", "\0", -1), lambda s: s != "")
-    moved = lambda s: F.substring(s, 1, 2).rlike("[RC]")
-    fold = F.aggregate(
-        records,
-        F.expr("named_struct('wait', false, 'out', cast(array() as array<struct<rec:string,orig:string>>))"),
-        lambda a, s: F.when(
-            a["wait"],
-            F.struct(F.lit(False).alias("wait"), F.concat(F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(F.struct(F.element_at(a["out"], -1)["rec"].alias("rec"), s.alias("orig")))).alias("out")),
-        ).otherwise(F.struct(moved(s).alias("wait"), F.concat(a["out"], F.array(F.struct(s.alias("rec"), F.lit(None).cast("string").alias("orig")))).alias("out"))),
-    )
-    rows = exported.select("folder_id", F.posexplode(fold["out"]).alias("pos", "e"))
+def _records(outputs):
+    """Records and the old paths of renames, one pass over each output."""
+    for batch in outputs:
+        found = []
+        for text in batch:
+            rows, parts = [], iter([] if text is None else [s for s in text.split("\0") if s])
+            for rec in parts:
+                rows.append({"rec": rec, "orig": next(parts, None) if "R" in rec[:2] or "C" in rec[:2] else None})
+            found.append(rows)
+        yield pd.Series(found, dtype=object)
+
+
+def git_entries(exported: DataFrame) -> DataFrame:
+    """All entries (*columns but output, pos, path, status, orig_path, staged, dir) of rows (.., output),
+    each row parsed for itself; an output is the NUL-separated porcelain status of one export."""
+    records = F.pandas_udf(_records, "array<struct<rec:string,orig:string>>", PandasUDFType.SCALAR_ITER)
+    rest = [c for c in exported.columns if c != "output"]
+    rows = exported.select(*rest, F.posexplode(records("output")).alias("pos", "e"))
     xy, raw = F.substring("e.rec", 1, 2), F.substring("e.rec", 4, 1 << 30)
-    first = F.substring(xy, 1, 1)
-    out = rows.where(raw != "").select(
-        "folder_id",
+    return rows.where(raw != "").select(
+        *rest,
         "pos",
         F.regexp_replace(raw, "/$", "").alias("path"),
         change_status(xy, F.col("e.orig").isNotNull()).alias("status"),
         F.col("e.orig").alias("orig_path"),
-        (~first.isin(" ", "?")).alias("staged"),
+        (~F.substring(xy, 1, 1).isin(" ", "?")).alias("staged"),
         raw.endswith("/").alias("dir"),
     )
+
+
+def git_changes(exported: DataFrame, most: int = 2000) -> DataFrame:
+    """(folder_id, path, status, orig_path, staged, dir, truncated) from (folder_id, output): the
+    NUL-separated porcelain status of each folder; the first `most` entries of a folder."""
+    out = git_entries(exported.select("folder_id", "output"))
     w = Window.partitionBy("folder_id")
     out = out.withColumn("_n", F.row_number().over(w.orderBy("pos"))).withColumn("truncated", F.count("*").over(w) > most)
     return out.where(F.col("_n") <= most).drop("_n", "pos")

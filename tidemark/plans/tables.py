@@ -184,8 +184,9 @@ def strip_trailer(spark, sf_dir):
 def git_change_counts(spark, sf_dir):
     c = _commits(spark, sf_dir)
     rec = F.element_at(F.array(F.lit("D  gone"), F.lit("R  new\0old"), F.lit("A  add"), F.lit("?? dir/"), F.lit(" M mod")), (F.col("turn") % 5 + 1).cast("int"))
-    exported = c.groupBy("folder_id").agg(F.concat(F.array_join(F.collect_list(rec), "\0"), F.lit("\0")).alias("output"))
-    return commits.git_change_counts(commits.git_changes(exported, 1 << 30))
+    export = F.floor(F.col("date") / 1000)  # a conversation
+    exported = c.groupBy("folder_id", export.alias("export_id")).agg(F.concat(F.array_join(F.collect_list(rec), "\0"), F.lit("\0")).alias("output"))
+    return commits.git_change_counts(commits.git_entries(exported))
 
 
 @query(f"WITH {_M1} SELECT l.folder_id, bool_and(CASE WHEN l.deleted THEN r.path IS NULL WHEN r.path IS NULL OR l.size <> r.size THEN false ELSE l.b0 = r.b0 END) AS aligned FROM l LEFT JOIN (SELECT * FROM r WHERE NOT deleted) r ON l.folder_id = r.folder_id AND l.path = r.path WHERE l.size % 500 = 0 GROUP BY l.folder_id")
