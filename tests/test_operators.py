@@ -187,3 +187,34 @@ def test_fold_deltas(spark):
     deltas = deltas.withColumn("seq", F.when(F.col("size") == 3, 2).otherwise(1).cast("bigint"))
     got = {r.path: (r.version, r.size, r.conflict) for r in jobs.fold_deltas(current, deltas).collect()}
     assert got == {"a": ({"A": 3}, 3, False), "b": ({"A": 1, "B": 1}, 1, True), "c": ({"B": 1}, 5, False)}
+
+
+def test_status_changes_hold_one_row():
+    import weakref
+
+    import pandas as pd
+
+    class State:
+        exists, value = False, None
+
+        def update(self, v):
+            self.value = v
+
+    alive, most = weakref.WeakSet(), 0
+
+    class Frame(pd.DataFrame):
+        __hash__ = object.__hash__
+
+    def batches():
+        nonlocal most
+        for i in range(50):
+            rows = Frame({"key": "k", "ts": pd.to_datetime([i * 7 % 50, 0], unit="s"), "status": [f"s{i}", "old"]})
+            alive.add(rows)
+            most = max(most, len(alive))
+            yield rows
+
+    state = State()
+    (out,) = jobs._changes(("k",), batches(), state)
+    assert list(out["status"]) == ["s7"] and state.value == ("s7",) and most < 10
+    two = pd.DataFrame({"key": ["a", "b", "a"], "ts": pd.to_datetime([2, 1, 3], unit="s"), "status": ["x", "y", "z"]})
+    assert sorted(next(jobs._newest(iter([two])))["status"]) == ["y", "z"]

@@ -102,9 +102,17 @@ def completed_folders(progress: DataFrame) -> DataFrame:
     return p.groupBy("folder_id").applyInPandasWithState(_completed, "folder_id string, ts timestamp", "busy boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def _newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The newest row of each key in each batch: what can still be its newest of the trigger."""
+    for rows in batches:
+        yield rows.sort_values(["ts", "status"]).groupby("key", dropna=False).tail(1)
+
+
 def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["ts", "status"])
+    rows = None
+    for batch in batches:  # one row is kept, whatever the number of batches
+        rows = (batch if rows is None else pd.concat([rows, batch])).sort_values(["ts", "status"]).tail(1)
     newest = rows.iloc[-1]  # at most one row a trigger
     if newest.status != last:
         state.update((newest.status,))
@@ -113,7 +121,8 @@ def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
 
 def status_changes(statuses: DataFrame) -> DataFrame:
     """(key, ts, status): the newest status of a trigger if it differs from the last one emitted."""
-    return statuses.select("key", "ts", "status").groupBy("key").applyInPandasWithState(_changes, "key string, ts timestamp, status string", "status string", "append", GroupStateTimeout.NoTimeout)
+    rows = statuses.select("key", "ts", "status")
+    return rows.mapInPandas(_newest, rows.schema).groupBy("key").applyInPandasWithState(_changes, "key string, ts timestamp, status string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
 def history_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, **trigger) -> StreamingQuery:
