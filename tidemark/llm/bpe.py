@@ -3,9 +3,14 @@
 A text is split at special tokens, then into pieces by the vocabulary's pattern; each piece
 is merged by a priority queue of merge ranks over a doubly linked list of symbols, where
 entries made stale by an earlier merge are skipped. Decoding concatenates the vocabulary's
-byte strings. Pieces repeat, so each task keeps the encodings of recent ones.
-
-Null texts are empty. Repeated rows are encoded each for itself.
+byte strings. Words repeat, so each worker keeps the encodings of recent ones in two
+generations: when the newer is full it becomes the older, whose entries are forgotten unless
+they are asked for again.
+
+Null and empty texts have no ids and decode to an empty text. Repeated rows are encoded each
+for itself, a null doc_id is carried through, further columns are left out whatever their
+names, and an empty table gives no rows. A text is held whole, with its ids; a piece of any
+length is merged in one go.
 """
 
 from __future__ import annotations
@@ -13,6 +18,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +33,8 @@ from ._spark import of
 #: The pattern of byte-level vocabularies of this kind, with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-PIECES_KEPT = 200_000  # encodings kept by a task
-LONGEST_KEPT = 64  # characters of a piece that may be kept
+WORDS_KEPT = 500_000  # encodings of a generation: two make about 200 MB
+LONGEST_KEPT = 64  # characters of a word that may be kept
 
 _loaded: dict[tuple, "Bpe"] = {}
 
@@ -40,9 +48,9 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe(dict):
-    """A vocabulary; as a dict, the packed little-endian 32-bit ids of pieces."""
+    """A vocabulary; as a dict, the packed little-endian 32-bit ids of recent words."""
 
-    kept = PIECES_KEPT
+    kept = WORDS_KEPT
 
     def __init__(self, path: str):
         super().__init__()
@@ -51,50 +59,93 @@ class Bpe(dict):
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in self.specials}
-        self.strings |= {i: t.encode() for t, i in self.specials.items()}
+        strings = {i: bytes(letters[c] for c in t) for t, i in vocab.items() if t not in self.specials}
+        strings |= {i: t.encode() for t, i in self.specials.items()}
+        self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.byte_ids = [0] * 256
         for c, b in letters.items():
             self.byte_ids[b] = vocab[c]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]  # by rank
+        self.ranks: list[dict[int, int]] = [{} for _ in self.strings]  # by left id, then right id
+        for r, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a]][vocab[b]] = r
         self.pieces = regex.compile(PATTERN).findall
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.spaces = re.compile(rf"[{SPACE}]{{2,}}").finditer
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.older.get(word)
+        return self._keep(word, self.fresh(word) if packed is None else packed)
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.merge(piece.encode()), "<u4").tobytes()
-        if len(piece) <= LONGEST_KEPT:
+    def _keep(self, word: str, packed: bytes) -> bytes:
+        if len(word) <= LONGEST_KEPT:
             if len(self) >= self.kept:
+                self.older = self.copy()
                 self.clear()
-            self[piece] = packed
+            self[word] = packed
         return packed
 
+    def fresh(self, word: str) -> bytes:
+        """Packed ids of a word that isn't kept: of its pieces, which may be."""
+        pieces = self.pieces(word)
+        if len(pieces) == 1:
+            return array("I", self.merge(word.encode())).tobytes()
+        return b"".join([self.get(p) or self.older.get(p) or self._keep(p, array("I", self.merge(p.encode())).tobytes()) for p in pieces])
+
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one piece."""
-        ids = [self.byte_ids[b] for b in data]
-        n, ranks = len(ids), self.ranks
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*found, i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := ranks.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, new, a, b) for rank, new, i, a, b in queue]
+        """Ids of one piece.
+
+        A heap entry is one number, the rank above the position of a pair's left symbol; it is
+        stale if the pair there now has another rank.
+        """
+        ids, ranks, made = [self.byte_ids[b] for b in data], self.ranks, self.made
+        n = len(ids)
+        at = [ranks[a].get(b, -1) for a, b in zip(ids, ids[1:])]
+        queue = [r << 32 | i for i, r in enumerate(at) if r >= 0]
         heapq.heapify(queue)
+        at.append(-1)
+        left, right = list(range(-1, n)), list(range(1, n + 1))
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
-            j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
+            entry = heapq.heappop(queue)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
+            if at[i] != r:
                 continue  # stale
-            ids[i], ids[j] = new, -1
+            j, new = right[i], made[r]
+            ids[i], ids[j], at[j] = new, -1, -1
             right[i] = k = right[j]
-            if k >= 0:
+            at[i] = -1
+            if k < n:
                 left[k] = i
-                if found := ranks.get((new, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1], new, ids[k]))
-            if (h := left[i]) >= 0 and (found := ranks.get((ids[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1], ids[h], new))
+                at[i] = r = ranks[new].get(ids[k], -1)
+                if r >= 0:
+                    heapq.heappush(queue, r << 32 | i)
+            if (h := left[i]) >= 0:
+                at[h] = r = ranks[ids[h]].get(new, -1)
+                if r >= 0:
+                    heapq.heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def _even(self, text: str) -> bytes:
+        """Ids of a text in which no white space follows white space.
+
+        There a piece ends before each space and on both sides of a line feed, so the words
+        between are encoded each for itself.
+        """
+        if "\0" in text:
+            return self.fresh(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+
     def plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+        """Ids of a text without special tokens. Of a run of white space, all but the last is
+        a piece of its own, or all of it at the end of the text."""
+        out, at = [], 0
+        for m in self.spaces(text):
+            end = m.end() - (m.end() < len(text))
+            out += [self._even(text[at : m.start()]), self[text[m.start() : end]]]
+            at = end
+        return b"".join([*out, self._even(text[at:])])
 
     def packed(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit numbers."""
@@ -102,13 +153,17 @@ class Bpe(dict):
             return self.plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [self.plain(text[at : m.start()]), np.array([self.specials[m[0]]], "<u4").tobytes()]
+            out += [self.plain(text[at : m.start()]), array("I", [self.specials[m[0]]]).tobytes()]
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; bytes that aren't UTF-8 become U+FFFD, unknown ids nothing."""
-        return b"".join([self.strings.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+        """Text of ids; bytes that aren't UTF-8 become U+FFFD."""
+        return b"".join(_picked(self.strings, ids)).decode("utf-8", "replace")
+
+
+def _picked(strings: list[bytes], ids: np.ndarray) -> tuple[bytes, ...]:
+    return itemgetter(*ids.tolist())(strings) if len(ids) > 1 else tuple(strings[i] for i in ids.tolist())
 
 
 def ship_vocabulary(spark: SparkSession, path: str) -> str:
@@ -124,26 +179,17 @@ def vocabulary(name: str, kind: type[Bpe] = Bpe) -> Bpe:
     return _loaded[name, kind]
 
 
-def _digest(ids: np.ndarray, names: dict[int, bytes]) -> str:
-    return hashlib.sha256(b",".join([names[i] for i in ids.tolist()])).hexdigest()
-
-
-class _Names(dict):
-    def __missing__(self, i: int) -> bytes:
-        self[i] = out = b"%d" % i
-        return out
-
-
 def _round_trip(name: str, whole: bool):
     def run(batches):
-        bpe, names = vocabulary(name), _Names()
+        bpe = vocabulary(name)
+        names = [b"%d" % i for i in range(len(bpe.strings))]
         for b in batches:
             rows = []
             for text in b.column(1):
                 packed = bpe.packed(text.as_py() or "")
                 ids = np.frombuffer(packed, "<u4")
                 decoded = bpe.decode(ids)
-                rows.append((len(ids), packed, decoded) if whole else (len(ids), _digest(ids, names), hashlib.sha256(decoded.encode()).hexdigest()))
+                rows.append((len(ids), packed, decoded) if whole else (len(ids), hashlib.sha256(b",".join(_picked(names, ids))).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, x, y = zip(*rows) if rows else ((), (), ())
             kind = pa.binary() if whole else pa.string()
             titles = ["doc_id", "n_tokens", *(("ids", "decoded") if whole else ("ids_sha256", "decoded_sha256"))]
