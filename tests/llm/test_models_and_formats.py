@@ -25,7 +25,7 @@ def reference():
 ODD = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ß", "<|endoftext|>", "<|endof", "日本", "\U0001f600", "1", "23", "!", " ", "\x85", "\xa0", "\x1c", "​", "﻿", "́", "²", "'", "\x00", "　", "᠎"]
 
 
-@pytest.mark.parametrize("kind", [Bpe, packing._Words])
+@pytest.mark.parametrize("kind", [Bpe, packing._Compiled])
 def test_tokens_against_the_library(reference, kind):
     bpe, r = kind(vocabulary_path()), random.Random(1)
     texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 30))) for _ in range(1500)] + ["ab" * 20_000, ""]

@@ -1,22 +1,25 @@
 """Packing of documents into fixed-length training sequences along a Hilbert curve.
 
 Each document's words are hashed into a signed count vector, the vector is projected to a
-few dimensions by a fixed random matrix, and the point's place on a Hilbert curve is its
-key. Documents are range-sorted by (key, doc_id), so a key that many share still spreads
-over partitions, and each partition packs its documents one after another: neighbours on
-the curve share sequences. A task holds one open sequence and one record batch.
+few dimensions by a fixed random matrix, and the point's place on a Hilbert curve, with a
+hash of doc_id and text below it, is its key; so a place that many share still spreads over
+partitions. Documents are range-sorted by key. The ranges' bounds are quantiles, weighted by
+length, of a bounded sample of keys (`SAMPLED` for each partition): they only balance the
+partitions, whose number follows the input's bytes. Each partition packs its documents one
+after another: neighbours on the curve share sequences. A task holds one open sequence, one
+record batch and the ids of one document.
 
 Documents are cut freely at sequence ends. What is left at a partition's end is dealt to
 sequences whose lengths are powers of two, so that nothing is padded. A sequence id is
 (partition, number within it); ids are unique, not consecutive.
 
 Null and empty texts are the closing id alone. Repeated rows and rows with a null doc_id
-are packed each for itself; an empty table gives no rows.
+are packed each for itself; a long text is cut over as many sequences as it needs; an empty
+table gives no rows; further columns are left out whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from ._spark import of
 from ._text import chunks, hashes, utf8, words
-from .bpe import LONGEST_KEPT, PATTERN, SPACE, Bpe, ship_vocabulary, vocabulary
+from .bpe import PATTERN, Bpe, ship_vocabulary, vocabulary
 
 WIDTH = 64  # of the hashed vectors
 DIMS, BITS = 3, 12  # of the curve
+TIE_BITS = 27  # of a key, below the curve's
+PART_BYTES, MAX_PARTS, SAMPLED = 16 << 20, 20_000, 100  # texts of a partition; partitions; keys sampled for each
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -81,41 +86,57 @@ def points(column: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, DIMS), np.int64)
 
 
-def _keyed(batches):
+def _keys(text: pa.Array, tie: pa.Array) -> np.ndarray:
+    place = hilbert_key(points(text), BITS).astype(np.uint64)
+    tie = tie.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return (place << np.uint64(TIE_BITS) | tie >> np.uint64(64 - TIE_BITS)).view(np.int64)
+
+
+def _sampled(batches):
     for b in batches:
-        key = hilbert_key(points(b.column(1)), BITS)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key)], ["doc_id", "text", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(b.column(0), b.column(1))), b.column(2)], ["key", "size"])
 
 
-class _Words(Bpe):
-    """The vocabulary with its merges done by a compiled library: same ids, for the many rare words.
+def _dealt(bounds: np.ndarray):
+    def run(batches):
+        for b in batches:
+            key = _keys(b.column(1), b.column(2))
+            part = np.searchsorted(bounds, key, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array(part)], ["doc_id", "text", "key", "part"])
 
-    No piece of the pattern reaches over a space that something other than white space
-    follows, so texts are encoded, and encodings kept, word by word.
-    """
+    return run
+
+
+def range_sorted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs, in partitions that are ranges of the curve, each sorted along it."""
+    docs = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    total, rows = docs.agg(F.sum(size), F.count("*")).first()
+    spread = min(docs.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // (1 << 20)))
+    parts = min(max(1, spread, -(-(total or 0) // PART_BYTES)), MAX_PARTS)
+    bounds = np.zeros(0, np.int64)
+    if parts > 1:
+        some = docs.sample(min(1.0, SAMPLED * parts / rows), 11).select("text", "tie", (size + 64).cast("long").alias("size"))
+        cuts = F.percentile("key", [i / parts for i in range(1, parts)], F.col("size"))
+        found = some.mapInArrow(_sampled, "key long, size long").agg(cuts.alias("cuts")).first().cuts
+        bounds = np.array(found or [], float).astype(np.int64)
+    keyed = docs.select("doc_id", "text", "tie").mapInArrow(_dealt(bounds), "doc_id long, text string, key long, part int")
+    return keyed.repartitionById(parts, "part").sortWithinPartitions("key", "doc_id").select("doc_id", "text")
 
-    kept = 150_000
+
+class _Compiled(Bpe):
+    """The vocabulary with its merges done by a compiled library: same ids, on whole texts."""
 
     def __init__(self, path: str):
         super().__init__(path)
         import tiktoken
 
-        ranks = {s: i for i, s in self.strings.items() if i not in self.specials.values()}
+        special = set(self.specials.values())
+        ranks = {s: i for i, s in enumerate(self.strings) if s and i not in special}
         self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.uneven = re.compile(rf"\0| (?:[{SPACE}]|\Z)").search
-
-    def __missing__(self, word: str) -> bytes:
-        packed = array("I", self.encode(word)).tobytes()
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= self.kept:
-                self.clear()
-            self[word] = packed
-        return packed
 
     def plain(self, text: str) -> bytes:
-        if self.uneven(text):
-            return array("I", self.encode(text)).tobytes()
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        return array("I", self.encode(text)).tobytes()
 
 
 class Packer:
@@ -172,7 +193,7 @@ def _packed(name: str, length: int, close_id: int, keep_ids: bool):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if keep_ids and i == 3 else pa.int64()) for i, v in enumerate(x)], titles)
 
     def run(batches):
-        bpe = vocabulary(name, _Words)
+        bpe = vocabulary(name, _Compiled)
         packer = Packer(length, TaskContext.get().partitionId() << 33, keep_ids)
         rows: list[tuple] = []
         for b in batches:
@@ -195,8 +216,6 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, close_id: in
     CRC-32, as ids_crc32, stands instead.
     """
     name = ship_vocabulary(docs.sparkSession, vocabulary_path)
-    keyed = of(docs, doc_id="long", text="string").mapInArrow(_keyed, "doc_id long, text string, key long")
-    keyed = keyed.withColumn("tie", F.xxhash64("text"))
-    dealt = keyed.repartitionByRange("key", "doc_id", "tie").sortWithinPartitions("key", "doc_id", "tie")
+    dealt = range_sorted(of(docs, doc_id="long", text="string"))
     kind = "ids binary" if keep_ids else "ids_crc32 long"
-    return dealt.select("doc_id", "text").mapInArrow(_packed(name, length, close_id, keep_ids), f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(_packed(name, length, close_id, keep_ids), f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")
