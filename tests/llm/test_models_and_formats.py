@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -137,6 +138,35 @@ def test_html_unclosed_silent_elements(source):
     assert html_extract.extract(source.format("<p>Some text that is main.</p>")) == "Some text that is main."
 
 
+@pytest.mark.parametrize("source", ["<div>" * 20_000, "<a " * 300_000, "<svg>" + "<g>" * 100_000, "<p><button>" + "<div>" * 20_000, "<" + "a" * 900_000, '<a b="c ' * 100_000, "<!" * 400_000, "<i>" * 60_000 + "</b>" * 100_000, "<p " + "x " * 400_000 + ">"])
+def test_html_hostile_pages_take_linear_time(source):
+    began = time.process_time()
+    assert html_extract.extract(source + "<p>no") is not None
+    assert time.process_time() - began < 8
+
+
+OTHER_SITES = [  # pages of other hands than label_pages: their own class names and order of parts
+    ("<body><div class=wrap><h4 class=brand>Paperboy</h4><ul class=lnks><li><a href=/a>Home</a><li><a href=/b>World</a></ul><article class=piece><h1>Rain over the hills</h1><p>It rained for three days, and the river rose.</p><p>Nobody was hurt.</p></article><footer>All rights kept.</footer></div>", "Rain over the hills It rained for three days, and the river rose. Nobody was hurt."),
+    ("<main><h1>Soup</h1><p>Cut the onions. Fry them slowly.</p><ol><li>Add water.<li>Boil it for an hour.</ol><aside><p>See our other soups!</p></aside></main><div id=cookie-bar>We use cookies.</div>", "Soup Cut the onions. Fry them slowly. Add water. Boil it for an hour."),
+    ("<table><tr><td><a href=1>One</a> <a href=2>Two</a><td><article><h2>Old page</h2><p>Written in a table, as was done then, with some length to it.</article></table>", "Old page Written in a table, as was done then, with some length to it."),
+    ("<article><h1>Uh.***</h1><p>Uh.*** Oh.###</p></article><footer>(c) x</footer>", "Uh.*** Uh.*** Oh.###"),
+    ("<nav>menu</nav><article><p>Short</p></article><form>Name <input></form>", "Short"),
+    ("<div class=masthead>The Daily</div><div class=article-body><p>A first paragraph that is long enough to be read as one.</p><blockquote>And a quotation.</blockquote></div><div class=replies><p>I do not agree with any of this, sorry.</p></div>", "A first paragraph that is long enough to be read as one. And a quotation."),
+]
+
+
+@pytest.mark.parametrize("source,want", OTHER_SITES)
+def test_html_of_other_sites(source, want):
+    assert html_extract.extract(source) == want
+
+
+def test_html_rows_of_odd_tables(spark):
+    rows = [(1, "u", "<article><p>Hi there, you.</p></article>", "x", 5)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract_pages(odd).collect()] == [(1, "u", "Hi there, you.", 14)]
+    assert html_extract.extract_pages(odd.limit(0)).isEmpty()
+
+
 def test_html_rows(spark):
     rows = [(1, None, None), (2, "u", "<article><p>Hi there, you.</p></article>"), (2, "u", "<article><p>Hi there, you.</p></article>")]
     out = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())

@@ -13,8 +13,10 @@ footers, sidebars, notices, adverts, forms and reader comments.
 
 Null and empty html give an empty text; markup that doesn't parse is read as browsers do:
 unclosed elements end with their parent (a head at the first thing that can't stand in it),
-stray end tags are ignored. Repeated rows are
-extracted each for itself.
+stray end tags are ignored, a tag that never ends hides what follows. Pages of any length
+and depth are read in one pass, in time linear in their length. Repeated rows are extracted
+each for itself; an empty table gives no rows; further columns are left out whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -64,8 +67,11 @@ _word = re.compile(r"[a-z]+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _space = re.compile(r"\s+")
 _attribute = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-FEATURES = (len(TAGS), HIDDEN + 1, 5, 5, 3)  # sizes: tag, part, link share, length, end of text
+#: A comment, a tag (quotes count after "=" only), another declaration, or the start of a tag that never ends.
+#: Nothing is tried twice: what stands in possessive groups isn't given back.
+_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])))*+)>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])""", re.S)
+_end_of = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+FEATURES = (len(TAGS), len(TAGS) * (HIDDEN + 1), 5, 5, 3)  # sizes: tag, part of the tag, link share, length, end of text
 
 
 def _part(attributes: str) -> int:
@@ -83,92 +89,116 @@ def _part(attributes: str) -> int:
     return against[0] if against else (1 if found else 0)
 
 
+class _Open:
+    """The open elements, with the places of each name, so that no step looks through them all."""
+
+    def __init__(self):
+        self.names, self.nodes = ["#"], [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of elements that aren't inline
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def close(self, i: int) -> None:
+        """Ends the element at place i and all within it."""
+        while len(self.names) > i:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def first_from(self, name: str, place: int) -> int:
+        """Place of the outermost open element of this name from a place on; 0 if none is."""
+        at = self.places.get(name, [])
+        i = bisect_left(at, place)
+        return at[i] if i < len(at) else 0
+
+
 class Page:
     """Block elements of one page, in order: parent, tag, part, and text runs of (node, text, is link)."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.part, self.runs = [-1], [_TAG["body"]], [0], []
-        names, nodes, links = ["#"], [0], 0
-        silent = 0  # where names has the outermost silent element
+        open_ = _Open()
+        names, nodes = open_.names, open_.nodes
+        silent = 0  # place of the outermost silent element
 
         def close(i: int) -> None:
-            nonlocal links, silent
-            links -= names[i:].count("a")
-            del names[i:], nodes[i:]
+            nonlocal silent
+            open_.close(i)
             silent = silent if silent < i else 0
 
+        def say(text: str) -> None:
+            if names[-1] == "head" and text.strip():
+                close(len(names) - 1)
+            if text and not silent:
+                self.runs.append((nodes[-1], text, bool(open_.places.get("a"))))
+
         at = 0
         while m := _token.search(source, at):
-            if names[-1] == "head" and source[at : m.start()].strip():
-                close(len(names) - 1)
-            if m.start() > at and not silent:
-                self.runs.append((nodes[-1], source[at : m.start()], links > 0))
+            say(source[at : m.start()])
             at = m.end()
+            if m[0] == "<":  # a tag that never ends: nothing follows
+                at = len(source)
+                break
             name = (m[2] or "").lower()
             if not name:
                 continue
             if m[1]:
-                if name in names:
-                    i = len(names) - 1 - names[::-1].index(name)
-                    if name in INLINE and any(n not in INLINE for n in names[i + 1 :]):
-                        continue  # an inline end tag doesn't end the blocks opened since
+                i = open_.last(name)
+                if i and not (name in INLINE and open_.blocks[-1] > i):  # an inline end tag doesn't end the blocks opened since
                     close(i)
                 continue
             if silent:
-                inside = names[silent:]
-                foreign = next((i for i in range(len(names) - 1, silent - 1, -1) if names[i] in ("svg", "math")), 0)
-                if inside[0] == "head" and (name == "body" or (len(inside) == 1 and name not in IN_HEAD)):
+                foreign = open_.last("svg", "math")
+                foreign = foreign if foreign >= silent else 0
+                if names[silent] == "head" and (name == "body" or (len(names) == silent + 1 and name not in IN_HEAD)):
                     close(silent)
-                elif foreign and name in LEAVES_FOREIGN and not HTML_INSIDE.intersection(names[foreign:]):
+                elif foreign and name in LEAVES_FOREIGN and open_.last(*HTML_INSIDE) < foreign:
                     close(foreign)
                 elif foreign and m[3].endswith("/"):
                     continue
-                elif name in ("button", "select") and name in inside:
-                    close(silent + inside.index(name))
+                elif name in ("button", "select") and (i := open_.first_from(name, silent)):
+                    close(i)
             if (name == "br" or name == "hr") and not silent:
-                self.runs.append((nodes[-1], " ", links > 0))
+                self.runs.append((nodes[-1], " ", bool(open_.places.get("a"))))
             if name in VOID:
                 continue
             if name in SILENT:
                 if m[3].endswith("/") and name not in RAW:
                     continue
                 if name in RAW:  # up to its own end tag, whatever stands between
-                    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                    end = _end_of[name].search(source, at)
                     at = end.end() if end else len(source)
                     continue
                 silent = silent or len(names)
-                names.append(name)
-                nodes.append(nodes[-1])
-                continue
-            for target, fence in ((SIBLINGS.get(name), FENCES.get(name, ())), (("p",), ("table", "td", "th", "button")) if name in CLOSES_P else (None, ())):
-                if target:
-                    for i in range(len(names) - 1, 0, -1):
-                        if names[i] in fence:
-                            break
-                        if names[i] in target:
-                            close(i)
-                            if name not in ("tr", "tbody", "tfoot"):
-                                break
-            names.append(name)
-            if name in INLINE:
-                links += name == "a"
-                nodes.append(nodes[-1])
+                open_.push(name, nodes[-1])
                 continue
-            if silent:
-                nodes.append(nodes[-1])
+            rows = name in ("tr", "tbody", "tfoot")  # these end cells and rows alike
+            for targets, fence in ((SIBLINGS.get(name), FENCES.get(name, ())), (("p",), ("table", "td", "th", "button")) if name in CLOSES_P else (None, ())):
+                while targets and (i := open_.last(*targets)) > open_.last(*fence):
+                    close(i)
+                    if not rows:
+                        break
+            if name in INLINE or silent:
+                open_.push(name, nodes[-1])
                 continue
             self.parent.append(nodes[-1])
             self.tag.append(_TAG.get(name, len(TAGS) - 1))
             self.part.append(_part(m[3]))
-            nodes.append(len(self.parent) - 1)
-        rest = source[at:]
-        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends
-        rest = rest[: cut.start()] if cut else rest
-        if names[-1] == "head" and rest.strip():
-            close(len(names) - 1)
-        if rest and not silent:
-            self.runs.append((nodes[-1], rest, links > 0))
-        self.runs = [(n, html.unescape(t), a) for n, t, a in self.runs if t]
+            open_.push(name, len(self.parent) - 1)
+        say(source[at:])
+        self.runs = [(n, html.unescape(t), a) for n, t, a in self.runs]
 
     def node_features(self) -> np.ndarray:
         n = len(self.parent)
@@ -181,7 +211,8 @@ class Page:
                 ends[node] = 1 + (text[-1] in ".!?…:;\"'»”’)。！？")
         size, linked = np.array(size), np.array(linked)
         share = np.where(size == 0, 0, 1 + np.digitize(linked / np.maximum(size, 1), (0.05, 0.34, 0.8)))
-        return np.stack([self.tag, self.part, share, np.digitize(size, (1, 25, 80, 250)), ends], axis=1)
+        named = np.array(self.tag) * (HIDDEN + 1) + self.part
+        return np.stack([self.tag, named, share, np.digitize(size, (1, 25, 80, 250)), ends], axis=1)
 
     def text(self, content: np.ndarray) -> str:
         """Text of content nodes, in page order; blocks are joined by one space."""
@@ -211,7 +242,7 @@ class Model:
         own = sum(table[x[:, i]] for i, table in enumerate(self.nodes))
         own = own + np.where(parent < 0, 1, 0)[:, None] * self.root
         edge = self.edges[x[:, 0]]
-        levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+        levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
         up, message = own.copy(), np.zeros_like(own)
         for at in reversed(levels[1:]):  # upward: what each child tells its parent
             message[at] = np.logaddexp.reduce(edge[at] + up[at][:, None, :], axis=2)
@@ -227,7 +258,7 @@ class Model:
 def label_pages(n: int = LABELLED, seed: int = 11):
     """(html, the root's label) of n pages made by rule. Each block element but html has
     data-y="1" if it is content, else "0"."""
-    r = random.Random(seed)
+    r, ends = random.Random(seed), ("", ".", ".", "***", ".###", ".&&&")
     words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(300)]
 
     def say(a, b, end="."):
@@ -236,8 +267,11 @@ def label_pages(n: int = LABELLED, seed: int = 11):
     def el(tag, y, body, attributes=""):
         return f'<{tag} data-y="{y}"{" " + attributes if attributes else ""}>{body}</{tag}>'
 
+    def name(*names):  # some sites have names of their own
+        return r.choice(names) if r.random() < 0.85 else f"{r.choice(words)}-{r.choice(words)}"
+
     def named(*names):
-        return r.choice(["class", "class", "id"]) + f'="{r.choice(names)}"' if r.random() < 0.8 else ""
+        return r.choice(["class", "class", "id"]) + f'="{name(*names)}"' if r.random() < 0.8 else ""
 
     def links(k, y=0):
         return el(r.choice(["ul", "ul", "div"]), y, "".join(el("li", y, f'<a href="/x">{say(1, 3, "")}</a>') for _ in range(k)))
@@ -249,12 +283,15 @@ def label_pages(n: int = LABELLED, seed: int = 11):
         elif kind < 0.3:
             body += f' <a href="/y">{say(1, 3, "")}</a> {say(2, 20)}'
         elif kind < 0.36:
-            body = say(1, 3, r.choice(["", "."]))
+            body = say(1, 3, r.choice(ends))
         elif kind < 0.4:
             body = "".join(r.choice("#$%&*") + r.choice(words) + " " for _ in range(30))
         return el("p", y, body)
 
     def article():
+        if r.random() < 0.15:  # hardly anything, or marks only
+            body = say(1, 3, r.choice(ends))
+            return el("h1", 1, body) + el("p", 1, r.choice([body, say(1, 4, r.choice(ends))]))
         parts = [el(r.choice(["h1", "h1", "h2"]), 1, say(2, 12, r.choice(["", "."])))]
         for _ in range(r.randint(1, 9)):
             k = r.random()
@@ -285,10 +322,10 @@ def label_pages(n: int = LABELLED, seed: int = 11):
 
     def side():
         tag = r.choice(["aside", "div"])
-        return el(tag, 0, el("h3", 0, say(1, 3, "")) + r.choice([links(4), paragraph(0) + paragraph(0)]), named("sidebar", "related", "widget") if tag == "aside" else f'class="{r.choice(["sidebar", "related-posts", "widget", "recommended"])}"')
+        return el(tag, 0, el("h3", 0, say(1, 3, "")) + r.choice([links(4), paragraph(0) + paragraph(0)]), named("sidebar", "related", "widget") if tag == "aside" else f'class="{name("sidebar", "related-posts", "widget", "recommended")}"')
 
     def boxed(*names, tag="div"):
-        return lambda: el(tag, 0, r.choice([say(3, 25), el("p", 0, say(3, 30)), el("p", 0, say(3, 12)) + f'<a href="/z">{say(1, 3, "")}</a>']), f'{r.choice(["class", "id"])}="{r.choice(names)}"')
+        return lambda: el(tag, 0, r.choice([say(3, 25), el("p", 0, say(3, 30)), el("p", 0, say(3, 12)) + f'<a href="/z">{say(1, 3, "")}</a>']), f'{r.choice(["class", "id"])}="{name(*names)}"')
 
     notice = boxed("cookie-notice", "consent", "alert", "newsletter", "notice", "popup", "disclaimer", "subscribe-box")
     advert = boxed("ad", "ads", "advert", "sponsored", "promo", "advertisement", "ad-slot")
@@ -299,7 +336,7 @@ def label_pages(n: int = LABELLED, seed: int = 11):
 
     def comments():
         one = lambda: el(r.choice(["div", "li", "article"]), 0, el("p", 0, say(3, 40)), 'class="comment"')
-        return el(r.choice(["section", "div", "ol"]), 0, el("h3", 0, say(1, 3, "")) + "".join(one() for _ in range(r.randint(1, 4))), f'{r.choice(["class", "id"])}="{r.choice(["comments", "reader-comments", "discussion", "comment-list", "replies"])}"')
+        return el(r.choice(["section", "div", "ol"]), 0, el("h3", 0, say(1, 3, "")) + "".join(one() for _ in range(r.randint(1, 4))), f'{r.choice(["class", "id"])}="{name("comments", "reader-comments", "discussion", "comment-list", "replies")}"')
 
     extras = [advert, share, notice, side, form, comments]
     for _ in range(n):
@@ -309,7 +346,7 @@ def label_pages(n: int = LABELLED, seed: int = 11):
         elif kind < 0.65:
             main = el("main", 1, r.choice([article(), el("article", 1, article()), el("div", 1, article())]), r.choice(["", 'role="main"', 'id="content"']))
         elif kind < 0.9:
-            main = el("div", 1, r.choice([article(), el("div", 1, article())]), f'{r.choice(["class", "id"])}="{r.choice(["content", "article-body", "post", "entry-content", "main", "story", "text"])}"')
+            main = el("div", 1, r.choice([article(), el("div", 1, article())]), f'{r.choice(["class", "id"])}="{name("content", "article-body", "post", "entry-content", "main", "story", "text")}"')
         elif kind < 0.95:
             main = el("section", 1, article(), named("content", "article"))
         else:
@@ -345,7 +382,13 @@ def trained(n: int = LABELLED) -> Model:
     tables = []
     for i, table in enumerate(nodes):
         seen = np.log(table / share)
-        tables.append(seen if i else np.zeros_like(seen))  # the tag speaks through its edge
+        if i == 0:  # the tag speaks through its edge
+            seen = np.zeros_like(seen)
+        elif i == 1:  # words of class, id and role given the tag, drawn towards those of all tags
+            count = table.reshape(len(TAGS), HIDDEN + 1, 2) - 0.5
+            overall = (count.sum(axis=0) + 0.5) / (count.sum(axis=0) + 0.5).sum(axis=0)
+            seen = np.log((count + 3 * overall) / (count.sum(axis=1, keepdims=True) + 3)).reshape(-1, 2)
+        tables.append(seen)
     return Model(tables, np.log(edges / edges.sum(axis=2, keepdims=True)), np.log(root / root.sum()))
 
 
