@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 TOOL = "tidemark"  # names the tool's own files: .<tool>-trash, .<tool>-folder, *.<tool>-tmp, *.<tool>-partial
 #: Directories of version control, never exchanged.
 HARD_NAMES = (".git", ".git-rewrite", ".hg", ".svn")
+#: Fixed value: how conflict copies are named, a time and a device between the name and its extension.
 CONFLICT_COPY = r"^(.+)\.sync-conflict-[0-9a-z]+(?:-[0-9a-z]+)?-([A-Z2-7]{10})(\.[^./]*)?$"
 CHAIN = 100  # rules beyond which the table form is used
 

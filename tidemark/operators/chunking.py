@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from functools import cache
 
 import numpy as np
@@ -21,10 +22,13 @@ SEGMENT = 1 << 22  # bytes fingerprinted at a time
 def fixed_blocks(content: DataFrame, block: int = BLOCK) -> DataFrame:
     """(folder_id, path, slot, offset, length, hash) of (folder_id, path, content); nothing of empty files."""
     n = F.ceil(F.length("content") / block).cast("int")
-    rows = content.where(F.length("content") > 0).select(*KEYS, "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("slot"))
-    offset = F.col("slot").cast("bigint") * block
-    piece = F.expr(f"substring(content, cast(slot * {block}L + 1 as int), {block})")
-    return rows.select(*KEYS, "slot", offset.alias("offset"), F.length(piece).cast("bigint").alias("length"), F.sha2(piece, 256).alias("hash"))
+
+    def one(i):  # inside the row, so no slot carries the content on
+        piece = F.substring(F.col("content"), (i * block + 1).cast("int"), F.lit(block))
+        return F.struct(i.alias("slot"), (i.cast("bigint") * block).alias("offset"), F.length(piece).cast("bigint").alias("length"), F.sha2(piece, 256).alias("hash"))
+
+    slots = F.transform(F.sequence(F.lit(0), n - 1), one)
+    return content.where(F.length("content") > 0).select(*KEYS, F.inline(slots))
 
 
 @cache
@@ -57,11 +61,11 @@ def cut_points(data: np.ndarray, least: int = MIN_CHUNK, most: int = MAX_CHUNK,
         f = fingerprints(data[at - lead : at + SEGMENT])[lead:]
         marks.append(at + 1 + np.flatnonzero((f & np.uint32(mask)) == 0))
     marks = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-    ends, start = [], 0
+    marks, ends, start = marks.tolist(), [], 0
     while start < len(data):
-        i = np.searchsorted(marks, start + least)
+        i = bisect_left(marks, start + least)
         stop = min(start + most, len(data))
-        start = int(marks[i]) if i < len(marks) and marks[i] < stop else stop
+        start = marks[i] if i < len(marks) and marks[i] < stop else stop
         ends.append(start)
     return ends
 
@@ -69,16 +73,19 @@ def cut_points(data: np.ndarray, least: int = MIN_CHUNK, most: int = MAX_CHUNK,
 def _chunked(least: int, most: int, mask: int):
     def run(batches):
         for b in batches:
-            rows = []
-            for folder, path, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                raw = np.frombuffer(cell.as_buffer(), np.uint8) if cell.is_valid else np.zeros(0, np.uint8)
-                start = 0
-                for slot, end in enumerate(cut_points(raw, least, most, mask)):
-                    rows.append((folder, path, slot, start, end - start, hashlib.sha256(raw[start:end]).hexdigest()))
-                    start = end
-            x = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(x, kinds)], [*KEYS, "slot", "offset", "length", "hash"])
+            ends, digests = [], []
+            for cell in b.column(2):
+                raw = cell.as_buffer() if cell.is_valid else pa.py_buffer(b"")
+                found = cut_points(np.frombuffer(raw, np.uint8), least, most, mask)
+                view = memoryview(raw)
+                digests += [hashlib.sha256(view[x:y]).hexdigest() for x, y in zip([0, *found], found)]
+                ends.append(found)
+            n = np.array([len(x) for x in ends], np.int64)
+            row, stop = np.repeat(np.arange(len(n)), n), np.array([y for x in ends for y in x], np.int64)
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            start = np.where(slot == 0, 0, np.roll(stop, 1))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(slot.astype(np.int32)), pa.array(start), pa.array(stop - start), pa.array(digests, pa.string())], [*KEYS, "slot", "offset", "length", "hash"])
 
     return run
 

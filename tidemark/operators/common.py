@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["folder_id", "path"]
@@ -37,13 +37,11 @@ def ancestors(path: Column | str) -> Column:
 
 
 def truncated(df: DataFrame, limit: int, *order: Column | str) -> DataFrame:
-    """The first `limit` rows with a column `truncated`: whether there were more.
+    """The first `limit` rows of each folder_id with a column `truncated`: whether it had more.
 
-    One top-n of limit + 1 rows; the row beyond the limit is only counted.
+    Ranks up to limit + 1 are found in each task before the shuffle, so a folder of any size
+    sends so many rows from a task at most.
     """
-    from pyspark.sql import Window
-
-    top = df.orderBy(*order).limit(limit + 1)
-    w = Window.orderBy(*order)  # over limit + 1 rows at most
-    numbered = top.withColumn("_n", F.row_number().over(w)).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit)
-    return numbered.where(F.col("_n") <= limit).drop("_n")
+    w = Window.partitionBy("folder_id")
+    top = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= limit + 1)
+    return top.withColumn("truncated", F.max("_n").over(w) > limit).where(F.col("_n") <= limit).drop("_n")

@@ -23,25 +23,20 @@ def _first_difference(a: Column, b: Column) -> Column:
 
 
 def declared_drift(pairs: DataFrame) -> DataFrame:
-    """Pairs that declare different content, with slot (-1 for size or layout) and detail.
+    """(folder_id, path, kind, slot, of_local, of_remote) of pairs that declare different content.
 
-    Compared by chunks if both sides have that view, else by fixed blocks.
+    kind: size, slots (how many, or of which lengths) or content, with the first slot that
+    differs (else null); the last two are what either side declares of it, as text: bytes,
+    numbers of slots, hashes. Compared by chunks if both sides have that view, else by blocks.
     """
     l, r = F.col("local"), F.col("remote")
     chunked = chunk_view(l["cdh"], l["clens"]) & chunk_view(r["cdh"], r["clens"])
     a, b = F.when(chunked, l["cdh"]).otherwise(l["blocks"]), F.when(chunked, r["cdh"]).otherwise(r["blocks"])
     layout = F.when(chunked, l["clens"] != r["clens"]).otherwise(F.size(a) != F.size(b))
     at = _first_difference(a, b)
-    name = F.when(chunked, "cdh").otherwise("blocks")
-    short = lambda h: F.substring(h, 1, 12)
-    detail = (
-        F.when(l["size"] != r["size"], F.format_string("size %d != %d", l["size"], r["size"]))
-        .when(layout & chunked, F.format_string("chunk lengths differ (%d vs %d chunk(s))", F.size(a), F.size(b)))
-        .when(layout, F.format_string("blocks length %d != %d", F.size(a), F.size(b)))
-        .when(at.isNotNull(), F.format_string("%s[%d] %s… != %s…", name, at, short(F.get(a, at)), short(F.get(b, at))))
-    )
-    slot = F.when((l["size"] != r["size"]) | layout, F.lit(-1)).otherwise(at)
-    return pairs.select(*KEYS, slot.alias("slot"), detail.alias("detail")).where("detail is not null")
+    kind = F.when(l["size"] != r["size"], "size").when(layout, "slots").when(at.isNotNull(), "content")
+    said = lambda x, list_: F.when(kind == "size", x["size"].cast("string")).when(kind == "slots", F.size(list_).cast("string")).otherwise(F.get(list_, at))
+    return pairs.select(*KEYS, kind.alias("kind"), F.when(kind == "content", at).alias("slot"), said(l, a).alias("of_local"), said(r, b).alias("of_remote")).where("kind is not null")
 
 
 def stride_sample(rows: DataFrame, n: int, round_: int) -> DataFrame:

@@ -69,15 +69,25 @@ def resolve_conflicts(plan: DataFrame, device: str, policies: DataFrame | None =
     remote; live rows of the same blocks only merge; then the folder's policy; newest-wins
     without both times, or with equal ones, keeps both.
     """
-    c = plan.where("action = 'conflict'")
-    c = c.withColumn("policy", F.lit("keep-both")) if policies is None else c.join(F.broadcast(policies.select("folder_id", "policy")), "folder_id", "left").fillna({"policy": "keep-both"})
+    rows = _with_policies(plan.where("action = 'conflict'"), policies)
+    return rows.withColumn("outcome", _outcome(device, receive_only, relayed))
+
+
+def _with_policies(rows: DataFrame, policies: DataFrame | None) -> DataFrame:
+    if policies is None:
+        return rows.withColumn("policy", F.lit("keep-both"))
+    return rows.join(policies.select("folder_id", "policy"), "folder_id", "left").fillna({"policy": "keep-both"})
+
+
+def _outcome(device: str, receive_only: Column | bool, relayed: Column | bool) -> Column:
+    """Of a conflict's row (local, remote, policy)."""
     l, r = F.col("local"), F.col("remote")
     flag = lambda x: F.lit(x) if isinstance(x, bool) else x
     edited = F.coalesce(F.try_element_at(l["version"], F.lit(device)), F.lit(0)) > 0
     live = ~l["deleted"] & ~r["deleted"]
     same = live & ~F.coalesce(l["placeholder"], F.lit(False)) & (l["blocks"] == r["blocks"])
     newest = live & (F.col("policy") == "newest-wins")
-    outcome = (
+    return (
         F.when(flag(receive_only) | (flag(relayed) & ~edited), "take-remote")
         .when(same, "merge-only")
         .when(live & (F.col("policy") == "local-wins"), "keep-local")
@@ -85,7 +95,6 @@ def resolve_conflicts(plan: DataFrame, device: str, policies: DataFrame | None =
         .when(newest & (l["mtime"] > r["mtime"]), "keep-local")
         .otherwise("keep-both")
     )
-    return c.withColumn("outcome", outcome)
 
 
 def apply_plan(local: DataFrame, plan: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -94,19 +103,30 @@ def apply_plan(local: DataFrame, plan: DataFrame, outcomes: DataFrame) -> DataFr
     Received rows and remote deletions are the remote's; a kept-both conflict lands the
     remote with the merged vector (its local copy is a file of its own, not an index row);
     the other outcomes keep the local row with the merged vector. Sends change nothing here.
+    Where plan and outcomes are still to be made, converged() does all three in one join.
     """
     o = outcomes.select(*KEYS, "outcome")
-    step = plan.select(*KEYS, "action", F.col("remote").alias("incoming")).join(o, KEYS, "left")
-    rows = side(local, "local").join(step, KEYS, "full_outer")
-    merged = merge_versions(F.col("local.version"), F.col("incoming.version"))
-    l, r = F.col("local"), F.col("incoming")
+    step = plan.select(*KEYS, "action", "remote").join(o, KEYS, "left")
+    return _landed(side(local, "local").join(step, KEYS, "full_outer"))
+
+
+def converged(local: DataFrame, remote: DataFrame, device: str, policies: DataFrame | None = None, receive_only: Column | bool = False, relayed: Column | bool = False) -> DataFrame:
+    """The local manifest after plan_full, resolve_conflicts and apply_plan: one exchange a side."""
+    rows = _with_policies(joined(local, remote, "full_outer").withColumn("action", _action()), policies)
+    return _landed(rows.withColumn("outcome", F.when(F.col("action") == "conflict", _outcome(device, receive_only, relayed))))
+
+
+def _landed(rows: DataFrame) -> DataFrame:
+    """(folder_id, path, *manifest) of rows (local, remote, action, outcome)."""
+    l, r = F.col("local"), F.col("remote")
     newer = compare_file_state(l.isNotNull(), r.isNotNull(), l["version"], r["version"]) == "remote-newer"
     takes = F.coalesce(F.col("action").isin("receive", "delete") & newer, F.lit(False)) | F.coalesce(F.col("outcome") == "take-remote", F.lit(False))
     conflict = F.coalesce(F.col("action") == "conflict", F.lit(False)) & ~takes
     both = F.coalesce(F.col("outcome") == "keep-both", F.lit(False))
-    chosen = F.when(takes | (conflict & both), F.col("incoming")).otherwise(F.col("local"))
-    out = rows.select(*KEYS, chosen.alias("e"), F.when(conflict, merged).otherwise(F.when(takes, F.col("incoming.version")).otherwise(F.col("local.version"))).alias("v"))
-    return out.select(*KEYS, F.col("v").alias("version"), *[F.col(f"e.{c}").alias(c) for c in ("size", "deleted", "blocks", "cdh", "clens", "mtime", "placeholder")])
+    chosen = F.when(takes | (conflict & both), r).otherwise(l)
+    version = F.when(conflict, merge_versions(l["version"], r["version"])).when(takes, r["version"]).otherwise(l["version"])
+    out = rows.select(*KEYS, chosen.alias("e"), version.alias("version"))
+    return out.select(*KEYS, "version", *[F.col(f"e.{c}").alias(c) for c in ("size", "deleted", "blocks", "cdh", "clens", "mtime", "placeholder")])
 
 
 def transfer_estimate(plan: DataFrame, held: DataFrame | None = None, on_demand: Column | bool = False) -> DataFrame:

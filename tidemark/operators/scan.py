@@ -96,10 +96,10 @@ def mass_delete_guard(deletes: DataFrame, seen: DataFrame, identity: DataFrame)
 
 
 def conflict_copies(listing: DataFrame, limit: int = 500) -> DataFrame:
-    """(folder_id, path, original_path, device_id, size, mtime, truncated), newest first."""
+    """(folder_id, path, original_path, device_id, size, mtime, truncated): the newest `limit` of each folder."""
     name = lambda i: F.regexp_extract("path", CONFLICT_COPY, i)
     found = listing.where(F.col("path").rlike(CONFLICT_COPY)).select(*KEYS, F.concat(name(1), name(3)).alias("original_path"), name(2).alias("device_id"), "size", "mtime")
-    return truncated(found, limit, F.desc("mtime"), "folder_id", "path")
+    return truncated(found, limit, F.desc("mtime"), "path")
 
 
 def conflict_counts(copies: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def clean_identical(checked: DataFrame) -> DataFrame:
 
 
 def empty_dirs(dirs: DataFrame, files: DataFrame, rules: list[Rule] = (), nested: DataFrame | None = None, limit: int = 2000) -> DataFrame:
-    """(folder_id, path, truncated): directories without a file anywhere below.
+    """(folder_id, path, truncated): directories without a file anywhere below, `limit` of a folder at most.
 
     dirs: (folder_id, path) of every directory; files likewise. Files of ignored subtrees and
     nested roots count as content; directories in ignored subtrees aren't reported.
@@ -133,12 +133,12 @@ def empty_dirs(dirs: DataFrame, files: DataFrame, rules: list[Rule] = (), nested
     bare = dirs.select(*KEYS).join(content.distinct(), KEYS, "left_anti")
     up = F.concat(ancestors("path"), F.array("path"))
     shut = bare.select(*KEYS, F.explode(up).alias("dir")).where(ignored_path(list(rules), "dir", True)).select(*KEYS).distinct()
-    return truncated(bare.join(shut, KEYS, "left_anti"), limit, "folder_id", "path")
+    return truncated(bare.join(shut, KEYS, "left_anti"), limit, "path")
 
 
 def list_directory(listing: DataFrame, directory: str, held: DataFrame | None = None, limit: int = 2000) -> DataFrame:
     """(folder_id, name, is_dir, size, mtime, placeholder, truncated): immediate children,
-    directories first, then by name. held: placeholder rows (folder_id, path, size) to merge in."""
+    directories first, then by name, `limit` of a folder at most. held: placeholder rows (folder_id, path, size) to merge in."""
     rows = listing.select(*KEYS, "size", "mtime", F.lit(False).alias("placeholder"))
     if held is not None:
         rows = rows.unionByName(held.join(listing.select(*KEYS), KEYS, "left_anti").select(*KEYS, "size", F.lit(None).cast("bigint").alias("mtime"), F.lit(True).alias("placeholder")))
@@ -154,4 +154,4 @@ def list_directory(listing: DataFrame, directory: str, held: DataFrame | None =
         F.bool_and("placeholder").alias("placeholder"),
     )
     each = each.withColumn("size", F.when(F.col("is_dir"), 0).otherwise(F.col("size")))
-    return truncated(each, limit, "folder_id", F.desc("is_dir"), "name")
+    return truncated(each, limit, F.desc("is_dir"), "name")

@@ -92,13 +92,15 @@ def merge_vectors(spark, sf_dir):
 SELECT folder_id, path, CASE WHEN folder_id = 'f7' THEN 'take-remote' WHEN folder_id = 'f6' AND lva = 0 THEN 'take-remote' WHEN live AND lb = rb THEN 'merge-only'
  WHEN live AND policy = 'local-wins' THEN 'keep-local' WHEN live AND policy = 'newest-wins' AND rm > lm THEN 'take-remote' WHEN live AND policy = 'newest-wins' AND lm > rm THEN 'keep-local' ELSE 'keep-both' END AS outcome FROM c""")
 def resolve_conflicts(spark, sf_dir):
-    return _outcomes(spark, sf_dir)[1].select(*KEYS, "outcome")
+    return plan.resolve_conflicts(plan.plan_full(*_sides(spark, sf_dir)), *_rules(spark, sf_dir)).select(*KEYS, "outcome")
 
 
-def _outcomes(spark, sf_dir):
-    p = plan.plan_full(*_sides(spark, sf_dir))
-    policies = p.select("folder_id").distinct().withColumn("policy", F.when(F.col("folder_id") == "f1", "local-wins").when(F.col("folder_id").isin("f2", "f5"), "newest-wins").otherwise("keep-both"))
-    return p, plan.resolve_conflicts(p, "A", policies, F.col("folder_id") == "f7", F.col("folder_id") == "f6")
+_POLICIES = "SELECT DISTINCT 'f' || CAST(o_custkey % 8 AS STRING) AS folder_id, CASE o_custkey % 8 WHEN 1 THEN 'local-wins' WHEN 2 THEN 'newest-wins' WHEN 5 THEN 'newest-wins' ELSE 'keep-both' END AS policy FROM {orders}"
+
+
+def _rules(spark, sf_dir):
+    """Device, policies, folders that only receive, folders whose deltas are relayed."""
+    return "A", fx.spark_sql(spark, sf_dir, _POLICIES), F.col("folder_id") == "f7", F.col("folder_id") == "f6"
 
 
 @query(f"""WITH {fx.PLAN}, c AS (SELECT *, NOT ldel AND NOT rdel AS live FROM p),
@@ -108,8 +110,7 @@ y AS (SELECT *, state = 'remote-newer' OR coalesce(outcome = 'take-remote', fals
 SELECT folder_id, path, CASE WHEN takes THEN rva WHEN state = 'conflict' THEN greatest(lva, rva) ELSE lva END AS va, CASE WHEN takes THEN rvb WHEN state = 'conflict' THEN greatest(lvb, rvb) ELSE lvb END AS vb,
  CASE WHEN takes OR coalesce(outcome = 'keep-both', false) THEN rsize ELSE lsize END AS size, CASE WHEN takes OR coalesce(outcome = 'keep-both', false) THEN rdel ELSE ldel END AS deleted FROM y""")
 def apply_plan(spark, sf_dir):
-    p, o = _outcomes(spark, sf_dir)
-    return _ab(plan.apply_plan(fx.manifest(spark, sf_dir), p, o)).select(*KEYS, "va", "vb", "size", "deleted")
+    return _ab(plan.converged(*_sides(spark, sf_dir), *_rules(spark, sf_dir))).select(*KEYS, "va", "vb", "size", "deleted")
 
 
 @query(f"WITH {fx.PLAN} SELECT folder_id, CAST(sum(greatest(0, rsize - CASE WHEN lt AND NOT ldel THEN lsize ELSE 0 END)) AS BIGINT) AS needed FROM p WHERE action IN ('receive', 'conflict') GROUP BY folder_id")
@@ -203,8 +204,8 @@ def changed_folders(spark, sf_dir):
 
 
 _PAIRS = f"{fx.PLAN}, q AS (SELECT * FROM s WHERE state = 'equal' AND NOT ldel AND NOT rdel)"
-_DRIFT = f"""{_PAIRS}, z AS (SELECT folder_id, path, CASE WHEN lsize <> rsize THEN -1 WHEN lb <> rb THEN 0 END AS slot,
- CASE WHEN lsize <> rsize THEN 'size ' || lsize || ' != ' || rsize WHEN lb <> rb THEN 'blocks[0] ' || lb || '… != ' || rb || '…' END AS detail FROM q)"""
+_DRIFT = f"""{_PAIRS}, z AS (SELECT folder_id, path, CASE WHEN lsize <> rsize THEN 'size' WHEN lb <> rb THEN 'content' END AS kind, CASE WHEN lsize = rsize AND lb <> rb THEN 0 END AS slot,
+ CASE WHEN lsize <> rsize THEN CAST(lsize AS VARCHAR) ELSE lb END AS of_local, CASE WHEN lsize <> rsize THEN CAST(rsize AS VARCHAR) ELSE rb END AS of_remote FROM q)"""
 
 
 @query(f"WITH {_PAIRS} SELECT folder_id, path FROM q")
@@ -212,7 +213,7 @@ def equal_pairs(spark, sf_dir):
     return drift.equal_pairs(*_sides(spark, sf_dir)).select(*KEYS)
 
 
-@query(f"WITH {_DRIFT} SELECT folder_id, path, CAST(slot AS INTEGER) AS slot, detail FROM z WHERE detail IS NOT NULL")
+@query(f"WITH {_DRIFT} SELECT folder_id, path, kind, CAST(slot AS INTEGER) AS slot, of_local, of_remote FROM z WHERE kind IS NOT NULL")
 def declared_drift(spark, sf_dir):
     return drift.declared_drift(drift.equal_pairs(*_sides(spark, sf_dir)))
 
@@ -233,7 +234,7 @@ def pick_slot(spark, sf_dir):
 
 
 @query(f"""WITH {_DRIFT}, {_SAMPLE.format(rows='z')} SELECT folder_id, count(*) AS candidates, (SELECT count(*) FROM sample x WHERE x.folder_id = z.folder_id) AS sampled,
- (SELECT count(*) FROM sample x WHERE x.folder_id = z.folder_id AND detail IS NOT NULL) AS declared, CAST(0 AS BIGINT) AS disk, CAST(0 AS BIGINT) AS unreadable FROM z GROUP BY folder_id""")
+ (SELECT count(*) FROM sample x WHERE x.folder_id = z.folder_id AND kind IS NOT NULL) AS declared, CAST(0 AS BIGINT) AS disk, CAST(0 AS BIGINT) AS unreadable FROM z GROUP BY folder_id""")
 def audit_summary(spark, sf_dir):
     pairs = drift.equal_pairs(*_sides(spark, sf_dir))
     sampled = drift.stride_sample(pairs, 20, 3)

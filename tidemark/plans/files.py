@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import ignore, scalars
@@ -9,6 +11,7 @@ from tidemark.operators import rollback, scan
 from tidemark.operators.common import KEYS
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import query
+from tidemark.session import shared_dir
 from tidemark.sources import files as sources
 
 RULES = ignore.parse_rules(fx.RULES)
@@ -133,9 +136,9 @@ def _copies(spark, sf_dir):
 
 
 @query(f"""WITH {_M1}, c AS (SELECT folder_id, {_COPY} AS path, path AS original_path, 'ABCDEFGHI' || CASE WHEN size % 2 = 0 THEN 'A' ELSE 'B' END AS device_id, mtime FROM l WHERE NOT deleted AND size % 4 = 0),
-n AS (SELECT *, row_number() OVER (ORDER BY mtime DESC, folder_id, path) AS i, count(*) OVER () > 500 AS truncated FROM c) SELECT folder_id, path, original_path, device_id, truncated FROM n WHERE i <= 500""")
+n AS (SELECT *, row_number() OVER (PARTITION BY folder_id ORDER BY mtime DESC, path) AS i, count(*) OVER (PARTITION BY folder_id) > 500 AS truncated FROM c) SELECT folder_id, path, original_path, device_id, truncated FROM n WHERE i <= 500""")
 def conflict_copies(spark, sf_dir):
-    """The newest 500 copies: the cap is the feature."""
+    """The newest 500 copies of each folder: the cap is the feature."""
     _, copies = _copies(spark, sf_dir)
     return scan.conflict_copies(copies).select(*KEYS, "original_path", "device_id", "truncated")
 
@@ -165,7 +168,7 @@ def clean_identical(spark, sf_dir):
 
 
 @query(f"""WITH {_G}, d AS (SELECT DISTINCT folder_id, split_part(path, '/', 1) AS path FROM v UNION SELECT DISTINCT folder_id, split_part(path, '/', 1) || '/empty' || page_id % 4 AS path FROM v)
-SELECT folder_id, path, count(*) OVER () > 2000 AS truncated FROM d WHERE path LIKE '%/empty%' AND path NOT LIKE '%.example.org/%' AND NOT regexp_matches(path, '^blog[^/]*(/.*)?$') QUALIFY row_number() OVER (ORDER BY folder_id, path) <= 2000""")
+SELECT folder_id, path, count(*) OVER (PARTITION BY folder_id) > 2000 AS truncated FROM d WHERE path LIKE '%/empty%' AND path NOT LIKE '%.example.org/%' AND NOT regexp_matches(path, '^blog[^/]*(/.*)?$') QUALIFY row_number() OVER (PARTITION BY folder_id ORDER BY path) <= 2000""")
 def empty_dirs(spark, sf_dir):
     p = fx.pages(spark, sf_dir)
     top = F.split_part("path", F.lit("/"), F.lit(1))
@@ -175,9 +178,9 @@ def empty_dirs(spark, sf_dir):
 
 
 @query(f"""WITH {_G}, c AS (SELECT folder_id, split_part(path, '/', 1) AS name, bool_or(contains(path, '/')) AS is_dir FROM v GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (ORDER BY folder_id, is_dir DESC, name) AS i, count(*) OVER () > 2000 AS truncated FROM c) SELECT folder_id, name, is_dir, truncated FROM n WHERE i <= 2000""")
+n AS (SELECT *, row_number() OVER (PARTITION BY folder_id ORDER BY is_dir DESC, name) AS i, count(*) OVER (PARTITION BY folder_id) > 2000 AS truncated FROM c) SELECT folder_id, name, is_dir, truncated FROM n WHERE i <= 2000""")
 def list_directory(spark, sf_dir):
-    """Children of the root, up to the listing's cap of 2000."""
+    """Children of each folder's root, up to the listing's cap of 2000."""
     p = fx.pages(spark, sf_dir).select(*KEYS, F.lit(1).alias("size"), F.lit(1).alias("mtime"))
     return scan.list_directory(p, "").select("folder_id", "name", "is_dir", "truncated")
 
@@ -247,14 +250,24 @@ def read_trash_archive(spark, sf_dir):
     return sources.parse_trash_names(both).where(~F.col("path").contains("-v-")).select(*KEYS, "ts")
 
 
+@query("SELECT 'source=' || source || '/lang=' || lang AS directory, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size FROM documents GROUP BY ALL")
 def scan_files(spark, sf_dir):
-    """The table directory itself, listed without opening a file."""
-    return sources.scan_files(spark, sf_dir, "data").select(*KEYS, "size")
+    """Documents written as lines of text files, a directory for each source and language, then listed without opening one."""
+    base = f"{shared_dir(spark).rstrip('/')}/tree/{uuid.uuid4().hex}"
+    fx.table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source", "lang").text(base)
+    listed = sources.scan_files(spark, base, "data", glob="*.txt")
+    return listed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory")).agg(F.sum("size").alias("size"))
 
 
-query()(scan_files)
+#: Extensions that pages' paths get in turn: what each must be taken for, and up to how many MiB it is compared.
+_EXTENSIONS = (("png", "image", 8), ("JPEG", "image", 8), ("md", "text", 2), ("ts", "code", 2), ("tar", "archive", 2), ("mp4", "media", 2), ("pdf", "document", 2), ("unknownx", "other", 2), ("", "other", 2))
+_CASE = "CASE page_id % 9 " + " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(9)) + " END"
+_of = lambda f: _CASE.format(*[f(*x) for x in _EXTENSIONS])
 
 
-@query(f"WITH {_G} SELECT page_id, regexp_extract(path, '^(?:.*/)?[^/]+\\.([^./]*)$', 1) AS extension, CASE WHEN regexp_matches(path, '^(?:.*/)?[^/]+\\.html$') THEN 'text' ELSE 'other' END AS kind, CAST(2097152 AS BIGINT) AS compare_limit FROM v")
+@query(f"WITH {fx.PAGES} SELECT page_id, lower({_of(lambda e, k, n: repr(e))}) AS extension, {_of(lambda e, k, n: repr(k))} AS kind, CAST(1048576 * {_of(lambda e, k, n: n)} AS BIGINT) AS compare_limit FROM g")
 def file_kind(spark, sf_dir):
-    return fx.pages(spark, sf_dir).select("page_id", scalars.extension("path").alias("extension"), F.when(scalars.extension("path") == "html", scalars.file_kind("path")).otherwise("other").alias("kind"), scalars.compare_limit("path").alias("compare_limit"))
+    """Files beside the pages, with extensions of every kind, in capitals and without one."""
+    name = F.concat("path", F.lit("/.hidden/x"), F.expr(_of(lambda e, k, n: repr(f".{e}" if e else ""))))
+    p = fx.pages(spark, sf_dir).select("page_id", name.alias("path"))
+    return p.select("page_id", scalars.extension("path").alias("extension"), scalars.file_kind("path").alias("kind"), scalars.compare_limit("path").alias("compare_limit"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators.common import KEYS
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import query
@@ -13,60 +14,88 @@ from tidemark.session import shared_dir
 from tidemark.streaming import jobs
 
 
+def _base(spark):
+    return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
 def _stream(spark, sf_dir):
-    raw = spark.readStream.schema(fx.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return spark.sql(fx.M4, events=raw)
+    """M4 as a stream of files, whether the events are one file or a folder."""
+    base, events = _base(spark), fx.table(spark, sf_dir, "events")
+    events.write.parquet(base)
+    return spark.sql(fx.M4, events=spark.readStream.schema(events.schema).parquet(base))
 
 
 def _done(stream, mode="append"):
-    """Runs a stream over all there is and reads what it wrote."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """Runs a stream over all there is and reads what it wrote: each batch, or the last in complete mode."""
+    spark, base = stream.sparkSession, _base(stream.sparkSession)
 
     def batch(df, epoch):
-        df.write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else epoch}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(batch).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out").drop("batch")
 
 
+def _folded(spark, job, *args):
+    """What a job of folded() put out."""
+    base = _base(spark)
+    job(*args[:1], f"{base}/out", f"{base}/checkpoint", *args[1:]).awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("not held")
+
+
 @query(f"WITH {fx.EVENTS} SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01')) AS start_ms, direction, CAST(sum(bytes) AS BIGINT) AS bytes FROM e WHERE bytes > 0 GROUP BY ALL")
 def traffic_5m(spark, sf_dir):
     out = _done(jobs.traffic_5m(_stream(spark, sf_dir)), "complete")
     return out.select(F.unix_millis("start").alias("start_ms"), "direction", "bytes")
 
 
-@query()
+@query(f"""WITH {fx.EVENTS}, w AS (SELECT epoch_us(ts) // 1000000 - k AS s, folder_id, bytes FROM e, range(5) r(k) WHERE bytes > 0)
+SELECT 1000 * s AS start_ms, folder_id, sum(bytes) / 5.0 AS bytes_per_second FROM w GROUP BY ALL""")
 def transfer_rate(spark, sf_dir):
-    return _done(jobs.transfer_rate(_stream(spark, sf_dir)))
+    out = _done(jobs.transfer_rate(_stream(spark, sf_dir)), "complete")
+    return out.select(F.unix_millis("start").alias("start_ms"), "folder_id", "bytes_per_second")
 
 
-@query()
+@query(f"""WITH {fx.EVENTS}, g AS (SELECT folder_id, path, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER p > 900000000, true) AS new FROM e WINDOW p AS (PARTITION BY folder_id, path ORDER BY ts)),
+s AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY folder_id, path ORDER BY us) AS session FROM g)
+SELECT folder_id, path, min(us) AS start_us, max(us) + 900000000 AS stop_us, count(*) AS requests FROM s GROUP BY folder_id, path, session""")
 def serving_sessions(spark, sf_dir):
-    return _done(jobs.serving_sessions(_stream(spark, sf_dir), gap="15 minutes"))
+    out = _done(jobs.serving_sessions(_stream(spark, sf_dir), gap="15 minutes"), "complete")
+    return out.select(*KEYS, F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "requests")
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.EVENTS}, o AS (SELECT seq, folder_id, path, bytes % 3 AS k, coalesce(device_id, 'local') AS link, epoch_us(ts) AS us, row_number() OVER (PARTITION BY folder_id, path ORDER BY ts, seq) AS i FROM e),
+f AS (SELECT seq, folder_id, path, i, true AS taken, k, link, us FROM o WHERE i = 1
+ UNION ALL SELECT seq, folder_id, path, i, taken, CASE WHEN taken THEN k ELSE hk END, CASE WHEN taken THEN link ELSE hlink END, CASE WHEN taken THEN us ELSE hus END
+ FROM (SELECT o.*, f.k AS hk, f.link AS hlink, f.us AS hus, NOT (o.k = f.k AND o.link <> f.link AND o.us - f.us < 21600000000) AS taken FROM f JOIN o ON o.folder_id = f.folder_id AND o.path = f.path AND o.i = f.i + 1))
+SELECT seq, folder_id, path FROM f WHERE taken""")
 def single_flight(spark, sf_dir):
-    offers = _stream(spark, sf_dir).withColumn("version_key", F.col("action"))
-    return _done(jobs.single_flight(offers, "6 hours")).select("seq", *KEYS, "version_key")
+    """Offers of three versions of each path by several links; a claim holds for six hours."""
+    size = F.col("bytes") % 3
+    none = F.lit(None).cast("array<string>")
+    key = scalars.version_key(F.lit(False), scalars.entry_fingerprint(size, F.array(size.cast("string")), none, none))
+    offers = _stream(spark, sf_dir).select("seq", "ts", *KEYS, key.alias("version_key"), F.coalesce("device_id", F.lit("local")).alias("link"))
+    return _folded(spark, jobs.single_flight, offers, 6 * 3600).select("seq", *KEYS)
 
 
-@query()
+@query(f"""WITH {fx.EVENTS}, p AS (SELECT folder_id, ts, action = 'update' AS busy FROM e), w AS (SELECT *, lag(busy) OVER (PARTITION BY folder_id ORDER BY ts, busy) AS was FROM p)
+SELECT folder_id, epoch_us(ts) AS us FROM w WHERE was AND NOT busy""")
 def completed_folders(spark, sf_dir):
-    return _done(jobs.completed_folders(_stream(spark, sf_dir).select("folder_id", "ts", F.expr("action = 'update'").alias("busy"))))
+    progress = _stream(spark, sf_dir).select("folder_id", "ts", F.expr("action = 'update'").alias("busy"))
+    return _folded(spark, jobs.completed_folders, progress).select("folder_id", F.unix_micros("ts").alias("us"))
 
 
-@query()
+@query(f"WITH {fx.EVENTS} SELECT path AS key, max(epoch_us(ts)) AS us, arg_max(action, (epoch_us(ts), action)) AS status FROM e GROUP BY path")
 def status_changes(spark, sf_dir):
-    s = _stream(spark, sf_dir).select(F.col("folder_id").alias("key"), "ts", F.col("action").alias("status"))
-    return _done(jobs.status_changes(s))
+    """All events are one trigger here: the newest status of each path."""
+    s = _stream(spark, sf_dir).select(F.col("path").alias("key"), "ts", F.col("action").alias("status"))
+    return _folded(spark, jobs.status_changes, s).select("key", F.unix_micros("ts").alias("us"), "status")
 
 
 @query(f"WITH {fx.EVENTS} SELECT 'conflict' AS kind, folder_id, path, epoch_us(ts) // 1000 AS ms FROM e WHERE action = 'conflict'")
 def alerts(spark, sf_dir):
-    base = f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = _base(spark)
     jobs.alerts(_stream(spark, sf_dir), f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("kind", *KEYS, F.unix_millis("ts").alias("ms"))
 
@@ -74,7 +103,7 @@ def alerts(spark, sf_dir):
 @query(f"WITH {fx.EVENTS} SELECT seq, folder_id, path, action FROM e")
 def history_stream(spark, sf_dir):
     """Events written as JSON lines, ingested as a stream into Parquet by folder."""
-    base = f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = _base(spark)
     fx.events(spark, sf_dir).write.json(f"{base}/in")
     jobs.history_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "seq bigint, folder_id string, path string, action string").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("seq", *KEYS, "action")
@@ -88,7 +117,7 @@ def apply_deltas(spark, sf_dir):
     w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda d: F.count_if(F.col("direction") == d).over(w)
     deltas = fx.events(spark, sf_dir).select("seq", *KEYS, F.create_map(F.lit("A"), count("local"), F.lit("B"), count("remote")).alias("version"), F.col("bytes").alias("size"), F.lit(False).alias("deleted"))
-    base = f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = _base(spark)
     deltas.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(deltas.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     q = jobs.apply_deltas(stream, deltas.drop("seq").limit(0), f"{base}/out", f"{base}/checkpoint")

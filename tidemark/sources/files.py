@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from tidemark.functions.ignore import TOOL, Rule, ignored_path
 from tidemark.functions.scalars import is_real_date
@@ -90,24 +92,27 @@ def parse_commit_files(records: DataFrame, column: str = "value") -> DataFrame:
 
     Renames and copies (R, C) have two paths, the old one first.
     """
-    start = F.expr("named_struct('status', '', 'orig', cast(null as string), 'done', false, 'out', cast(array() as array<struct<status:string,path:string,orig_path:string>>))")
-    none = F.lit(None).cast("string")
-
-    def state(status, orig, done, out):
-        return F.struct(status.alias("status"), orig.alias("orig"), done.alias("done"), out.alias("out"))
-
-    def step(a, s):
-        moved = a["status"].rlike("^[RC]")
-        add = F.concat(a["out"], F.array(F.struct(a["status"].alias("status"), s.alias("path"), a["orig"].alias("orig_path"))))
-        return (
-            F.when(a["done"] | (s == ""), state(a["status"], a["orig"], F.lit(True), a["out"]))
-            .when(a["status"] == "", state(s, none, F.lit(False), a["out"]))
-            .when(moved & a["orig"].isNull(), state(a["status"], s, F.lit(False), a["out"]))
-            .otherwise(state(F.lit(""), none, F.lit(False), add))
-        )
-
     rest = [c for c in records.columns if c != column]
-    return records.select(*rest, F.inline(F.aggregate(F.split(column, "\0", -1), start, step, lambda a: a["out"])))
+    entry = "array<struct<status:string,path:string,orig_path:string>>"
+    return records.select(*rest, F.inline(F.pandas_udf(_name_status, entry, PandasUDFType.SCALAR_ITER)(column)))
+
+
+def _name_status(texts):
+    """The entries of each text, in one pass over its fields; they end at an empty field."""
+    for batch in texts:
+        found = []
+        for text in batch:
+            rows, fields = [], iter((text or "").split("\0"))
+            for status in fields:
+                if not status:
+                    break
+                orig = next(fields, "") if status[0] in "RC" else None
+                path = "" if orig == "" else next(fields, "")
+                if not path:
+                    break
+                rows.append({"status": status, "path": path, "orig_path": orig})
+            found.append(rows)
+        yield pd.Series(found, dtype=object)
 
 
 def parse_calendar(payloads: DataFrame, column: str = "body") -> DataFrame:

@@ -5,13 +5,12 @@ Rows later than the watermark are dropped; its delay is a parameter of each job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.vectors import compare_versions, merge_versions
 from tidemark.operators.common import KEYS, MANIFEST, as_manifest
@@ -61,9 +60,69 @@ def apply_deltas(deltas: DataFrame, initial: DataFrame, base: str, checkpoint: s
     return deltas.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def single_flight(offers: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """Offers (ts, folder_id, path, version_key, ..) without repeats of a key within the time to live."""
-    return offers.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([*KEYS, "version_key"])
+def folded(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame], base: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Runs step(batch, what is held) for each batch and writes it to base/batch=<id>.
+
+    Rows with `held` are what the next batch gets, the others are output. A batch that is run
+    again after a failure reads and writes the same again.
+    """
+    spark = stream.sparkSession
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        held = spark.read.parquet(f"{base}/batch={epoch - 1}").where("held") if epoch else None
+        step(df, held).write.mode("overwrite").parquet(f"{base}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+_OFFER = "folder_id string, path string, version_key string, link string, ts timestamp, seq bigint"
+
+
+def _claimed(ttl: float):
+    def run(batches):
+        path, holder = None, None
+        titles = [f.split(" ")[0] for f in _OFFER.split(", ")] + ["held"]
+
+        def rows(found, schema):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], titles) if found else None
+
+        schema = None
+        for b in batches:
+            schema, out = b.schema, []
+            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
+                if row[:2] != path:
+                    out += [(*holder, True)] if holder else []
+                    path, holder = row[:2], None
+                *offer, held = row
+                if not held:
+                    if holder and holder[2] == offer[2] and holder[3] != offer[3] and (offer[4] - holder[4]).total_seconds() < ttl:
+                        continue
+                    out.append(row)
+                holder = offer
+            if out:
+                yield rows(out, schema)
+        if holder:
+            yield rows([(*holder, True)], schema)
+
+    return run
+
+
+def claims(offers: DataFrame, held: DataFrame | None = None, ttl: float = 300) -> DataFrame:
+    """Offers (ts, seq, folder_id, path, version_key, link) that may go on, and the last holder of each path (`held`).
+
+    In order of (ts, seq), an offer of a version that another link holds, since less than `ttl`
+    seconds, is left out; any other one takes the path. A path's offers are sorted by Spark and
+    read as a stream, with one holder in memory.
+    """
+    rows = offers.select(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in _OFFER.split(", ")], F.lit(False).alias("held"))
+    rows = rows if held is None else rows.unionByName(held.select(rows.columns))
+    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, F.desc("held"), "ts", "seq")
+    return rows.mapInArrow(_claimed(ttl), f"{_OFFER}, held boolean")
+
+
+def single_flight(offers: DataFrame, base: str, checkpoint: str, ttl: float = 300, **trigger) -> StreamingQuery:
+    """claims() over a stream; rows of base that aren't `held` are the offers that may go on."""
+    return folded(offers, lambda df, held: claims(df, held, ttl), base, checkpoint, **trigger)
 
 
 def traffic_5m(traffic: DataFrame, delay: str = "10 minutes", span: str = "5 minutes") -> DataFrame:
@@ -73,56 +132,55 @@ def traffic_5m(traffic: DataFrame, delay: str = "10 minutes", span: str = "5 min
 
 
 def transfer_rate(traffic: DataFrame, delay: str = "10 seconds", span: int = 5) -> DataFrame:
-    """(start, folder_id, bytes_per_second) over sliding windows of `span` seconds, one each second."""
+    """(start, folder_id, bytes_per_second) over sliding windows of `span` seconds, one each second.
+
+    In append mode a window comes out once the watermark has passed it; those still open when a
+    stream ends come out in complete mode only.
+    """
     t = traffic.where("bytes > 0").withWatermark("ts", delay)
     g = t.groupBy(F.window("ts", f"{span} seconds", "1 second"), "folder_id").agg(F.sum("bytes").alias("b"))
     return g.select(F.col("window.start").alias("start"), "folder_id", (F.col("b") / span).alias("bytes_per_second"))
 
 
 def serving_sessions(requests: DataFrame, delay: str = "1 minute", gap: str = "15 seconds") -> DataFrame:
-    """(folder_id, path, start, stop, requests): a file is being sent until `gap` after its last request."""
+    """(folder_id, path, start, stop, requests): a file is being sent until `gap` after its last request.
+
+    Open sessions: as open windows in transfer_rate().
+    """
     g = requests.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), *KEYS).agg(F.count("*").alias("requests"))
     return g.select(*KEYS, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "requests")
 
 
-def _completed(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    busy = state.get[0] if state.exists else False
-    out = []
-    for row in pd.concat(list(batches)).sort_values(["ts", "busy"]).itertuples():
-        if busy and not row.busy:
-            out.append((key[0], row.ts))
-        busy = bool(row.busy)
-    state.update((busy,))
-    yield pd.DataFrame(out, columns=["folder_id", "ts"])
-
-
-def completed_folders(progress: DataFrame) -> DataFrame:
-    """(folder_id, ts) whenever a folder goes from moving (busy) to idle. progress: (folder_id, ts, busy)."""
-    p = progress.select("folder_id", "ts", "busy")
-    return p.groupBy("folder_id").applyInPandasWithState(_completed, "folder_id string, ts timestamp", "busy boolean", "append", GroupStateTimeout.NoTimeout)
+def completions(progress: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(folder_id, ts, busy, held): rows (folder_id, ts, busy) that end a time of moving, by (ts, busy); and each folder's last row (`held`)."""
+    rows = progress.select("folder_id", "ts", "busy", F.lit(False).alias("held"))
+    rows = rows if held is None else rows.unionByName(held.select(rows.columns))
+    was = F.lag("busy").over(Window.partitionBy("folder_id").orderBy(F.desc("held"), "ts", "busy"))
+    last = rows.groupBy("folder_id").agg(F.max_by(F.struct("ts", "busy"), F.struct(~F.col("held"), "ts", "busy")).alias("l")).select("folder_id", "l.*", F.lit(True).alias("held"))
+    return rows.withColumn("was", was).where("was and not busy").drop("was").withColumn("held", F.lit(False)).unionByName(last)
 
 
-def _newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The newest row of each key in each batch: what can still be its newest of the trigger."""
-    for rows in batches:
-        yield rows.sort_values(["ts", "status"]).groupby("key", dropna=False).tail(1)
+def completed_folders(progress: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """completions() over a stream: whenever a folder goes from moving (busy) to idle."""
+    return folded(progress, completions, base, checkpoint, **trigger)
 
 
-def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = None
-    for batch in batches:  # one row is kept, whatever the number of batches
-        rows = (batch if rows is None else pd.concat([rows, batch])).sort_values(["ts", "status"]).tail(1)
-    newest = rows.iloc[-1]  # at most one row a trigger
-    if newest.status != last:
-        state.update((newest.status,))
-        yield pd.DataFrame([(key[0], newest.ts, newest.status)], columns=["key", "ts", "status"])
+def changes(statuses: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(key, ts, status, held): each key's newest status if it differs from the one held; and what to hold."""
+    newest = statuses.groupBy("key").agg(F.max(F.struct("ts", "status")).alias("n")).select("key", "n.*")
+    if held is None:
+        return newest.withColumn("held", F.explode(F.array(F.lit(False), F.lit(True))))
+    before = held.select(F.col("key").alias("_key"), F.col("ts").alias("_ts"), F.col("status").alias("_status"))
+    both = newest.join(before, newest["key"].eqNullSafe(before["_key"]), "full_outer")
+    same = F.col("_key").isNotNull() & F.col("status").eqNullSafe(F.col("_status"))
+    new = both.where(F.col("ts").isNotNull() & ~same).select("key", "ts", "status", F.lit(False).alias("held"))
+    keep = both.select(F.coalesce("key", "_key").alias("key"), F.coalesce("ts", "_ts").alias("ts"), F.when(F.col("ts").isNull(), F.col("_status")).otherwise(F.col("status")).alias("status"), F.lit(True).alias("held"))
+    return new.unionByName(keep)
 
 
-def status_changes(statuses: DataFrame) -> DataFrame:
-    """(key, ts, status): the newest status of a trigger if it differs from the last one emitted."""
-    rows = statuses.select("key", "ts", "status")
-    return rows.mapInPandas(_newest, rows.schema).groupBy("key").applyInPandasWithState(_changes, "key string, ts timestamp, status string", "status string", "append", GroupStateTimeout.NoTimeout)
+def status_changes(statuses: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """changes() over a stream of (key, ts, status): at most one row of a key in a trigger."""
+    return folded(statuses.select("key", "ts", "status"), changes, base, checkpoint, **trigger)
 
 
 def history_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, **trigger) -> StreamingQuery:
