@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, found, True)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
+BATCH_BYTES = 8 << 20  # of a batch sent to a Python worker
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,12 +23,18 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet under the shared checkpoint folder, read again: for wide rows, since Parquet is compressed."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def of(df: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast; a missing one is null. Other columns can't clash."""
+    """Only the named columns, cast; a missing one is null. Other columns can't clash.
+
+    Long texts make large batches, so the session's bound of a batch in bytes, if nobody has set one, is lowered.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":  # Spark's default
+        conf.set(_BATCH, str(BATCH_BYTES))
     have = set(df.columns)
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 

@@ -5,39 +5,45 @@
    least as many documents as any window it stands for. Each map task counts anchors, once
    for each document, in a count-min sketch of two rows of saturating cells (0, 1, many); it
    sends the cells it touched, sorted and compressed. Sketches are merged in two levels by
-   shard, streaming, and only the bits "many" are kept and sent to all tasks as a file. Their size follows the
+   shard, streaming, and only the bits "many" are kept: tasks write them, compressed, to the
+   shared folder, from where Spark brings them to each executor once. Their size follows the
    input's up to `MAX_CELLS` (2 rows, 64 MB each at the bound), then stays: beyond it more
    windows pass to step 2, and the result is the same.
 2. Only windows whose anchor is "many" in both rows go on. The sketch never counts too low, so
    no repeated window is lost; those let through by chance fall out here: windows are
-   grouped exactly by a 128-bit hash, and each takes the smallest doc_id.
+   grouped exactly by a 96-bit hash, and each takes the smallest doc_id. The windows are
+   written once, and those that repeat are cut off before they are joined back, so adaptive
+   execution can split the join where one window has a large share of all rows.
    Exact copies of a whole text are set apart before both steps: all their windows are
    repeated, so only the copy with the smallest doc_id is worth counting.
 3. Words covered by a window that starts in a document with a smaller doc_id are removed.
 
 Windows are judged on the input. Null texts are empty; rows that share a doc_id don't remove
-from each other, and rows with a null doc_id neither remove nor lose anything.
+from each other, and rows with a null doc_id neither remove nor lose anything. Texts of any
+length are worked on whole, in blocks of words. An empty table gives no rows; columns that
+aren't kept can't clash, and kept ones may have any name but those of the result.
 """
 
 from __future__ import annotations
 
+import glob
 import hashlib
-import os
-import tempfile
+import uuid
 import zlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, maybe_in, of
+from ._spark import cut, maybe_in, of, shared_dir, written
 from ._text import BLOCK, chunks, grams, hashes, mix, utf8, words
 
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
-SHARDS, FAN, FLUSH = 64, 8, 1 << 21
+SHARDS, FAN, FLUSH, FILES = 64, 8, 1 << 21, 8
 _ROWS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15))
 _PART = "side int, shard int, salt int, ones binary, many binary"
 
@@ -147,24 +153,32 @@ def _merged(wide: int, dense: bool):
     return run
 
 
-def repeated_cells(docs: DataFrame, window: int):
-    """(file of the two rows' "many" bits, cells of a row)."""
+def repeated_cells(docs: DataFrame, window: int) -> tuple[str, int]:
+    """(name of the files with the two rows' "many" bits, cells of a row)."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = MIN_CELLS
-    while 2 * cells < size and cells < MAX_CELLS:  # about one anchor in 25 bytes: a load of a tenth
+    while 4 * cells < size and cells < MAX_CELLS:  # about one anchor in 25 bytes: a load of a fifth at most
         cells *= 2
     wide = cells // SHARDS
     parts = docs.select("text").mapInArrow(_sketched(window, cells), _PART)
     parts = parts.repartition("side", "shard", "salt").sortWithinPartitions("side", "shard").mapInArrow(_merged(wide, False), _PART)
     parts = parts.repartition("side", "shard").sortWithinPartitions("side", "shard").mapInArrow(_merged(wide, True), _PART)
-    out = np.zeros((2, cells // 8), np.uint8)
-    for r in parts.select("side", "shard", "many").toLocalIterator():  # 2 * SHARDS rows, cells / 4 bytes in all
-        out[r.side, r.shard * wide // 8 : (r.shard + 1) * wide // 8] = np.frombuffer(zlib.decompress(r.many), np.uint8)
-    fd, path = tempfile.mkstemp(prefix="many-")
-    with os.fdopen(fd, "wb") as f:
-        f.write(zlib.compress(out.tobytes(), 1))  # few bits are set
-    docs.sparkSession.sparkContext.addFile(path)  # Spark's file server sends it to each executor once
-    return os.path.basename(path), cells
+    name = f"many-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/sketches/{name}"
+    parts.select("side", "shard", "many").repartition(FILES, "shard").write.option("compression", "none").parquet(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect()  # FILES names at most
+    for i, f in enumerate(files):
+        spark.sparkContext.addFile(_as(spark, f.path, f"{path}/{name}-{i}"))
+    return name, cells
+
+
+def _as(spark, path: str, to: str) -> str:
+    """Renames a file in the shared folder: executors keep files by their last name."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(to)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).rename(jvm.org.apache.hadoop.fs.Path(path), at)
+    return to
 
 
 _loaded: dict[str, np.ndarray] = {}
@@ -174,8 +188,13 @@ def _planes(name: str, cells: int) -> np.ndarray:
     """In a task: the "many" bits, unpacked once by each Python worker."""
     if name not in _loaded:
         _loaded.clear()
-        with open(SparkFiles.get(name), "rb") as f:
-            _loaded[name] = np.frombuffer(zlib.decompress(f.read()), np.uint8).reshape(2, cells // 8)
+        planes, wide = np.zeros((2, cells // 8), np.uint8), cells // SHARDS // 8
+        for path in glob.glob(f"{glob.escape(SparkFiles.getRootDirectory())}/{name}-*"):
+            with pq.ParquetFile(path) as f:
+                for b in f.iter_batches(1):
+                    for side, shard, many in zip(*(b.column(i).to_pylist() for i in range(3))):
+                        planes[side, shard * wide : (shard + 1) * wide] = np.frombuffer(zlib.decompress(many), np.uint8)
+        _loaded[name] = planes
     return _loaded[name]
 
 
@@ -211,15 +230,16 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     docs: doc_id, tie (a 32-bit hash of the text), text.
     """
     many, cells = repeated_cells(docs, window)
-    rows = docs.mapInArrow(_windows(window, many, cells), "h1 long, h2 int, doc_id long, tie int, pos int")
+    rows = written(docs.mapInArrow(_windows(window, many, cells), "h1 long, h2 int, doc_id long, tie int, pos int"))
     first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = cut(first)
     return rows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "tie", "pos")
 
 
 def _copies(docs: DataFrame) -> DataFrame:
     """(doc_id, tie) of documents whose whole text a smaller doc_id has too."""
     d = docs.select("doc_id", "tie", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    first = d.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = cut(d.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     return cut(d.join(first, ["t1", "t2"]).where("doc_id > first").select("doc_id", "tie").distinct())
 
 
