@@ -9,7 +9,10 @@ it is removed everywhere but in the smallest doc_id that has it, so its text is
 Lines are what stands between line feeds, compared trimmed of spaces and tabs; blank lines
 always stay. Null text has no lines and stays null. A null source is no site; rows with a
 null doc_id lose boilerplate lines but never count as the one that keeps them.
-Repeated rows get the same result each. Only DataFrame functions are used.
+Repeated rows get the same result each; an empty table gives no rows; texts of any length
+are split whole; columns that aren't kept can't clash, and kept ones may have any name but
+those of the result. Only DataFrame functions are used. What is found of the lines is cut off
+before it is joined back to them, so adaptive execution can split a line that many rows have.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import of
+from ._spark import cut, of
 
 MIN_SITES = 10
 LG_K = 10  # sketch of at most 2**10 cells; a relative error of about 3.3 %
@@ -35,10 +38,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("source", LG_K).alias("sites"), F.count("source").alias("rows"), F.min("doc_id").alias("keeper"))
     estimate = F.hll_sketch_estimate("sites")
     likely = sketched.where(F.col("rows") >= min_sites).select("h1", "h2", "keeper", estimate.alias("spread"))
-    likely = likely.where(F.col("spread") >= min_sites * (1 - NEAR))
+    likely = cut(likely.where(F.col("spread") >= min_sites * (1 - NEAR)))
     sure = F.col("spread") > min_sites * (1 + NEAR)
     near = lines.join(likely.where(~sure), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("keeper").alias("keeper"), F.count_distinct("source").alias("exact"))
-    return likely.where(sure).select("h1", "h2", "keeper").unionByName(near.where(F.col("exact") >= min_sites).drop("exact"))
+    return cut(likely.where(sure).select("h1", "h2", "keeper").unionByName(near.where(F.col("exact") >= min_sites).drop("exact")))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: tuple[str, ...] = ()) -> DataFrame:
