@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import time
 import zlib
 
@@ -76,6 +77,66 @@ def test_audio_headers(word, want):
     assert (h and (h.version, h.layer, h.kbits, h.rate, h.length, h.samples)) == want
 
 
+def _frame(word, fill=b""):
+    h = media.header(word)
+    return (word + fill).ljust(h.length, b"\0")[: h.length]
+
+
+def test_audio_of_mpeg1_stereo_with_a_vbri_table():
+    word = bytes.fromhex("fffb9064")  # MPEG-1 Layer III, 128 kbit/s, 44.1 kHz, joint stereo
+    sizes = [417, 2 * 417]
+    table = b"\0" * 32 + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 4 * 417, 3, 2, 1, 2, 1) + struct.pack(">HH", *sizes)
+    data = _frame(word, table) + 3 * _frame(word)
+    s = media.read_stream(data)
+    assert s.vbr == {"kind": "VBRI", "bytes": 4 * 417, "frames": 3, "seek": [0, 417, 3 * 417]}
+    assert s.offsets == [417, 834, 1251] and s.duration() == (3 * 1152, 44100) and s.resyncs == 0
+
+
+def test_audio_of_mixed_rates_is_timed_exactly():
+    a, b = bytes.fromhex("fffb9064"), bytes.fromhex("fffb9464")  # 44.1 and 48 kHz
+    s = media.read_stream(2 * _frame(a) + 2 * _frame(b))
+    rate = 7_056_000
+    assert len(s.offsets) == 4 and s.duration() == (2 * 1152 * (rate // 44100) + 2 * 1152 * (rate // 48000), rate)
+
+
+def test_audio_delay_and_padding_of_an_encoder():
+    word = bytes.fromhex("fffb9064")
+    table = b"\0" * 32 + b"Info" + struct.pack(">III", 7, 4, 5 * 417) + bytes(range(100)) + b"LAME3.100" + b"\0" * 12 + (576 << 12 | 1000).to_bytes(3, "big")
+    s = media.read_stream(_frame(word, table) + 4 * _frame(word))
+    assert s.duration() == (4 * 1152 - 576 - 1000, 44100) and s.vbr["seek"][10] == 10 * 5 * 417 // 256
+
+
+def test_audio_checksums_of_layer_one():
+    word = bytes.fromhex("fffe10c0")  # MPEG-1 Layer I, CRC, mono
+    h = media.header(word)
+    assert (h.layer, h.protected, h.covered) == (1, True, 16) and media.header(bytes.fromhex("fffc10c0")).covered is None
+    assert [media.header(bytes.fromhex(w)).covered for w in ("fffe1000", "fffe1040", "fffe1070")] == [32, 18, 24]
+    body = bytes(range(1, 17))
+    crc = int(media.crc16(np.frombuffer(word[2:4] + body, np.uint8)[None])[0])
+    good, bad = (_frame(word, x.to_bytes(2, "big") + body) for x in (crc, crc ^ 1))
+    s = media.read_stream(good + bad + good)
+    assert len(s.offsets) == 3 and s.bad_crc == 1
+
+
+@pytest.mark.parametrize("tag,want", [
+    (b"ID3\x03\0\x40" + b"\0\0\0\x1f" + b"\0\0\0\x06" + b"\0" * 6 + b"TIT2\0\0\0\x05\0\0\0name" + b"\0" * 6, {"TIT2": "name"}),
+    (b"ID3\x04\0\x50" + b"\0\0\0\x15" + b"\0\0\0\x06\x01\0" + b"TIT2\0\0\0\x05\0\0\x03name" + b"3DI\x04\0\x50\0\0\0\x15", {"TIT2": "name"}),
+    (b"ID3\x02\0\0" + b"\0\0\0\x0b" + b"TT2\0\0\x05\0name", {"TT2": "name"}),
+    (b"ID3\x03\0\x80" + b"\0\0\0\x12" + b"TIT2\0\0\0\x07\0\0\x01\xff\0\xfen\0o\0", {"TIT2": "no"}),
+    (b"ID3\x04\0\0" + b"\0\0\0\x0f" + b"TIT2\0\0\0\x05\0\x08\x03name", {}),
+])
+def test_audio_tags(tag, want):
+    s = media.read_stream(tag + 2 * _frame(bytes.fromhex("fffb9064")))
+    assert (s.tags, len(s.offsets), s.resyncs) == (want, 2, 0) and s.offsets[0] == len(tag)
+
+
+def test_audio_of_odd_tables(spark):
+    odd = spark.createDataFrame([(1, "a", "x", 7)], "doc_id long, text string, media string, n_bytes int")
+    out = media.media_features(media.to_media(odd)).collect()
+    assert [(r.doc_id, r.n_bytes) for r in out] == [(1, 1)]
+    assert media.media_features(media.to_media(odd.limit(0))).isEmpty()
+
+
 def test_audio_rows(spark):
     rows = [(1, "téxt"), (2, None), (3, "téxt"), (None, "z" * 5000)]
     out = {r.doc_id: r for r in media.media_features(media.to_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
@@ -231,12 +292,40 @@ def test_search_against_brute_force(spark, monkeypatch):
     assert mtree.top_k(df.limit(0), df.limit(0)).isEmpty()
 
 
-def test_pages_skip_work():
+def test_trees_skip_work(monkeypatch):
+    """Stored parent distances spare most centres of a clustered tree, and the result stays exact."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(mtree, "PAGE", 16)
+    monkeypatch.setattr(mtree, "FAN", 4)
     r = np.random.default_rng(5)
-    v = np.concatenate([r.integers(-9, 9, (400, 6)) + 300 * c for c in np.eye(6, dtype=int)])
+    v = np.concatenate([r.integers(-9, 9, (200, 6)) + 300 * c for c in np.concatenate([np.eye(6, dtype=int), -np.eye(6, dtype=int)])])
     most = int((v * v).sum(1).max())
-    parts = mtree._pages(mtree.lifted(v, most), np.arange(len(v)))
-    assert sorted(np.concatenate(parts).tolist()) == list(range(len(v))) and max(map(len, parts)) <= mtree.PAGE
+    parts = mtree._pages(mtree.lifted(v, most), np.arange(len(v)), 16)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(v))) and max(map(len, parts)) <= 16
+    root = SimpleNamespace(value={6: (most, mtree.lifted(v[:1], most))})
+    rows = pa.table({"vec_id": np.arange(len(v)), "v": v.tolist()})
+    row = mtree._tree(root)([pa.scalar(6), pa.scalar(0), pa.scalar(0)], rows).to_pylist()[0]
+    tree = mtree.Tree(row, most)
+    ids = np.arange(0, len(v), 40)
+    got = {}
+    for q, i, s in tree.search(ids, v[ids], np.full(len(ids), np.inf), 3):
+        got.setdefault(q, []).append((-s, i))
+    for q in ids.tolist():
+        assert sorted(got[q]) == sorted((-int(v[q] @ v[i]), i) for i in range(len(v)) if i != q)[:3]
+    assert len(tree.pages.ends) > 60 and len(tree.inner.ends) > 12
+    assert tree.computed < 0.6 * len(ids) * (len(tree.pages.ends) + len(tree.inner.ends)) and tree.skipped > len(ids)
+
+
+def test_search_of_very_large_components(spark):
+    vectors = {0: [1e7, 1.0], 1: [1e7, 3.0], 2: [1e7, 2.0], 3: [-1e7, 0.0], 4: [1e30, 1.0], 5: [3e9, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in mtree.top_k(df, df.where("vec_id in (0, 5)"), 5).collect()}
+    whole = {i: [min(max(int(np.floor(256 * c)) if abs(c) < 1e15 else (1 << 63) - 1, -(1 << 63)), (1 << 63) - 1) for c in v] for i, v in vectors.items()}
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    assert got == {(q, i): clip(sum(a * b for a, b in zip(whole[q], whole[i]))) for q in (0, 5) for i in vectors if i != q}
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3)])

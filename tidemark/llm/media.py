@@ -6,16 +6,24 @@ coded audio), so the stream plays as silence of one granule of 576 samples for e
 bytes. A first frame holds the variable-bitrate table (frame count, byte count, 100 seek
 points); an ID3v2 tag in front holds the unpadded length, an ID3v1 tag closes the stream.
 
-Reading: tags are parsed and skipped, frame headers are found again after damage or foreign
+Reading: tags are parsed and skipped (ID3v2.2 to 2.4, with extended headers, footers and
+unsynchronisation, and ID3v1), frame headers are found again after damage or foreign
 bytes (a header counts if the frame it declares is followed by a fitting header or the end),
-CRC-16s are verified, and exact durations (as samples over the rate) and frame offsets kept.
-
-Null texts are empty; equal bytes give equal streams. Nothing but the row at hand is kept.
+CRC-16s of Layers I and III are verified (those of Layer II, whose span hangs on allocation
+tables, are counted as unchecked), and exact durations and frame offsets kept: samples over the
+rate, over the least common multiple where rates differ, less the encoder's delay and padding
+where a table names them.
+
+Null and empty texts are one unit of 255; equal bytes give equal streams. Nothing but the row
+at hand is kept; a text of any length is written whole. Repeated rows are worked on each for
+itself, a null doc_id is carried through, an empty table gives no rows, further columns are
+left out whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -70,6 +78,7 @@ class Header:
     length: int
     samples: int
     side: int  # bytes of Layer III side information
+    covered: int | None  # bytes after the CRC that it covers; None where tables would be needed
 
 
 def header(word: bytes) -> Header | None:
@@ -86,7 +95,11 @@ def header(word: bytes) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     length = (12_000 * kbits // hz + pad) * 4 if layer == 1 else samples * 125 * kbits // hz + pad
     side = (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(version, layer, not word[1] & 1, kbits, hz, mono, length, samples, side)
+    if layer == 1:  # four bits for each of 32 subbands and each channel, shared ones from the bound of joint stereo on
+        covered = 16 if mono else 16 + (2 * ((word[3] >> 4 & 3) + 1) if word[3] >> 6 == 1 else 16)
+    else:
+        covered = side if layer == 3 else None
+    return Header(version, layer, not word[1] & 1, kbits, hz, mono, length, samples, side, covered)
 
 
 @dataclass
@@ -98,6 +111,7 @@ class Stream:
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     bad_crc: int = 0
+    unchecked_crc: int = 0
     resyncs: int = 0
     skipped: int = 0  # bytes that belong to no frame or tag
 
@@ -106,8 +120,12 @@ class Stream:
         return sum(h.samples for h in self.headers)
 
     def duration(self) -> tuple[int, int]:
-        """Samples and samples a second, in lowest common rate terms of the first frame."""
-        return self.samples, self.headers[0].rate if self.headers else 1
+        """Samples and samples a second; over the least common multiple of the rates if there are several."""
+        if not self.headers:
+            return 0, 1
+        rate = math.lcm(*{h.rate for h in self.headers})
+        cut = (self.vbr.get("delay", 0) + self.vbr.get("padding", 0)) * (rate // self.headers[0].rate)
+        return max(0, sum(h.samples * (rate // h.rate) for h in self.headers) - cut), rate
 
 
 def _syncsafe(n: int) -> bytes:
@@ -122,34 +140,61 @@ def _id3v2(pairs: dict[str, str]) -> bytes:
     return b"ID3\x04\0\0" + _syncsafe(len(frames)) + frames
 
 
+def _from_syncsafe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+
+
 def _parse_id3v2(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
+    """(text frames, end) of the tag at a place, or None."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 127:
         return None
-    size = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, i, tags, major = min(len(data), at + 10 + size(data[at + 6 : at + 10])), at + 10, {}, data[at + 3]
-    while i + 10 <= end and data[i]:
-        n = size(data[i + 4 : i + 8]) if major >= 4 else int.from_bytes(data[i + 4 : i + 8], "big")
-        name, body = data[i : i + 4].decode("latin-1"), data[i + 10 : min(end, i + 10 + n)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
-            tags[key] = value.rstrip("\0")
-        i += 10 + n
+    major, flags, n = data[at + 3], data[at + 5], _from_syncsafe(data[at + 6 : at + 10])
+    body, end = data[at + 10 : at + 10 + n], min(len(data), at + 10 + n + 10 * (major >= 4 and flags >> 4 & 1))
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    i = 0
+    if flags & 0x40 and major >= 3 and len(body) >= 4:  # an extended header
+        i = _from_syncsafe(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    name_size, head = (3, 6) if major == 2 else (4, 10)
+    tags: dict[str, str] = {}
+    while i + head <= len(body) and body[i]:
+        name, raw = body[i : i + name_size].decode("latin-1"), body[i + name_size : i + 2 * name_size]
+        n = _from_syncsafe(raw) if major >= 4 else int.from_bytes(raw, "big")
+        form = body[i + 9] if major >= 3 else 0
+        text, i = body[i + head : i + head + n], i + head + n
+        if form & (0x0C if major >= 4 else 0xC0):  # compressed or encrypted
+            continue
+        text = text[1:] if form & (0x40 if major >= 4 else 0x20) else text  # a group's number
+        if major >= 4:
+            text = text[4:] if form & 1 else text  # its length in full
+            text = text.replace(b"\xff\0", b"\xff") if form & 2 or flags & 0x80 else text
+        if name[0] == "T" and text:
+            value = text[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(text[0], "utf-8"), "replace")
+            key, _, value = value.partition("\0") if name in ("TXXX", "TXX") else (name, "", value)
+            tags[key] = value.strip("\0\ufeff")
     return tags, end
 
 
 def _parse_vbr(data: bytes, at: int, h: Header) -> dict:
-    """The Xing, Info or VBRI table in a frame, or nothing."""
+    """The Xing, Info or VBRI table in a frame, or nothing. seek: byte offsets from the table's frame, evenly spaced in time."""
     i = at + 4 + 2 * h.protected + h.side
     if data[i : i + 4] in (b"Xing", b"Info") and i + 120 <= len(data):
         flags, out, i = int.from_bytes(data[i + 4 : i + 8], "big"), {"kind": data[i : i + 4].decode()}, i + 8
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
                 out[name], i = int.from_bytes(data[i : i + 4], "big"), i + 4
-        return out | ({"toc": list(data[i : i + 100])} if flags & 4 else {})
+        if flags & 4:
+            out["toc"], i = list(data[i : i + 100]), i + 100
+            out["seek"] = [t * out.get("bytes", 0) // 256 for t in out["toc"]]
+        i += 4 * (flags >> 3 & 1)
+        if data[i : i + 4] in (b"LAME", b"Lavf", b"Lavc") and i + 24 <= len(data):
+            both = int.from_bytes(data[i + 21 : i + 24], "big")
+            out |= {"delay": both >> 12, "padding": both & 0xFFF}
+        return out
     if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= len(data):
-        size, frames = struct.unpack(">II", data[at + 46 : at + 54])
-        return {"kind": "VBRI", "bytes": size, "frames": frames}
+        size, frames, n, scale, wide, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+        table = [int.from_bytes(data[i : i + wide], "big") * scale for i in range(at + 62, min(at + 62 + n * wide, len(data) - wide + 1), max(wide, 1))]
+        return {"kind": "VBRI", "bytes": size, "frames": frames, "seek": np.cumsum([0, *table]).tolist()}
     return {}
 
 
@@ -193,8 +238,9 @@ def read_stream(data: bytes) -> Stream:
         if h:
             after = at + h.length
             nxt = head_at(after) if after + 4 <= end else None
-            fits = after == end or data[after : after + 3] == b"ID3" or (nxt and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate))
-            if fits or (not lost and out.headers and after < end and (h.version, h.layer, h.rate) == (out.headers[-1].version, out.headers[-1].layer, out.headers[-1].rate)):
+            known = {(x.version, x.layer, x.rate) for x in (nxt, *out.headers[-1:]) if x}
+            fits = after == end or data[after : after + 3] == b"ID3" or (nxt and (nxt.version, nxt.layer) == (h.version, h.layer))
+            if fits or (not lost and out.headers and after < end and (h.version, h.layer, h.rate) in known):
                 table = _parse_vbr(data, at, h) if first else {}
                 if table:
                     out.vbr = table
@@ -212,10 +258,12 @@ def read_stream(data: bytes) -> Stream:
         at = step
     raw = np.frombuffer(data, np.uint8)
     for h in set(out.headers):
-        if h.protected and h.layer == 3:
+        if h.protected and h.covered is None:
+            out.unchecked_crc += sum(x == h for x in out.headers)
+        elif h.protected:
             o = np.array([o for o, x in zip(out.offsets, out.headers) if x == h])
-            o = o[o + 6 + h.side <= len(raw)]
-            covered = np.concatenate([raw[o[:, None] + np.arange(2, 4)], raw[o[:, None] + np.arange(6, 6 + h.side)]], axis=1)
+            o = o[o + 6 + h.covered <= len(raw)]
+            covered = np.concatenate([raw[o[:, None] + np.arange(2, 4)], raw[o[:, None] + np.arange(6, 6 + h.covered)]], axis=1)
             stored = raw[o + 4].astype(np.uint32) << 8 | raw[o + 5]
             out.bad_crc += int((crc16(covered) != stored).sum())
     return out

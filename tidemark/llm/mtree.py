@@ -7,19 +7,23 @@ Components are integers, so q.x is exact and distances serve only for bounds.
 Index: pivots from a bounded sample of the vectors (`SAMPLE` rows by the least hashes of
 vec_id, farthest-first) are the root's entries. Every vector goes to its nearest pivot's
 node, a node of more than `SHARD` vectors to several trees of about that size. A tree is one
-row: pages of at most `PAGE` vectors with a centre, a covering radius and each vector's
-distance to that centre.
+row: inner nodes of about `FAN` pages, pages of at most `PAGE` vectors. Inner nodes and pages
+have a centre, a covering radius and the distance of their centre to their parent's, vectors
+their distance to the page's centre.
 
 Search, best first: a query first descends into one tree of its nearest node, which gives a
 k-th distance; then, in blocks of queries, into the trees of each node whose ball it may
-reach. In a tree, pages are taken in the order of their lower bound d(q, centre) - radius
-until that passes the k-th distance; within a page, a vector's distance is not computed when
-|d(q, centre) - d(x, centre)| passes it. Bounds are kept with a margin for rounding, and a
+reach. In a tree, one queue for each query holds inner nodes and pages by their lower bound
+d(q, centre) - radius, until that passes the k-th distance. The distance to a centre or a
+vector is not computed at all where the parent's, |d(q, parent) - d(x, parent)| less the
+radius, already passes it. Bounds are kept with a margin for rounding, and a
 bound equal to the k-th distance does not exclude, so ties are resolved by vec_id exactly.
 
 Vectors that are null, empty or hold a null or non-finite component take no part. Vectors
 meet those of their own length only. Repeated rows count once; rows with a null vec_id
-don't. An empty table gives no rows.
+don't. An empty table gives no rows; further columns are left out whatever their names.
+Components beyond the range of long are taken as its ends. Inner products are exact at any
+size; those beyond the range of long are given as its ends, and tie there.
 """
 
 from __future__ import annotations
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 from ._spark import cut, of
 
 SAMPLE, PIVOTS = 2048, 32
-SHARD, PAGE, BLOCK = 8192, 128, 256
+SHARD, FAN, PAGE, BLOCK = 8192, 8, 256, 256
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # of a long
 EXACT = 1 << 52  # inner products below this are exact in floating point
 _HIT = "query_id long, vec_id long, score long"
-_TREE = "dim int, node int, shard int, centre array<double>, radius double, n int, ids binary, vectors binary, to_centre binary, pages binary"
+_TREE = "dim int, node int, shard int, centre array<double>, radius double, n int, ids binary, vectors binary, to_centre binary, pages binary, inner binary"
 
 
 def integers(table: DataFrame, scale: int) -> DataFrame:
@@ -99,12 +104,12 @@ def _nearest(root):
     return run
 
 
-def _pages(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """Splits rows by two far-apart members until each part fits a page; equal rows are cut evenly."""
+def _pages(x: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """Splits rows by two far-apart members until no part has more than `size`; equal rows are cut evenly."""
     todo, done = [at], []
     while todo:
         at = todo.pop()
-        if len(at) <= PAGE:
+        if len(at) <= size:
             done.append(at)
             continue
         a = at[_distance(x[at[:1]], x[at])[0].argmax()]
@@ -116,6 +121,13 @@ def _pages(x: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return done
 
 
+def _entry(x: np.ndarray, count: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry of vectors x: count, covering radius, distance to the parent, centre; centre; distances to it)."""
+    centre = x.mean(axis=0)
+    d = _distance(centre[None], x)[0]
+    return np.concatenate([[count, d.max(), _distance(centre[None], parent[None])[0, 0]], centre]), centre, d
+
+
 def _tree(root):
     def run(key, rows):
         dim, node, shard = (k.as_py() for k in key)
@@ -124,61 +136,92 @@ def _tree(root):
         v = _stack(rows.column("v").combine_chunks() if isinstance(rows.column("v"), pa.ChunkedArray) else rows.column("v"), dim)
         ids = rows.column("vec_id").to_numpy()
         x = lifted(v, most)
-        parts = _pages(x, np.arange(len(x)))
-        order = np.concatenate(parts)
-        pages, to_centre = [], []
-        for at in parts:
-            centre = x[at].mean(axis=0)
-            d = _distance(centre[None], x[at])[0]
-            to_centre.append(d)
-            pages.append(np.concatenate([[len(at), d.max()], centre]))
-        centre = centres[node]
-        columns = [[dim], [node], [shard], [centre.tolist()], [float(_distance(centre[None], x).max())], [len(x)], [ids[order].astype("<i8").tobytes()], [v[order].astype("<i8").tobytes()], [np.concatenate(to_centre).tobytes()], [np.array(pages).tobytes()]]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int32(), *[pa.binary()] * 4]
+        inner, pages, order, to_centre = [], [], [], []
+        for held in _pages(x, np.arange(len(x)), PAGE * FAN):
+            parts = _pages(x, held, PAGE)
+            entry, middle, _ = _entry(x[held], len(parts), centres[node])
+            inner.append(entry)
+            for at in parts:
+                entry, _, d = _entry(x[at], len(at), middle)
+                pages.append(entry)
+                to_centre.append(d)
+                order.append(at)
+        order, centre = np.concatenate(order), centres[node]
+        columns = [[dim], [node], [shard], [centre.tolist()], [float(_distance(centre[None], x).max())], [len(x)], [ids[order].astype("<i8").tobytes()], [v[order].astype("<i8").tobytes()], [np.concatenate(to_centre).tobytes()], [np.array(pages).tobytes()], [np.array(inner).tobytes()]]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.int32(), *[pa.binary()] * 5]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split(" ")[0] for f in _TREE.split(", ")])
 
     return run
 
 
+class _Entries:
+    """Entries of one level: where their children are, and what bounds them."""
+
+    def __init__(self, packed: bytes, dim: int):
+        p = np.frombuffer(packed, float).reshape(-1, dim + 4)
+        self.ends = np.cumsum(p[:, 0]).astype(int)
+        self.starts = self.ends - p[:, 0].astype(int)
+        self.radius, self.to_parent, self.centres = p[:, 1], p[:, 2], p[:, 3:]
+
+
 class Tree:
-    """A tree's row, opened."""
+    """A tree's row, opened. computed, skipped: distances to centres that searches needed, and did without."""
 
     def __init__(self, row: dict, most: int):
         self.dim, n = row["dim"], row["n"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.v = np.frombuffer(row["vectors"], "<i8").reshape(n, self.dim)
         self.to_centre = np.frombuffer(row["to_centre"], float)
-        p = np.frombuffer(row["pages"], float).reshape(-1, self.dim + 3)
-        self.ends = np.cumsum(p[:, 0]).astype(int)
-        self.radius, self.centres = p[:, 1], p[:, 2:]
+        self.pages, self.inner = _Entries(row["pages"], self.dim), _Entries(row["inner"], self.dim)
+        self.centre = np.array(row["centre"])
         self.most = most
         self.exact = most < EXACT
-        self.f = self.v.astype(float) if self.exact else self.v
+        self.f = self.v.astype(float) if self.exact else self.v.astype(object)
+        self.computed = self.skipped = 0
+
+    def _reached(self, level: _Entries, a: int, z: int, q: np.ndarray, away: float, limit: float):
+        """(lower bound, entry, distance) of entries a to z within the limit; away: the query's distance to their parent."""
+        low = np.abs(away - level.to_parent[a:z]) - level.radius[a:z]
+        at = a + np.flatnonzero(low <= limit)
+        self.computed += len(at)
+        self.skipped += z - a - len(at)
+        x = level.centres[at] - q
+        d = np.sqrt(np.einsum("ij,ij->i", x, x))
+        lower = np.maximum(d - level.radius[at], 0)
+        near = lower <= limit
+        return zip(lower[near].tolist(), at[near].tolist(), d[near].tolist())
 
     def search(self, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int):
         """(query, vec_id, score) of up to k best per query, none farther than its bound."""
         f = q.astype(float)
         norm = (f * f).sum(1)
         full = np.concatenate([f, np.zeros((len(f), 1))], axis=1)
-        away = _distance(full, self.centres)
-        lower = np.maximum(away - self.radius, 0)
+        away = _distance(full, self.centre[None])[:, 0]
         margin = 1e-6 * (1 + np.sqrt(norm + self.most))
         for i in range(len(q)):
             best: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
             limit = bound[i] + margin[i]
-            use = f[i] if self.exact else q[i]
-            for p in np.argsort(lower[i], kind="stable").tolist():
-                if lower[i, p] > limit:
+            use = f[i] if self.exact else q[i].astype(object)
+            queue = [(low, 0, j, d) for low, j, d in self._reached(self.inner, 0, len(self.inner.ends), full[i], away[i], limit)]
+            heapq.heapify(queue)
+            while queue:
+                low, is_page, j, d = heapq.heappop(queue)
+                if low > limit:
                     break
-                a, z = (self.ends[p - 1] if p else 0), self.ends[p]
-                at = a + np.flatnonzero(np.abs(away[i, p] - self.to_centre[a:z]) <= limit)
+                if not is_page:
+                    for low, p, to in self._reached(self.pages, self.inner.starts[j], self.inner.ends[j], full[i], d, limit):
+                        heapq.heappush(queue, (low, 1, p, to))
+                    continue
+                a, z = self.pages.starts[j], self.pages.ends[j]
+                at = a + np.flatnonzero(np.abs(d - self.to_centre[a:z]) <= limit)
                 at = at[self.ids[at] != ids[i]]
                 if not len(at):
                     continue
-                s = (self.f[at] @ use).astype(np.int64)
+                s = self.f[at] @ use
                 if len(at) > k:
-                    at, s = (x[np.lexsort((self.ids[at], -s))[:k]] for x in (at, s))
-                for hit in zip(s.tolist(), (-self.ids[at]).tolist()):
+                    first = np.lexsort((self.ids[at], -s))[:k] if self.exact else sorted(range(len(at)), key=lambda x: (-s[x], self.ids[at[x]]))[:k]
+                    at, s = at[first], s[first]
+                for hit in zip(map(int, s.tolist()), (-self.ids[at]).tolist()):
                     if len(best) < k:
                         heapq.heappush(best, hit)
                     elif hit > best[0]:
@@ -186,7 +229,7 @@ class Tree:
                 if len(best) == k:
                     limit = min(limit, np.sqrt(max(norm[i] + self.most - 2.0 * best[0][0], 0)) + margin[i])
             for s, v in best:
-                yield int(ids[i]), -v, s
+                yield int(ids[i]), -v, min(max(s, LEAST), MOST)
 
 
 def _searched(root, k: int):
@@ -271,22 +314,24 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) ->
 
     placed = cut(vectors.select("vec_id", "v", "dim").mapInArrow(_nearest(root), "vec_id long, v array<long>, dim int, node int"))
     sizes = placed.groupBy("dim", "node").agg(F.count("*").alias("rows")).withColumn("shards", F.ceil(F.col("rows") / SHARD).cast("int")).drop("rows")
-    dealt = placed.join(F.broadcast(sizes), ["dim", "node"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    sizes = cut(sizes)
+    dealt = placed.join(sizes, ["dim", "node"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
     trees = cut(dealt.select("dim", "node", "shard", "vec_id", "v").groupBy("dim", "node", "shard").applyInArrow(_tree(root), _TREE))
 
     radii = {d: np.full(len(chosen[d]), -1.0) for d in longest}
     for r in trees.groupBy("dim", "node").agg(F.max("radius").alias("r")).collect():  # PIVOTS rows for each length
         radii[r.dim][r.node] = r.r
 
-    search = lambda blocks, where: where.join(blocks, ["dim", "node"]).mapInArrow(_searched(root, k), _HIT)
+    search = lambda blocks, where: where.join(blocks, ["dim", "node", "shard"]).mapInArrow(_searched(root, k), _HIT)
     near = asked.select("vec_id", "v", "dim").mapInArrow(_nearest(root), "vec_id long, v array<long>, dim int, node int").withColumn("bound", F.lit(float("inf")))
-    first = cut(search(_blocks(near), trees.where("shard = 0")))
+    first = cut(search(_blocks(near).withColumn("shard", F.lit(0)), trees.where("shard = 0")))
     kth = _top(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
     q2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     most = F.element_at(F.create_map(*[F.lit(x) for d, m in longest.items() for x in (d, float(m))]), F.col("dim")) if longest else F.lit(0.0)
-    bounded = asked.join(kth, "vec_id", "left").withColumn("bound", F.when(F.col("score").isNull(), float("inf")).otherwise(F.sqrt(F.greatest(q2 + most - 2.0 * F.col("score"), F.lit(0.0)))))
+    bounded = asked.join(kth, "vec_id", "left").withColumn("bound", F.when(F.col("score").isNull() | (F.col("score") == F.lit(LEAST)), float("inf")).otherwise(F.sqrt(F.greatest(q2 + most - 2.0 * F.col("score"), F.lit(0.0)))))
     reach = bounded.select("vec_id", "v", "dim", "bound").mapInArrow(_reaches(root, radii), "vec_id long, v array<long>, dim int, bound double, node int")
-    hits = search(_blocks(reach), trees)
+    each = _blocks(reach).join(sizes, ["dim", "node"]).withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards")
+    hits = search(each, trees)
     return _top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -7,9 +7,12 @@ logistic of w0 + w.x + sum over i<j of <v_i, v_j> x_i x_j, whose last part is ha
 
 The model is fitted on the driver from a bounded sample of labelled rows (`SAMPLE` of each
 label, by the least hashes of doc_id); everything else runs in tasks over whole texts.
-doc_id, lang, source and labels are never features. Empty and null texts have the statistics
-of an empty text. Without labels the score is 0.5. A doc_id with several labels counts as
-good only if all say so; repeated rows are scored each for itself.
+doc_id, lang, source and labels are never features, so of the metadata only the text's own
+size is left. Empty and null texts have the statistics of an empty text; texts of any length
+are read whole, in blocks. Without labels the score is 0.5. A doc_id with several labels
+counts as good only if all say so; repeated rows are scored each for itself; an empty table
+gives no rows; columns that aren't kept can't clash, and kept ones may have any name but those
+of the result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import of
-from ._text import BLOCK, chunks, hashes, lower, utf8, words
+from ._text import BLOCK, chunks, hashes, lower, release, utf8, words
 
 CELLS = 2048
 SAMPLE = 4000  # labelled rows of each label that the model is fitted on, at most
@@ -107,7 +110,8 @@ class Machine:
             return self
         self.mean[CELLS:] = x[:, CELLS:].mean(axis=0)
         self.scale[CELLS:] = 1 / np.maximum(x[:, CELLS:].std(axis=0), 1e-3)
-        x = (x - self.mean) * self.scale
+        x = x - self.mean
+        x *= self.scale
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         order, state, step = np.random.default_rng(5), {}, 0
         for _ in range(EPOCHS):
@@ -153,7 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Machine:
     for i, j in enumerate(take.tolist()):
         x[i, at[j].values.to_numpy()] = value[j].values.to_numpy()
         y[i] = label[j].as_py()
-    return Machine().fit(x, y)
+    del found, at, value, label
+    machine = Machine().fit(x, y)
+    del x
+    release()  # the driver has no more use for it
+    return machine
 
 
 def _scored(machine, text_at: int):
