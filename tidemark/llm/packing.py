@@ -80,7 +80,7 @@ def points(column: pa.Array) -> np.ndarray:
         n = len(offsets) - 1
         cell = doc * WIDTH + (h & np.uint64(WIDTH - 1)).astype(np.int64)
         sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(float)
-        v = np.bincount(cell, sign, n * WIDTH).reshape(n, WIDTH)
+        v = np.bincount(cell, sign, n * WIDTH).astype(float).reshape(n, WIDTH)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         out.append(np.clip((v @ matrix + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
     return np.concatenate(out) if out else np.zeros((0, DIMS), np.int64)
