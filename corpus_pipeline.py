@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it works on all that the one
 before it kept. All but the last give the columns of documents, with n_chars of the new text.
+
+Null and empty texts pass the first stages as what they are (a null text is an empty one for
+the classifier, has no lines and no copies) and leave the passages' stage empty; packing closes
+them with one id. Rows with a null doc_id stay, but never keep a line, copy or passage for
+others; repeated rows are judged alike. Texts of any length are worked on whole. An empty
+table gives an empty result with the same columns, and other columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five words, similarity 0.8."""
-    return without_near_duplicates(docs, words=5, num=4, den=5)
+    return without_near_duplicates(docs.select("doc_id", "text", "lang", "source", "n_chars"), words=5, num=4, den=5)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
