@@ -77,18 +77,20 @@ def git_change_counts(changes: DataFrame) -> DataFrame:
 
 
 def worktree_aligned(changed: DataFrame, manifest: DataFrame, disk: DataFrame) -> DataFrame:
-    """(folder_id, aligned): whether a commit's files (folder_id, path) stand on disk as the manifest says.
+    """(*keys, aligned): whether each commit's files stand on disk as the manifest says.
 
-    disk: (folder_id, path, size, blocks). No entry: not aligned; a tombstone must be absent;
+    changed: (folder_id, path) of one commit a folder, or of many with further columns that tell
+    them apart; all columns but path are the keys. disk: (folder_id, path, size, blocks). No entry: not aligned; a tombstone must be absent;
     else size, then block hashes must agree.
     """
     m = as_manifest(manifest).select(*KEYS, F.struct("deleted", "size", "blocks").alias("m"))
     d = disk.select(*KEYS, F.struct("size", "blocks").alias("d"))
-    j = changed.select(*KEYS).distinct().join(m, KEYS, "left").join(d, KEYS, "left")
+    keys = [c for c in changed.columns if c != "path"]
+    j = changed.distinct().join(m, KEYS, "left").join(d, KEYS, "left")
     ok = (
         F.when(F.col("m").isNull(), False)
         .when(F.col("m.deleted"), F.col("d").isNull())
         .when(F.col("d").isNull() | (F.col("m.size") != F.col("d.size")), False)
         .otherwise(F.col("m.blocks") == F.col("d.blocks"))
     )
-    return j.groupBy("folder_id").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("aligned"))
+    return j.groupBy(*keys).agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("aligned"))

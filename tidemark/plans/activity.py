@@ -36,10 +36,10 @@ def history_stats(spark, sf_dir):
     return out.withColumn("oldest_ts", F.col("oldest_ts").cast("timestamp_ntz"))
 
 
-@query(f"WITH {fx.EVENTS} SELECT {_NAMES} FROM e WHERE folder_id <> 'f3'")
+@query(f"WITH {fx.EVENTS} SELECT {_NAMES} FROM e")
 def union_history(spark, sf_dir):
     e = fx.events(spark, sf_dir)
-    return history.union_history(*[e.where(F.col("folder_id") == f) for f in ("f0", "f1", "f2")]).select(*_COLS)
+    return history.union_history(*[e.where(F.col("folder_id") == f) for f in ("f0", "f1", "f2", "f3")]).select(*_COLS)
 
 
 @query(f"WITH {fx.EVENTS} SELECT {_NAMES}, '/srv/' || folder_id AS folder_path FROM e")

@@ -189,10 +189,11 @@ def git_change_counts(spark, sf_dir):
     return commits.git_change_counts(commits.git_entries(exported))
 
 
-@query(f"WITH {_M1} SELECT l.folder_id, bool_and(CASE WHEN l.deleted THEN r.path IS NULL WHEN r.path IS NULL OR l.size <> r.size THEN false ELSE l.b0 = r.b0 END) AS aligned FROM l LEFT JOIN (SELECT * FROM r WHERE NOT deleted) r ON l.folder_id = r.folder_id AND l.path = r.path WHERE l.size % 500 = 0 GROUP BY l.folder_id")
+@query(f"WITH {_M1} SELECT l.folder_id, split_part(l.path, '/', 1) AS commit_id, bool_and(CASE WHEN l.deleted THEN r.path IS NULL WHEN r.path IS NULL OR l.size <> r.size THEN false ELSE l.b0 = r.b0 END) AS aligned FROM l LEFT JOIN (SELECT * FROM r WHERE NOT deleted) r ON l.folder_id = r.folder_id AND l.path = r.path GROUP BY ALL")
 def worktree_aligned(spark, sf_dir):
     l, r = fx.manifest(spark, sf_dir), fx.manifest(spark, sf_dir, True)
-    return commits.worktree_aligned(l.where("size % 500 = 0"), l, r.where("not deleted"))
+    changed = l.select(*KEYS, F.split_part("path", F.lit("/"), F.lit(1)).alias("commit_id"))
+    return commits.worktree_aligned(changed, l, r.where("not deleted"))
 
 
 @query(f"WITH {fx.EVENTS} SELECT seq, strftime(ts, '%Y-%m-%d') AS day, path LIKE 'p1%' AS real FROM e")
