@@ -85,10 +85,10 @@ def _link_numbers(texts, k, num, den):
     return [sum(similar(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
 
 
-@pytest.mark.parametrize("seed,k,num,den,block", [(1, 3, 9, 10, 256), (2, 5, 4, 5, 2), (4, 1, 1, 2, 3)])
+@pytest.mark.parametrize("seed,k,num,den,block", [(1, 3, 9, 10, 1 << 20), (2, 5, 4, 5, 100), (4, 1, 1, 2, 150)])
 def test_links_are_counted_whole(spark, monkeypatch, seed, k, num, den, block):
     """All links count, also between texts of one group and within a component."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block)
     r = random.Random(seed)
     base = [f"b{i}" for i in range(60)]
     near = [" ".join(f"n{r.randrange(9)}" if r.random() < 0.02 else w for w in base) for _ in range(40)]

@@ -2,9 +2,12 @@
 
 1. Texts become sets of hashed word shingles. Equal sets are one class, named by its
    smallest doc_id; copies are never paired with each other.
-2. Classes are partitioned into groups of similar ones: classes with one MinHash value
-   form a bucket, and those that verify against the bucket's smallest class (its leader)
-   form its group. Every other class is a group of its own.
+2. Classes are partitioned into groups of similar ones. Classes with one of `HASHES` MinHash
+   values in common form a bucket. Its head is the class with the smallest share of tokens
+   that no other text has: in a cluster of near copies, the one nearest to the middle. A class
+   joins the first of its buckets' heads with which its estimated similarity (`BINS` minima)
+   is high enough, and with it that one's group.
+   Any partition gives the same result; a good one puts each cluster into one group.
 3. The token-group matrix has a row (token, group, smallest and largest set) for each token
    of the union of a group's prefixes. Prefixes follow one global order, rare tokens first:
    a class of n shingles shares at least ceil(t * n) with any partner, so its first
@@ -13,20 +16,17 @@
    of prefixes as far as can be; any order would be exact.
 4. A query class meets the groups that own one of its prefix tokens and fit in size; the
    number of prefix tokens met bounds its overlap with every class of the group, and only
-   groups that reach the bound go on. They are verified against the group's leader, and
-   links so far are contracted into components.
-5. Groups of several classes that are still apart from their query are bounded again, by the
-   query's overlap with the union of all tokens of a part of the group (about `PART`
-   classes). Only parts that reach ceil(t * n) are opened: a block of queries and a part
-   meet in one task, where pairs are verified until a query has a link to the group.
-6. If links are to be counted, every two classes of one group and every candidate of step 4
-   are verified, blocks of classes against each other. A pair is met in one place only: there
-   each class gets the other's number of copies. Partial sums leave the task, never pairs.
+   groups that reach the bound are opened: one of a single class by verifying the pair, a
+   larger one in blocks.
+5. Blocks: the classes of a group among themselves, and queries against an opened group, are
+   verified block against block, by products of 0/1 matrices. Blocks are as large as memory
+   allows (`BLOCK_TOKENS`, `BLOCK_SETS`), so a class is sent to few. A pair is met in one
+   place only. Spanning links and sums of links leave the task, never all pairs.
 
 No cap is set anywhere: a link is missed only if two 64-bit hashes collide within a pair.
 Rows with a null doc_id or an empty set take no part in links. Rows that share a doc_id are
 versions of one document: a link of one joins it to a component. Links are counted for each
-text of a doc_id.
+text of a doc_id. Columns besides doc_id and text are left out whatever their names.
 """
 
 from __future__ import annotations
@@ -41,13 +41,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, maybe_in, of, written
+from ._spark import cut, maybe_in, of, spread, written
 from ._text import mix, shingle_sets
 from .components import components
 
 MAX_CELLS = 1 << 24  # of the frequency sketch: 16 MB on the driver and in each task, at most
 SHARDS, FAN = 64, 8
-PART, BLOCK = 64, 256  # classes of a group whose tokens make one union; queries that meet them at a time
+BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 2048  # of a block of classes (8 MB), but for one larger class
+HASHES, BINS = 4, 32  # MinHash values by which classes meet; minima by which similarity is estimated
+_MINS = (np.uint64(1), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2127599BF4325C37))
 
 
 def _packed(shard: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
@@ -107,20 +109,32 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return hashlib.md5(s.tobytes(), usedforsecurity=False).digest()
 
 
+def _bins(h: np.ndarray) -> np.ndarray:
+    """The least hash in each of BINS equal ranges, 32 bits of each; 0 where there is none."""
+    h = np.sort(h)
+    at = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(59))
+    out = (h[np.minimum(at, len(h) - 1)] >> np.uint64(27)).astype(np.uint32) | np.uint32(1)
+    return np.where(np.diff(np.append(at, len(h))) > 0, out, np.uint32(0)).astype(np.uint32).view(np.int32)
+
+
 def _signatures(k: int, num: int, den: int, order):
     def run(batches):
         for b in batches:
-            n, fp, least, prefix = [], [], [], []
+            n, fp, rare, mins, bins, prefix = [], [], [], [], [], []
             for _, s in shingle_sets(b.column(1), k):
                 n.append(len(s))
                 fp.append(_fingerprint(s))
-                least.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).min().astype(np.int64)) if len(s) else None)
+                h = mix(s ^ np.uint64(0x632BE59BD9B4E019))
+                mins.append([int((h * odd).min().astype(np.int64)) for odd in _MINS[:HASHES]] if len(s) else None)
+                bins.append(_bins(h) if len(s) else None)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 rank = order.value[(s & np.uint64(len(order.value) - 1)).astype(np.int64)]
+                rare.append(int(1000 * np.count_nonzero(rank < 2)) // max(len(s), 1))
                 prefix.append(s[np.argsort(rank, kind="stable")[:p]].astype(np.int64))
             ends = np.cumsum([0, *map(len, prefix)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(least, pa.int64()), tokens], ["doc_id", "n", "fp", "least", "prefix"])
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(rare, pa.int32()), pa.array(mins, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32())), tokens]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "rare", "mins", "bins", "prefix"])
 
     return run
 
@@ -165,60 +179,6 @@ def _cached(texts: pa.Array, ids: list, k: int, kept: OrderedDict):
         yield value
 
 
-def _union(k: int):
-    def run(key, members):
-        tokens, least = np.zeros(0, np.uint64), None
-        for b in members.to_batches():
-            for _, s in shingle_sets(b.column("text"), k):
-                tokens = np.union1d(tokens, s)
-                least = len(s) if least is None else min(least, len(s))
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int32()), pa.array([tokens.tobytes()], pa.binary()), pa.array([least or 0], pa.int64())], ["g", "part", "tokens", "least"])
-
-    return run
-
-
-def _bounded(k: int, num: int, den: int):
-    """Rows (a, g, part, ta, tokens, least) whose bound reaches the threshold, as (a, g, part)."""
-
-    def run(batches):
-        for b in batches:
-            ok = []
-            for i, x in shingle_sets(b.column(3), k):
-                union = np.frombuffer(b.column(4)[i].as_py(), np.uint64)
-                need = -(-num * max(len(x), b.column(5)[i].as_py()) // den)
-                ok.append(len(x) > 0 and len(np.intersect1d(x, union, assume_unique=True)) >= need)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2)], ["a", "g", "part"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
-
-def _opened(k: int, num: int, den: int):
-    """Links of a block of queries to an opened part of a group.
-
-    A group's classes are one component already, so a query's first link to it is enough.
-    """
-
-    def sets(rows: pa.Table):
-        for b in rows.to_batches():
-            ids = b.column("id").to_pylist()
-            for i, s in shingle_sets(b.column("text"), k):
-                yield ids[i], s
-
-    def run(queries: pa.Table, held: pa.Table) -> pa.Table:
-        inside, found = list(sets(held)), []
-        for a, x in sets(queries):
-            for b, y in inside:
-                if len(x) and len(y) and den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * both >= num * (len(x) + len(y) - both):
-                        found.append((a, b))
-                        break
-        x = list(zip(*found)) or [(), ()]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in x], ["a", "b"])
-
-    return run
-
-
 def _sets(k: int):
     def run(batches):
         for b in batches:
@@ -228,7 +188,7 @@ def _sets(k: int):
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 13) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 << 11) -> np.ndarray:
     """Shared tokens of each set of left and each of right, by products of 0/1 matrices of `width` tokens."""
     out = np.zeros((len(left), len(right)))
     entries = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
@@ -253,50 +213,60 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 1 <<
     return out.astype(np.int64)
 
 
-def _counted(num: int, den: int):
-    """Weights of similar classes, added up for each class of two blocks (or of one, against itself)."""
+def spanning(ok: np.ndarray) -> list[tuple[int, int, int]]:
+    """Links that join up each component of a bipartite graph: (row, 0, column) or (row, 1, row)."""
+    rows, columns, out = np.zeros(ok.shape[0], bool), np.zeros(ok.shape[1], bool), []
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        if rows[i]:
+            continue
+        rows[i], new = True, np.array([i])
+        while len(new):
+            reached = np.flatnonzero(ok[new].any(axis=0) & ~columns)
+            columns[reached] = True
+            new = np.flatnonzero(ok[:, reached].any(axis=1) & ~rows) if len(reached) else reached
+            rows[new] = True
+            out += [(i, 0, j) for j in reached.tolist()] + [(i, 1, j) for j in new.tolist()]
+    return out
+
+
+_MET = "fp binary, n_links long, a long, b long"
+
+
+def _met(num: int, den: int, count: bool):
+    """Of two blocks of classes (or one, against itself): weights of similar classes, added up for each, and spanning links."""
 
     def run(key, rows):
-        side, weight = rows.column("side").to_numpy(), rows.column("w").to_numpy()
-        fp = np.array(rows.column("fp").to_pylist(), object)
+        side, weight, ids = (rows.column(c).to_numpy() for c in ("side", "w", "doc_id"))
+        fp = rows.column("fp").to_pylist()
         sets = [np.frombuffer(t, np.uint64) for t in rows.column("tokens").to_pylist()]
         one = np.flatnonzero(side == 0)
         two = one if key[1] == key[2] else np.flatnonzero(side == 1)
-        ids, n = [], []
+        out = []
         if len(one) and len(two):
-            x, y = ([sets[i] for i in at] for at in (one, two))
-            both, sizes = overlaps(x, y), np.array([len(s) for s in sets])
+            both, sizes = overlaps([sets[i] for i in one], [sets[i] for i in two]), np.array([len(s) for s in sets])
             ok = den * both >= num * (sizes[one][:, None] + sizes[two][None, :] - both)
             if two is one:
                 np.fill_diagonal(ok, False)
-            for at, sums in ((one, ok @ weight[two]), (two, weight[one] @ ok))[: 1 if two is one else 2]:
-                ids += fp[at[sums > 0]].tolist()
-                n += sums[sums > 0].tolist()
-        return pa.Table.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["fp", "n_links"])
+            out += [(None, None, int(ids[one[i]]), int(ids[one[j] if same else two[j]])) for i, same, j in spanning(ok)]
+            if count:
+                for at, sums in ((one, ok @ weight[two]), (two, weight[one] @ ok))[: 1 if two is one else 2]:
+                    out += [(fp[i], n, None, None) for i, n in zip(at[sums > 0].tolist(), sums[sums > 0].tolist())]
+        x = list(zip(*out)) or [()] * 4
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(x, (pa.binary(), *[pa.int64()] * 3))], ["fp", "n_links", "a", "b"])
 
     return run
 
 
-def link_counts(docs: DataFrame, classes: DataFrame, copies: DataFrame, candidates: DataFrame, found: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(fp, n_links) of classes with links: documents with the same set, but for one, and with similar sets.
+def opened_groups(docs: DataFrame, classes: DataFrame, asked: DataFrame, words: int, num: int, den: int, count: bool) -> DataFrame:
+    """Rows of _MET: the classes of each group among themselves, and the classes asked against their groups.
 
-    classes: (doc_id, fp, g), one a fingerprint; copies: (doc_id, fp) of documents that are not
-    their class's first; candidates: (a, g); found: verified (a, b, fa, fb) with b a group's name.
+    classes: (doc_id, fp, n, g, w); asked: (g, a), g of several classes.
     """
-    more = copies.select("doc_id", "fp").distinct().groupBy("fp").agg(F.count("*").alias("more"))
-    classes = cut(classes.join(more, "fp", "left").select("doc_id", "fp", "g", (1 + F.coalesce("more", F.lit(0))).alias("w")))
-    side = lambda s: classes.select(F.col("fp").alias(f"f{s}"), F.col("doc_id").alias(s), F.col("g").alias(f"g{s}"), F.col("w").alias(f"w{s}"))
-    led = found.distinct().join(side("a"), ["a", "fa"]).join(side("b").where("b = gb"), ["b", "fb"])
-    sums = classes.where("w > 1").select("fp", (F.col("w") - 1).alias("n_links"))
-    sums = sums.unionByName(led.groupBy(F.col("fa").alias("fp")).agg(F.sum("wb").alias("n_links")))
-    sums = sums.unionByName(led.groupBy(F.col("fb").alias("fp")).agg(F.sum("wa").alias("n_links")))
-
-    groups = classes.groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
-    asked = candidates.join(groups, "g").select("g", "a")
+    groups = classes.groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("n_held")).where("members > 1")
     asked = cut(asked.join(classes.drop("g").withColumnRenamed("doc_id", "a"), "a").withColumnRenamed("a", "doc_id"))
-    queries = asked.groupBy("g").agg(F.count("*").alias("queries"))
-    groups = groups.join(queries, "g", "left").select("g", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"), F.ceil(F.coalesce("queries", F.lit(0)) / BLOCK).cast("int").alias("nq"))
-    groups = cut(groups)
+    queries = asked.groupBy("g").agg(F.count("*").alias("queries"), F.sum("n").alias("n_asked"))
+    blocks = lambda n, rows: F.coalesce(F.ceil(F.greatest(F.col(n) / BLOCK_TOKENS, F.col(rows) / BLOCK_SETS)).cast("int"), F.lit(0))
+    groups = cut(groups.join(queries, "g", "left").select("g", blocks("n_held", "members").alias("nb"), blocks("n_asked", "queries").alias("nq")))
     members = cut(classes.join(groups, "g"))
     ids = members.select("doc_id").unionByName(asked.select("doc_id"))
     known = maybe_in(docs.where("doc_id is not null"), "doc_id", ids).where("maybe").select("doc_id", "text")
@@ -305,12 +275,11 @@ def link_counts(docs: DataFrame, classes: DataFrame, copies: DataFrame, candidat
     block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     keyed = lambda i, j, s: [F.col("g"), i.alias("i"), j.alias("j"), s.alias("side"), F.col("doc_id"), F.col("fp"), F.col("w")]
     inside = members.withColumn("at", block("nb")).withColumn("to", F.explode(F.expr("sequence(0, nb + nq - 1)")))
-    inside = inside.where("to < nb or doc_id <> g").select(*keyed(F.least("at", "to"), F.greatest("at", "to"), F.when(F.col("to") < F.col("at"), 1).otherwise(0)))
+    inside = inside.select(*keyed(F.least("at", "to"), F.greatest("at", "to"), F.when(F.col("to") < F.col("at"), 1).otherwise(0)))
     outside = asked.join(groups, "g").withColumn("to", F.explode(F.expr("sequence(0, nb - 1)")))
     outside = outside.select(*keyed(F.col("to"), F.col("nb") + block("nq"), F.lit(1)))
-    met = inside.unionByName(outside).join(known, ["doc_id", "fp"]).select("g", "i", "j", "side", "fp", "w", "tokens")
-    sums = sums.unionByName(cut(met.groupBy("g", "i", "j").applyInArrow(_counted(num, den), "fp binary, n_links long")))
-    return sums.groupBy("fp").agg(F.sum("n_links").alias("n_links"))
+    met = inside.unionByName(outside).join(known, ["doc_id", "fp"]).select("g", "i", "j", "side", "doc_id", "fp", "w", "tokens")
+    return cut(met.groupBy("g", "i", "j").applyInArrow(_met(num, den, count), _MET))
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -353,16 +322,39 @@ def bounded_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return met.where(F.col("met") >= _need(F.col("n"), F.col("lo"), F.col("hi"), num, den)).select("a", "g").distinct()
 
 
-def _bounded_pairs(pairs: DataFrame, sigs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of classes whose prefixes match often enough."""
-
-    def prefixes(side: str) -> DataFrame:
-        near = maybe_in(sigs.select("doc_id", "n", "prefix"), "doc_id", pairs.select(side)).where("maybe")
-        return near.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("prefix").alias(f"p{side}"))
-
-    j = pairs.join(prefixes("a"), "a").join(prefixes("b"), "b")
-    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.size(F.array_intersect("pa", "pb")) >= _need(F.col("na"), F.col("nb"), F.col("nb"), num, den))
-    return j.where(fits).select("a", "b").distinct()
+def _without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key isn't in ids (a column of the same name); the rest of df stays out of the shuffle."""
+    marked = maybe_in(df, key, ids)
+    return marked.where("not maybe").unionByName(marked.where("maybe").join(ids, key, "left_anti")).drop("maybe")
+
+
+def grouped_classes(live: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): class a belongs to the group named b; other classes are groups of their own, those of a doc_id with several texts too."""
+    several = live.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("doc_id")
+    apart = cut(copies.select("doc_id").unionByName(several).distinct())
+    first = written(_without(live.select("doc_id", "n", "rare", "mins", "bins"), "doc_id", apart).withColumnRenamed("doc_id", "a"))
+    place = lambda rare, a: F.struct(rare, F.xxhash64(a).alias("o"), F.col(a).alias("head"))
+    keyed = first.select("a", "rare", F.posexplode("mins").alias("r", "v"))
+    buckets = keyed.groupBy("r", "v").agg(F.min(place("rare", "a"))["head"].alias("b"), F.count("*").alias("size"))
+    buckets = cut(buckets.where("size > 1").select("r", "v", "b"))
+    met = maybe_in(keyed, "v", buckets.select("v")).where("maybe").join(buckets, ["r", "v"]).where("a <> b")
+    met = cut(met.select("a", "b").distinct())
+
+    near = met.join(maybe_in(first, "a", met.select("a")).where("maybe").select("a", "n", "bins"), "a")
+    heads = maybe_in(first, "a", met.select("b")).where("maybe")
+    near = near.join(heads.select(F.col("a").alias("b"), F.col("n").alias("nb"), F.col("rare").alias("rb"), F.col("bins").alias("to")), "b")
+    near = near.where(den * F.least("n", "nb") >= num * F.greatest("n", "nb"))
+    pairs = F.arrays_zip("bins", "to")
+    same = F.size(F.filter(pairs, lambda x: (x["bins"] == x["to"]) & (x["to"] != 0)))
+    seen = F.size(F.filter(pairs, lambda x: (x["bins"] != 0) | (x["to"] != 0)))
+    near = near.where(10 * den * same >= (10 * num - 3 * den) * seen)
+    led = cut(near.groupBy("a").agg(F.min(place("rb", "b"))["head"].alias("b")))
+    while True:  # heads that have a head themselves hand their classes on; each comes before its classes, so this ends
+        up = led.select(F.col("a").alias("b"), F.col("b").alias("to"))
+        moved = cut(led.join(up, "b", "left").select("a", F.coalesce("to", "b").alias("b"), F.col("to").isNotNull().alias("moved")))
+        led = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return led
 
 
 def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, count: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -372,20 +364,13 @@ def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, c
 
     Two documents are similar when den * |intersection| >= num * |union|.
     """
-    docs = of(docs, doc_id="long", text="string")
-    verified = lambda pairs: cut(_with_texts(pairs, docs).mapInArrow(_verified(words, num, den), "a long, b long, fa binary, fb binary").distinct())
-
-    sigs = written(docs.mapInArrow(_signatures(words, num, den, token_order(docs, words)), "doc_id long, n long, fp binary, least long, prefix array<long>"))
+    docs = spread(of(docs, doc_id="long", text="string"))
+    kinds = "doc_id long, n long, fp binary, rare int, mins array<long>, bins array<int>, prefix array<long>"
+    sigs = written(docs.mapInArrow(_signatures(words, num, den, token_order(docs, words)), kinds))
     live = sigs.where("doc_id is not null and n > 0")
-    firsts = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
+    firsts = cut(live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last"))
     copies = cut(live.select("doc_id", "fp").join(firsts, "fp").where("doc_id > rep"))
-
-    own = live.select("doc_id", "fp", "least").join(copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("a"), "least")
-    own = cut(own)
-    buckets = own.groupBy("least").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b < last").drop("last")
-    near = cut(own.join(buckets, "least").where("a > b").select("a", "b").distinct())
-    stars = verified(cut(_bounded_pairs(near, live, num, den)))
-    led = cut(stars.groupBy("a").agg(F.min("b").alias("b")))  # versions of one doc_id may have two leaders
+    led = grouped_classes(live, copies, num, den)
 
     marked = maybe_in(live.select("doc_id", "fp", "n", "prefix"), "doc_id", copies.select("doc_id").unionByName(led.select(F.col("a").alias("doc_id"))))
     alone = marked.where("not maybe").select("doc_id", "fp", "n", "prefix", F.col("doc_id").alias("g"))
@@ -395,41 +380,26 @@ def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, c
     rows = classes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("a"), F.col("n").cast("int"), "g")
     shared = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token")
     rows = cut(maybe_in(rows, "token", cut(shared)).where("maybe").drop("maybe"))
-
     candidates = cut(bounded_groups(rows, num, den))
-    found = verified(candidates.select("a", F.col("g").alias("b")))
-    links = stars.unionByName(found).select("a", "b")
-
-    sizes = led.groupBy(F.col("b").alias("g")).agg(F.count("*").alias("members"))
-    joined = components(links, "a", "b")
-    at = lambda name: joined.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-    apart = candidates.join(sizes, "g").join(at("a"), "a", "left").join(at("g"), "g", "left")
-    apart = cut(apart.where(~F.col("c_a").eqNullSafe(F.col("c_g"))).select("a", "g", "members"))
-    if not apart.isEmpty():
-        parts = lambda who: F.pmod(F.xxhash64(who), F.ceil(F.col("members") / PART)).cast("int")
-        touched = apart.select("g", "members").distinct()
-        led = led.select(F.col("a").alias("b"), F.col("b").alias("g"))
-        members = cut(led.join(touched, "g").withColumn("part", parts("b")).drop("members"))
-        known = maybe_in(docs.where("doc_id is not null"), "doc_id", members.select("b").unionByName(apart.select(F.col("a").alias("b")))).where("maybe").drop("maybe")
-        texts = members.join(known.withColumnRenamed("doc_id", "b"), "b").select("g", "part", "text")
-        unions = texts.groupBy("g", "part").applyInArrow(_union(words), "g long, part int, tokens binary, least long")
-        asks = apart.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").drop("members")
-        opened = asks.join(unions, "g").select("a", "g", "part", "ta", "tokens", "least").mapInArrow(_bounded(words, num, den), "a long, g long, part int")
-        opened = cut(opened.distinct())
-        blocks = opened.groupBy("g", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        blocked = opened.join(blocks, ["g", "part"]).withColumn("block", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
-        queries = blocked.join(asks, ["a", "g"]).select("g", "part", "block", F.col("a").alias("id"), F.col("ta").alias("text"))
-        held = blocked.select("g", "part", "block").distinct().join(members, ["g", "part"]).join(known.withColumnRenamed("doc_id", "b"), "b")
-        held = held.select(*[F.col(c).alias(c) for c in ("g", "part", "block")], F.col("b").alias("id"), "text")
-        keys = ["g", "part", "block"]
-        links = links.unionByName(cut(queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_opened(words, num, den), "a long, b long")))
-    copied = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    weights = copies.select("doc_id", "fp").distinct().groupBy("fp").agg((1 + F.count("*")).alias("w"))
+    classes = cut(classes.select("doc_id", "fp", "n", "g").distinct().join(weights, "fp", "left").fillna(1, ["w"]))
+    several = cut(classes.groupBy("g").agg(F.count("*").alias("members")).where("members > 1").select("g"))
+    pairs = candidates.join(several, "g", "left_anti").select("a", F.col("g").alias("b"))
+    found = cut(_with_texts(cut(pairs), docs).mapInArrow(_verified(words, num, den), "a long, b long, fa binary, fb binary").distinct())
+    opened = opened_groups(docs, classes, candidates.join(several, "g", "left_semi").select("g", "a"), words, num, den, count)
+
+    links = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionByName(found.select("a", "b")).unionByName(opened.where("a is not null").select("a", "b"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles"))
     if count:
-        counts = link_counts(docs, classes.select("doc_id", "fp", "g").distinct(), copies, candidates, found, words, num, den)
+        weight = lambda s: classes.select(F.col("fp").alias(f"f{s}"), F.col("doc_id").alias(s), F.col("w").alias(f"w{s}"))
+        each = found.join(weight("a"), ["a", "fa"]).join(weight("b"), ["b", "fb"])
+        sums = weights.select("fp", (F.col("w") - 1).alias("n_links")).unionByName(opened.where("fp is not null").select("fp", "n_links"))
+        sums = sums.unionByName(each.groupBy(F.col("fa").alias("fp")).agg(F.sum("wb").alias("n_links")))
+        sums = cut(sums.unionByName(each.groupBy(F.col("fb").alias("fp")).agg(F.sum("wa").alias("n_links"))).groupBy("fp").agg(F.sum("n_links").alias("n_links")))
         n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long")
-        out = sigs.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(counts, "fp", "left").select("doc_id", "n_shingles", n_links.alias("n_links"))
-    return out, copied.unionByName(links)
+        out = sigs.select("doc_id", "fp", F.col("n").alias("n_shingles")).join(sums, "fp", "left").select("doc_id", "n_shingles", n_links.alias("n_links"))
+    return out, links
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, count: bool = True) -> DataFrame:
