@@ -39,6 +39,16 @@ def of(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
+SMALL = 8 << 20  # bytes for each core: what is less is dealt out, since one small file would be one task
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if the optimizer takes it for small; for work that Python does on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from ._spark import of
+from ._spark import of, spread
 
 #: The pattern of byte-level vocabularies of this kind, with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -201,10 +201,10 @@ def _round_trip(name: str, whole: bool):
 def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids packed as little-endian 32-bit numbers, decoded the text they give back."""
     name = ship_vocabulary(docs.sparkSession, vocabulary_path)
-    return of(docs, doc_id="long", text="string").mapInArrow(_round_trip(name, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_round_trip(name, True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def encode_decode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by the same code, without carrying ids and texts on."""
     name = ship_vocabulary(docs.sparkSession, vocabulary_path)
-    return of(docs, doc_id="long", text="string").mapInArrow(_round_trip(name, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_round_trip(name, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._spark import of
+from ._spark import of, spread
 
 LABELLED = 400
 # Fixed values of HTML: elements by their part in the tree.
@@ -409,4 +409,4 @@ def _extracted(batches):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of rows (page_id, url, html)."""
-    return of(pages, page_id="long", url="string", html="string").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return spread(of(pages, page_id="long", url="string", html="string")).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._spark import of
+from ._spark import of, spread
 
 UNIT = 576
 # Fixed values of the format: kbit/s by (is MPEG-1, layer), from index 1; Hz of MPEG-1.
@@ -320,7 +320,7 @@ def _read(batches):
 
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each text's UTF-8 bytes as an MPEG audio stream."""
-    return of(docs, doc_id="long", text="string").mapInArrow(_write, "doc_id long, media binary")
+    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_write, "doc_id long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import of
+from ._spark import of, spread
 from ._text import chunks, hashes, utf8, words
 from .bpe import PATTERN, Bpe, ship_vocabulary, vocabulary
 
@@ -216,6 +216,6 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, close_id: in
     CRC-32, as ids_crc32, stands instead.
     """
     name = ship_vocabulary(docs.sparkSession, vocabulary_path)
-    dealt = range_sorted(of(docs, doc_id="long", text="string"))
+    dealt = range_sorted(spread(of(docs, doc_id="long", text="string")))
     kind = "ids binary" if keep_ids else "ids_crc32 long"
     return dealt.mapInArrow(_packed(name, length, close_id, keep_ids), f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import of
+from ._spark import of, spread
 from ._text import BLOCK, chunks, hashes, lower, release, utf8, words
 
 CELLS = 2048
@@ -177,7 +177,7 @@ def _scored(machine, text_at: int):
 
 def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, *keep, score, predicted): predicted is 1 from THRESHOLD on. keep: further text columns."""
-    d = of(docs, doc_id="long", text="string", **{c: "string" for c in keep})
+    d = spread(of(docs, doc_id="long", text="string", **{c: "string" for c in keep}))
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     names = "".join(f", `{c}` string" for c in keep)
     out = d.mapInArrow(_scored(sent, 1), f"doc_id long, text string{names}, score double")

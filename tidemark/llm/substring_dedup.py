@@ -39,7 +39,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, maybe_in, of, shared_dir, written
+from ._spark import cut, maybe_in, of, shared_dir, spread, written
 from ._text import BLOCK, chunks, grams, hashes, mix, utf8, words
 
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 29
@@ -292,7 +292,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50, digest: bool = False, la
     kept_text keeps the white space between kept words, or one space with layout=False;
     with digest its SHA-256 stands instead, as kept_sha256. keep: further text columns.
     """
-    d = of(docs, doc_id="long", text="string", **{c: "string" for c in keep}).withColumn("tie", F.hash("text"))
+    d = of(docs, doc_id="long", text="string", **{c: "string" for c in keep})
+    d = spread(d).withColumn("tie", F.hash("text"))
     known = d.where("doc_id is not null").select("doc_id", "tie", "text")
     copies = _copies(known)
     marked = maybe_in(known, "doc_id", copies.select("doc_id"))
