@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ignore, scalars, vectors
+from tidemark.operators import chunking
 
 VECTORS = [{}, {"A": 1}, {"A": 2}, {"B": 1}, {"A": 1, "B": 1}, {"A": 2, "B": 1}, {"A": 1, "B": 2, "C": 3}, {"A": 0}]
 
@@ -117,3 +119,29 @@ def test_pick_slot_and_digest(spark):
     for r in df.select("k", "n", "b", scalars.pick_slot("k", "n").alias("s"), scalars.content_digest("b").alias("d")).collect():
         assert r.s == (int(hashlib.sha256(r.k.encode()).hexdigest()[:8], 16) % r.n if r.n > 1 else 0)
         assert r.d == (hashlib.sha256("\n".join(r.b).encode()).hexdigest() if r.b else "")
+
+
+def _seeded(seed, n):
+    """Bytes of the 32-bit generator that the known chunk vectors were made with."""
+    low = lambda x: x & np.uint64(0xFFFFFFFF)
+    a = low(np.uint64(seed) + np.uint64(0x6D2B79F5) * np.arange(1, n + 1, dtype=np.uint64))
+    t = low((a ^ a >> np.uint64(15)) * (a | np.uint64(1)))
+    t = low(t + low((t ^ t >> np.uint64(7)) * (t | np.uint64(61)))) ^ t
+    return low(t ^ t >> np.uint64(14)).astype(np.uint8)
+
+
+@pytest.mark.parametrize("seed,size,lengths", [
+    (1, 0, []), (2, 1, [1]), (3, 65_536, [65_536]), (4, 1_048_576, [861_580, 186_996]), (5, 1_048_577, [1_048_577]),
+    (6, 3_158_073, [293_470, 1_190_083, 1_360_805, 313_715]), (8, 4_194_304, [1_799_559, 1_248_327, 704_745, 394_744, 46_929]),
+])
+def test_known_chunks(seed, size, lengths):
+    ends = chunking.cut_points(_seeded(seed, size))
+    assert np.diff([0, *ends]).tolist() == lengths
+
+
+def test_known_hashes():
+    import hashlib
+
+    data = _seeded(4, 1_048_576)
+    assert hashlib.sha256(_seeded(3, 65_536).tobytes()).hexdigest().startswith("ca68af75dd9b4ea1")
+    assert hashlib.sha256(data[:861_580].tobytes()).hexdigest().startswith("bf21d3e5cbc4da7c")
