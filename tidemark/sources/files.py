@@ -9,7 +9,6 @@ from pyspark.sql.functions import PandasUDFType
 
 from tidemark.functions.ignore import TOOL, Rule, ignored_path
 from tidemark.functions.scalars import is_real_date
-from tidemark.operators.common import KEYS
 
 EVENT = "ts bigint, folderId string, path string, action string, direction string, deviceId string, durationMs bigint"
 
