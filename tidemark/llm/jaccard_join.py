@@ -48,8 +48,8 @@ from .components import components
 MAX_CELLS = 1 << 24  # of the frequency sketch: 16 MB on the driver and in each task, at most
 SHARDS, FAN = 64, 8
 BLOCK_TOKENS, BLOCK_SETS = 1 << 20, 2048  # of a block of classes (8 MB), but for one larger class
-HASHES, BINS = 4, 32  # MinHash values by which classes meet; minima by which similarity is estimated
-_MINS = (np.uint64(1), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2127599BF4325C37))
+HASHES, BINS = 8, 32  # MinHash values by which classes meet; minima by which similarity is estimated
+_ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _packed(shard: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
@@ -125,7 +125,7 @@ def _signatures(k: int, num: int, den: int, order):
                 n.append(len(s))
                 fp.append(_fingerprint(s))
                 h = mix(s ^ np.uint64(0x632BE59BD9B4E019))
-                mins.append([int((h * odd).min().astype(np.int64)) for odd in _MINS[:HASHES]] if len(s) else None)
+                mins.append((h[None, :] * _ODD[:, None]).min(axis=1).astype(np.int64).tolist() if len(s) else None)
                 bins.append(_bins(h) if len(s) else None)
                 p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                 rank = order.value[(s & np.uint64(len(order.value) - 1)).astype(np.int64)]
@@ -293,8 +293,8 @@ def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def token_group_matrix(rows: DataFrame) -> DataFrame:
-    """(token, g, lo, hi) from prefix tokens of classes (token, a, n, g)."""
-    return rows.groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    """(token, g, large, lo, hi) from prefix tokens of classes (token, a, n, g, big)."""
+    return rows.groupBy("token", "g").agg(F.max("big").alias("large"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
 
 def _need(n, lo, hi, num: int, den: int):
@@ -311,13 +311,16 @@ def _need(n, lo, hi, num: int, den: int):
 
 
 def bounded_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, g): classes and the groups, of smaller id than their own, that they may be similar to.
+    """(a, g): classes and the groups that they may be similar to.
 
-    Matches with a group's union bound those with any of its classes from above.
+    Of two groups, one's classes ask for the other: a class alone for a group of several, else
+    the larger id for the smaller, so the classes of a cluster don't each ask for what is left
+    over of it. Matches with a group's union bound those with any of its classes from above.
     """
     matrix = token_group_matrix(rows)
     asked = rows.withColumnRenamed("g", "own")
-    fits = (F.col("own") > F.col("g")) & (den * F.col("n") >= num * F.col("lo")) & (num * F.col("n") <= den * F.col("hi"))
+    turn = (~F.col("big") & F.col("large")) | ((F.col("big") == F.col("large")) & (F.col("own") > F.col("g")))
+    fits = turn & (den * F.col("n") >= num * F.col("lo")) & (num * F.col("n") <= den * F.col("hi"))
     met = asked.join(matrix, "token").where(fits).groupBy("a", "g", "n").agg(F.count("*").alias("met"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return met.where(F.col("met") >= _need(F.col("n"), F.col("lo"), F.col("hi"), num, den)).select("a", "g").distinct()
 
@@ -347,7 +350,7 @@ def grouped_classes(live: DataFrame, copies: DataFrame, num: int, den: int) -> D
     pairs = F.arrays_zip("bins", "to")
     same = F.size(F.filter(pairs, lambda x: (x["bins"] == x["to"]) & (x["to"] != 0)))
     seen = F.size(F.filter(pairs, lambda x: (x["bins"] != 0) | (x["to"] != 0)))
-    near = near.where(10 * den * same >= (10 * num - 3 * den) * seen)
+    near = near.where(10 * den * same >= (10 * num - 4 * den) * seen)
     led = cut(near.groupBy("a").agg(F.min(place("rb", "b"))["head"].alias("b")))
     while True:  # heads that have a head themselves hand their classes on; each comes before its classes, so this ends
         up = led.select(F.col("a").alias("b"), F.col("b").alias("to"))
@@ -372,12 +375,13 @@ def jaccard_links(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, c
     copies = cut(live.select("doc_id", "fp").join(firsts, "fp").where("doc_id > rep"))
     led = grouped_classes(live, copies, num, den)
 
-    marked = maybe_in(live.select("doc_id", "fp", "n", "prefix"), "doc_id", copies.select("doc_id").unionByName(led.select(F.col("a").alias("doc_id"))))
-    alone = marked.where("not maybe").select("doc_id", "fp", "n", "prefix", F.col("doc_id").alias("g"))
-    grouped = marked.where("maybe").join(copies, ["doc_id", "fp"], "left_anti").join(led.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-    grouped = grouped.select("doc_id", "fp", "n", "prefix", F.coalesce("b", "doc_id").alias("g"))
+    led = cut(led.withColumnRenamed("a", "doc_id").unionByName(led.select(F.col("b").alias("doc_id"), "b").distinct()))  # heads too
+    marked = maybe_in(live.select("doc_id", "fp", "n", "prefix"), "doc_id", copies.select("doc_id").unionByName(led.select("doc_id")))
+    alone = marked.where("not maybe").select("doc_id", "fp", "n", "prefix", F.col("doc_id").alias("g"), F.lit(False).alias("big"))
+    grouped = marked.where("maybe").join(copies, ["doc_id", "fp"], "left_anti").join(led, "doc_id", "left")
+    grouped = grouped.select("doc_id", "fp", "n", "prefix", F.coalesce("b", "doc_id").alias("g"), F.col("b").isNotNull().alias("big"))
     classes = alone.unionByName(grouped)
-    rows = classes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("a"), F.col("n").cast("int"), "g")
+    rows = classes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("a"), F.col("n").cast("int"), "g", "big")
     shared = rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("token")
     rows = cut(maybe_in(rows, "token", cut(shared)).where("maybe").drop("maybe"))
     candidates = cut(bounded_groups(rows, num, den))
