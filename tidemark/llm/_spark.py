@@ -39,7 +39,7 @@ def of(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-SMALL = 8 << 20  # bytes for each core: what is less is dealt out, since one small file would be one task
+SMALL = 4 << 20  # bytes for each core: what is less is dealt out, since one small file would be one task
 
 
 def spread(df: DataFrame) -> DataFrame:
