@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mtree
+from . import line_dedup, mixing, mtree, repair
 from ._spark import table
 from .bpe import encode_decode_digests
 from .chat import format_chats, read_back, with_control_case
@@ -15,6 +15,7 @@ from .media import media_features, to_media
 from .mtree import top_k
 from .packing import pack
 from .quality import fit, held_out, scored
+from .spelling import spelling_variants, words
 from .substring_dedup import dedup_substrings
 
 
@@ -71,5 +72,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(with_control_case(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op5_html_extract, op6_factorisation_machine, op7_mtree_search, op8_hilbert_packing, op9_bpe, op10_chat_format)}
-ORACLE_SQL_BY_QUERY: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op7_mtree_search": mtree.ORACLE}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(words(table(spark, sf_dir, "documents")))
+
+
+_ALL = (
+    op1_jaccard_join, op2_line_dedup, op3_substring_dedup, op4_mpeg_audio, op5_html_extract, op6_factorisation_machine, op7_mtree_search,
+    op8_hilbert_packing, op9_bpe, op10_chat_format, op11_conversation_repair, op12_fair_queueing, op13_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL_BY_QUERY: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op7_mtree_search": mtree.ORACLE,
+    "op11_conversation_repair": repair.ORACLE,
+    "op12_fair_queueing": mixing.ORACLE,
+}
