@@ -194,37 +194,6 @@ def _ts(n):
     return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=n)
 
 
-def test_claims(spark):
-    schema = "ts timestamp, seq long, folder_id string, path string, version_key string, link string"
-    row = lambda t, key, link, path="p": (_ts(t), t, "f", path, key, link)
-    one = [row(0, "k", "a"), row(10, "k", "b"), row(299, "k", "b"), row(300, "k", "b"), row(301, "k", "a"), row(302, "j", "a"), row(303, "k", "a"), row(304, "k", "a"), row(1, "k", "z", "q"), row(2, "k", "y", "q")]
-    out = jobs.claims(spark.createDataFrame(one, schema)).collect()
-    assert sorted((r.path, r.seq) for r in out if not r.held) == [("p", 0), ("p", 300), ("p", 302), ("p", 303), ("p", 304), ("q", 1)]
-    assert {r.path: (r.seq, r.link) for r in out if r.held} == {"p": (304, "a"), "q": (1, "z")}
-    held = spark.createDataFrame([r for r in out if r.held])
-    later = spark.createDataFrame([row(400, "k", "b"), row(700, "k", "b"), row(5, "k", "x", "new")], schema)
-    out = jobs.claims(later, held).collect()
-    assert sorted((r.path, r.seq) for r in out if not r.held) == [("new", 5), ("p", 700)]
-    assert {r.path: r.seq for r in out if r.held} == {"p": 700, "q": 1, "new": 5}
-    assert jobs.claims(later.limit(0)).isEmpty()
-
-
-def test_completions_and_changes_over_batches(spark):
-    progress = "folder_id string, ts timestamp, busy boolean"
-    first = jobs.completions(spark.createDataFrame([("f", _ts(1), True), ("f", _ts(2), False), ("f", _ts(3), True), ("g", _ts(1), False)], progress)).collect()
-    assert [(r.folder_id, r.ts) for r in first if not r.held] == [("f", _ts(2))]
-    held = spark.createDataFrame([r for r in first if r.held], progress + ", held boolean")
-    then = jobs.completions(spark.createDataFrame([("f", _ts(9), False), ("g", _ts(9), False)], progress), held).collect()
-    assert [(r.folder_id, r.ts) for r in then if not r.held] == [("f", _ts(9))]
-    status = "key string, ts timestamp, status string"
-    first = jobs.changes(spark.createDataFrame([("a", _ts(1), "x"), ("a", _ts(2), "y"), ("b", _ts(1), "x"), (None, _ts(1), "n")], status)).collect()
-    assert sorted((str(r.key), r.status) for r in first if not r.held) == [("None", "n"), ("a", "y"), ("b", "x")]
-    held = spark.createDataFrame([r for r in first if r.held], status + ", held boolean")
-    then = jobs.changes(spark.createDataFrame([("a", _ts(5), "y"), ("b", _ts(5), "z")], status), held).collect()
-    assert [(r.key, r.status) for r in then if not r.held] == [("b", "z")]
-    assert sorted((str(r.key), r.status) for r in then if r.held) == [("None", "n"), ("a", "y"), ("b", "z")]
-
-
 def test_caps_are_per_folder(spark):
     rows = spark.createDataFrame([(f, f"p{i}") for f, n in (("f", 5), ("g", 2), ("h", 3)) for i in range(n)], "folder_id string, path string")
     out = [(r.folder_id, r.path, r.truncated) for r in common.truncated(rows, 3, "path").collect()]

@@ -18,11 +18,11 @@ MANIFEST = {
 }
 
 
-def as_manifest(df: DataFrame) -> DataFrame:
-    """df with the manifest's columns, missing ones as null (false for flags); others dropped."""
+def as_manifest(df: DataFrame, *more: str) -> DataFrame:
+    """df with the manifest's columns, missing ones as null (false for flags), and `more`; others dropped."""
     have = set(df.columns)
     cols = [(F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in MANIFEST.items()]
-    return df.select(*KEYS, *cols).fillna(False, ["deleted", "placeholder"])
+    return df.select(*KEYS, *cols, *more).fillna(False, ["deleted", "placeholder"])
 
 
 def side(df: DataFrame, name: str) -> DataFrame:

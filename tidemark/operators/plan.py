@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ignore import Rule, hard_ignored, ignored, ignored_path
 from tidemark.functions.vectors import compare_file_state, merge_versions
-from tidemark.operators.common import KEYS, as_manifest, side
+from tidemark.operators.common import KEYS, MANIFEST, as_manifest, side
 
 ACTIONS = ("send", "receive", "delete", "conflict")
 
@@ -161,8 +161,9 @@ def only_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
     return only_local(remote, local)
 
 
-def upsert_manifest(manifest: DataFrame, updates: DataFrame) -> DataFrame:
-    """manifest with each key's latest update (by seq) in place of its row."""
-    cols = [c for c in updates.columns if c not in (*KEYS, "seq")]
-    latest = updates.groupBy(*KEYS).agg(F.max_by(F.struct(*cols), "seq").alias("u")).select(*KEYS, "u.*")
-    return as_manifest(manifest).join(latest.select(*KEYS), KEYS, "left_anti").unionByName(as_manifest(latest))
+def upsert_manifest(manifest: DataFrame, updates: DataFrame, *more: str) -> DataFrame:
+    """manifest with each key's latest update (by seq) in place of its row; more: further columns of both."""
+    cols = [*MANIFEST, *more]
+    u = as_manifest(updates, "seq", *more).groupBy(*KEYS).agg(F.max_by(F.struct(*cols), "seq").alias("u"))
+    m = as_manifest(manifest, *more).select(*KEYS, F.struct(*cols).alias("m"))
+    return m.join(u, KEYS, "full_outer").select(*KEYS, F.coalesce("u", "m").alias("e")).select(*KEYS, "e.*")

@@ -1,19 +1,20 @@
 """Structured Streaming jobs. Event times are timestamps (cast TIMESTAMP_NTZ first).
 
-Rows later than the watermark are dropped; its delay is a parameter of each job.
+Rows later than the watermark are dropped; its delay is a parameter of each job. What a job keeps
+for each key is in streaming/state.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.vectors import compare_versions, merge_versions
 from tidemark.operators.common import KEYS, MANIFEST, as_manifest
+from tidemark.operators.plan import upsert_manifest
+from tidemark.session import ship_package
+from tidemark.streaming import sink, state
 
 
 def fold_deltas(current: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -45,84 +46,60 @@ def fold_deltas(current: DataFrame, deltas: DataFrame) -> DataFrame:
     return g.withColumn("e", F.aggregate(F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), start, step)).select(*KEYS, "e.*")
 
 
-def apply_deltas(deltas: DataFrame, initial: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keeps a manifest current from a stream of deltas: each batch writes base/<batch id + 1>.
-
-    A batch reads the directory of the one before it, so a batch that is run again after a
-    failure writes the same again. Directories that no reader needs are for the caller to drop.
-    """
-    spark = deltas.sparkSession
-    fold_deltas(initial, initial.limit(0).withColumn("seq", F.lit(0).cast("bigint"))).write.mode("ignore").parquet(f"{base}/0")
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        fold_deltas(spark.read.parquet(f"{base}/{epoch}"), df).write.mode("overwrite").parquet(f"{base}/{epoch + 1}")
-
-    return deltas.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def _manifest_changes(deltas: DataFrame, initial: DataFrame) -> DataFrame:
+    new = deltas.select(*KEYS, "seq", *[(F.col(c) if c in deltas.columns else F.lit(None)).cast(k).alias(c) for c, k in MANIFEST.items()])
+    rows = state.flat(new.fillna(False, ["deleted", "placeholder"]), *KEYS, "seq").groupBy(*KEYS)
+    first = state.flat(as_manifest(initial), *KEYS).groupBy(*KEYS)
+    out = rows.transformWithState(state.FoldDeltas(), f"folder_id string, path string, {state.FOLDED}", "Update", "None", initialState=first)
+    return out.withColumn("version", F.map_from_arrays("devices", "counts")).select(*KEYS, *MANIFEST, "conflict")
 
 
-def folded(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], DataFrame], base: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Runs step(batch, what is held) for each batch and writes it to base/batch=<id>.
+def apply_deltas(deltas: DataFrame, initial: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keeps a manifest current from a stream of deltas: fold_deltas() with each path's row in keyed state.
 
-    Rows with `held` are what the next batch gets, the others are output. A batch that is run
-    again after a failure reads and writes the same again.
+    Each trigger writes the rows that it changed to base/batch=<id>, and nothing else; a batch that is run
+    again after a failure writes the same again. A trigger's deltas of one path are sorted by seq in a
+    task's memory (set the source's limits accordingly); triggers are folded as they come. The manifest is
+    current_manifest(initial, base).
     """
-    spark = stream.sparkSession
+    ship_package(deltas.sparkSession)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        held = spark.read.parquet(f"{base}/batch={epoch - 1}").where("held") if epoch else None
-        step(df, held).write.mode("overwrite").parquet(f"{base}/batch={epoch}")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
+        df.write.mode("overwrite").parquet(f"{base}/batch={epoch}")
 
-_OFFER = "folder_id string, path string, version_key string, link string, ts timestamp, seq bigint"
+    with state.rocksdb(deltas.sparkSession):
+        out = _manifest_changes(deltas, initial).writeStream.outputMode("update").foreachBatch(batch)
+        return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _claimed(ttl: float):
-    def run(batches):
-        path, holder = None, None
-        titles = [f.split(" ")[0] for f in _OFFER.split(", ")] + ["held"]
+def current_manifest(initial: DataFrame, base: str) -> DataFrame:
+    """(folder_id, path, *manifest, conflict): the initial rows with each path's last change in place."""
+    kinds = ", ".join(["folder_id string, path string", *(f"{c} {k}" for c, k in MANIFEST.items()), "conflict boolean, batch bigint"])
+    changes = initial.sparkSession.read.schema(kinds).parquet(base)
+    return upsert_manifest(as_manifest(initial).withColumn("conflict", F.lit(False)), changes.withColumnRenamed("batch", "seq"), "conflict")
 
-        def rows(found, schema):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], titles) if found else None
 
-        schema = None
-        for b in batches:
-            schema, out = b.schema, []
-            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if row[:2] != path:
-                    out += [(*holder, True)] if holder else []
-                    path, holder = row[:2], None
-                *offer, held = row
-                if not held:
-                    if holder and holder[2] == offer[2] and holder[3] != offer[3] and (offer[4] - holder[4]).total_seconds() < ttl:
-                        continue
-                    out.append(row)
-                holder = offer
-            if out:
-                yield rows(out, schema)
-        if holder:
-            yield rows([(*holder, True)], schema)
+def _waiting(rows: DataFrame, keys: list[str], processor, out: str, delay: str, target: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Appends what an InEventTime processor puts out, with ts, to a Parquet directory."""
+    ship_package(rows.sparkSession)
+    timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    with state.rocksdb(rows.sparkSession):
+        found = timed.groupBy(*keys).transformWithState(processor, out, "Append", "EventTime")
+        found = found.withColumn("ts", F.timestamp_micros("us")).drop("us")
+        out_ = found.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+        return out_.trigger(**(trigger or {"availableNow": True})).start()
 
-    return run
 
+def single_flight(offers: DataFrame, target: str, checkpoint: str, ttl: float = 300, delay: str = "5 minutes", **trigger) -> StreamingQuery:
+    """Offers (ts, seq, folder_id, path, version_key, link[, released]) that may go on, in order of (ts, seq).
 
-def claims(offers: DataFrame, held: DataFrame | None = None, ttl: float = 300) -> DataFrame:
-    """Offers (ts, seq, folder_id, path, version_key, link) that may go on, and the last holder of each path (`held`).
-
-    In order of (ts, seq), an offer of a version that another link holds, since less than `ttl`
-    seconds, is left out; any other one takes the path. A path's offers are sorted by Spark and
-    read as a stream, with one holder in memory.
+    An offer of a version that another link holds, since less than `ttl` seconds, is left out; any other one takes
+    the path. A row with `released` ends its link's claim. An offer comes out once the watermark has passed it.
     """
-    rows = offers.select(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in _OFFER.split(", ")], F.lit(False).alias("held"))
-    rows = rows if held is None else rows.unionByName(held.select(rows.columns))
-    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, F.desc("held"), "ts", "seq")
-    return rows.mapInArrow(_claimed(ttl), f"{_OFFER}, held boolean")
-
-
-def single_flight(offers: DataFrame, base: str, checkpoint: str, ttl: float = 300, **trigger) -> StreamingQuery:
-    """claims() over a stream; rows of base that aren't `held` are the offers that may go on."""
-    return folded(offers, lambda df, held: claims(df, held, ttl), base, checkpoint, **trigger)
+    released = F.col("released") if "released" in offers.columns else F.lit(False)
+    rows = offers.select("ts", *KEYS, F.col("seq").cast("bigint").alias("seq"), "version_key", "link", released.alias("released"))
+    kinds = "folder_id string, path string, version_key string, link string, us bigint, seq bigint"
+    return _waiting(rows, KEYS, state.Claims(round(ttl * 1_000_000)), kinds, delay, target, checkpoint, trigger)
 
 
 def traffic_5m(traffic: DataFrame, delay: str = "10 minutes", span: str = "5 minutes") -> DataFrame:
@@ -151,36 +128,23 @@ def serving_sessions(requests: DataFrame, delay: str = "1 minute", gap: str = "1
     return g.select(*KEYS, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "requests")
 
 
-def completions(progress: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """(folder_id, ts, busy, held): rows (folder_id, ts, busy) that end a time of moving, by (ts, busy); and each folder's last row (`held`)."""
-    rows = progress.select("folder_id", "ts", "busy", F.lit(False).alias("held"))
-    rows = rows if held is None else rows.unionByName(held.select(rows.columns))
-    was = F.lag("busy").over(Window.partitionBy("folder_id").orderBy(F.desc("held"), "ts", "busy"))
-    last = rows.groupBy("folder_id").agg(F.max_by(F.struct("ts", "busy"), F.struct(~F.col("held"), "ts", "busy")).alias("l")).select("folder_id", "l.*", F.lit(True).alias("held"))
-    return rows.withColumn("was", was).where("was and not busy").drop("was").withColumn("held", F.lit(False)).unionByName(last)
-
-
-def completed_folders(progress: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """completions() over a stream: whenever a folder goes from moving (busy) to idle."""
-    return folded(progress, completions, base, checkpoint, **trigger)
-
+def completed_folders(progress: DataFrame, target: str, checkpoint: str, delay: str = "1 minute", **trigger) -> StreamingQuery:
+    """(folder_id, ts) whenever a folder goes from moving to idle, by rows (folder_id, ts, busy) in order of time.
 
-def changes(statuses: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """(key, ts, status, held): each key's newest status if it differs from the one held; and what to hold."""
-    newest = statuses.groupBy("key").agg(F.max(F.struct("ts", "status")).alias("n")).select("key", "n.*")
-    if held is None:
-        return newest.withColumn("held", F.explode(F.array(F.lit(False), F.lit(True))))
-    before = held.select(F.col("key").alias("_key"), F.col("ts").alias("_ts"), F.col("status").alias("_status"))
-    both = newest.join(before, newest["key"].eqNullSafe(before["_key"]), "full_outer")
-    same = F.col("_key").isNotNull() & F.col("status").eqNullSafe(F.col("_status"))
-    new = both.where(F.col("ts").isNotNull() & ~same).select("key", "ts", "status", F.lit(False).alias("held"))
-    keep = both.select(F.coalesce("key", "_key").alias("key"), F.coalesce("ts", "_ts").alias("ts"), F.when(F.col("ts").isNull(), F.col("_status")).otherwise(F.col("status")).alias("status"), F.lit(True).alias("held"))
-    return new.unionByName(keep)
+    A time is settled, and comes out, once the watermark has passed it.
+    """
+    rows = progress.select("ts", "folder_id", "busy")
+    return _waiting(rows, ["folder_id"], state.Completions(), "folder_id string, us bigint", delay, target, checkpoint, trigger)
 
 
-def status_changes(statuses: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """changes() over a stream of (key, ts, status): at most one row of a key in a trigger."""
-    return folded(statuses.select("key", "ts", "status"), changes, base, checkpoint, **trigger)
+def status_changes(statuses: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """(key, ts, status) whenever the newest status of a key in a trigger differs from the one put out last."""
+    ship_package(statuses.sparkSession)
+    with state.rocksdb(statuses.sparkSession):
+        rows = statuses.select("key", F.unix_micros("ts").alias("us"), "status").groupBy("key")
+        found = rows.transformWithState(state.Changes(), "key string, us bigint, status string", "Append", "None")
+        out = found.select("key", F.timestamp_micros("us").alias("ts"), "status").writeStream.outputMode("append").format("parquet")
+        return out.option("path", target).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def history_stream(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, **trigger) -> StreamingQuery:
@@ -196,10 +160,10 @@ def alert_rows(events: DataFrame) -> DataFrame:
     return events.select("ts", kind.alias("kind"), *KEYS).where("kind is not null")
 
 
-def alerts(events: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Writes alert rows to a table directory, ordered within a batch, one directory a batch (so a repeat overwrites)."""
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        df.orderBy("ts").write.mode("overwrite").parquet(f"{table}/batch={epoch}")
-
-    return alert_rows(events).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def alerts(events: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Writes alert rows to a sink that commits each batch once; read_alerts() gives them with their batch."""
+    spark = events.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(sink.AlertSource)
+    out = alert_rows(events).writeStream.format(sink.FORMAT).option("path", target).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()
