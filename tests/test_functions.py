@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import ignore, scalars, vectors
+from tidemark.functions import ignore, rulelist, scalars, vectors
 from tidemark.operators import chunking
 
 VECTORS = [{}, {"A": 1}, {"A": 2}, {"B": 1}, {"A": 1, "B": 1}, {"A": 2, "B": 1}, {"A": 1, "B": 2, "C": 3}, {"A": 0}]
@@ -51,8 +51,30 @@ def test_ignore_rules(spark, lines, path, is_dir, want):
     df = spark.createDataFrame([(path, is_dir)], "path string, d boolean")
     row = df.select(ignore.ignored(rules, "path", is_dir).alias("a"), ignore.ignored(rules, "path", F.col("d")).alias("b"), ignore.matching_rule(rules, "path", is_dir).alias("r")).first()
     assert (row.a, row.b, row.r is not None) == (want, want, want)
-    by_table = ignore.verdict_by_table(df, ignore.rule_table(spark, rules), is_dir=F.col("d")).first() if rules else None
-    assert by_table is None or bool(by_table.rule and not by_table.rule.negated) == want
+    place = df.select(rulelist.last_rule(rules)("path", F.col("d"))).first()[0]
+    assert (place >= 0 and not rules[place].negated) == want
+
+
+def test_automaton_is_the_chain():
+    rng = random.Random(1)
+    segment = lambda: rng.choice(["a", "b", "ab", "*", "**", "a*", "*b", "?", "a?", "*.log", "x.log", "[a]", "a**b", "?*", "*a*", "b[1]", "**a", ""])
+    hits = 0
+    for _ in range(800):
+        rules = [ignore.Rule(rng.choice(["", "", "/"]) + "/".join(segment() for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "/"]), rng.random() < 0.3) for _ in range(rng.randint(1, 12))]
+        listed = rulelist.RuleList(rules)
+        for _ in range(10):
+            path, is_dir = "/".join(rng.choice(["a", "b", "ab", "x.log", "[a]", "b[1]", "aab", ".log"]) for _ in range(rng.randint(1, 5))), rng.random() < 0.4
+            want = max((i for i, r in enumerate(rules) if (x := ignore.rule_regex(r, is_dir)) and re.match(x, path)), default=-1)
+            assert listed.last_match(path, is_dir) == want, (rules, path, is_dir)
+            hits += want >= 0
+    assert 1000 < hits < 8000
+
+
+def test_automaton_is_fast_with_many_rules():
+    rules = [ignore.Rule(p.format(i=i)) for i in range(5000) for p in ("dir{i}/sub{i}/", "*.ext{i}", "/root{i}/**/x{i}", "name{i}")]
+    listed = rulelist.RuleList(rules)
+    assert [listed.last_match(p) for p in ("dir7/sub7/x/y.ext9", "a/name11/b", "root3/q/r/x3", "none")] == [37, 47, 14, -1]
+    assert len(listed.start.deep.literal) == 5000 and not listed.start.deep.other  # no rule is tried one by one
 
 
 def _plain(pattern, path, is_dir):
@@ -86,9 +108,6 @@ def test_hard_ignored(spark):
     assert {r.path: r.h for r in df.select("path", ignore.hard_ignored("path").alias("h")).collect()} == paths
 
 
-def test_nested_rules():
-    assert [ignore.rewrite_nested("d", x) for x in ("x", "/x", "a/b", "!x/", "# c", "**")] == ["d/**/x", "d/x", "d/a/b", "!d/**/x/", "# c", "d/**"]
-
 
 def test_windows_and_dates(spark):
     rows = [(540, 1080, 539, False), (540, 1080, 540, True), (540, 1080, 1080, False), (1320, 360, 1400, True), (1320, 360, 100, True), (1320, 360, 400, False), (5, 5, 1, True)]

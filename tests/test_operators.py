@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import datetime
 import hashlib
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import chunking, commits, common, diff, drift, plan, rollback, scan
+from tidemark.functions.ignore import builtin_lines, parse_rules, rule_regex
+from tidemark.operators import chunking, commits, common, diff, drift, plan, rollback, rules, scan
 from tidemark.sources import files, manifest
 from tidemark.streaming import jobs
 
@@ -171,17 +173,54 @@ def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_text("hi")
     (tmp_path / "sub" / "b.log").write_text("log")
-    (tmp_path / "gitignore").write_text("*.log\n")
-    (tmp_path / "sub" / "gitignore").write_text("!b.log\n")
-    from tidemark.functions.ignore import compose_rules, parse_rules
-
-    lines = compose_rules(files.nested_rule_files(spark, str(tmp_path)))
-    assert "*.log" in lines and lines.index("!sub/**/b.log") > lines.index("*.log")
-    got = {r.path for r in files.scan_files(spark, str(tmp_path), "f", parse_rules(lines)).collect()}
+    got = {r.path for r in files.scan_files(spark, str(tmp_path), "f").collect()}
     assert {"a.txt", "sub/b.log"} <= got
     assert "sub/b.log" not in {r.path for r in files.scan_files(spark, str(tmp_path), "f", parse_rules(["*.log"])).collect()}
 
 
+@pytest.mark.parametrize("few_bytes", [rules.FEW_BYTES, 0])
+def test_rule_files_are_the_composed_list(spark, few_bytes):
+    """Verdicts by rule files against the whole list, rule by rule, on random trees."""
+    rng = random.Random(few_bytes)
+    name = lambda: rng.choice(["a", "b", "ab", "c.log", ".git", "d[1]"])
+    line = lambda: rng.choice(["", "!"]) + rng.choice(["", "", "/"]) + rng.choice(["a", "b", "*.log", "a/b", "**/b", "a/**", "**", "*", "?b", "#x", "", "ab"]) + rng.choice(["", "", "/"])
+    found = []
+    for folder in "fghij":
+        dirs = {""} | {"/".join(name() for _ in range(rng.randint(1, 3))) for _ in range(6)}
+        found += [(folder, d, i, line() if rng.random() < 0.6 else " zz ") for d in dirs for i in range(rng.randint(1, 4))]
+    lines = spark.createDataFrame(found, "folder_id string, dir string, line_no int, line string")
+    paths = sorted({(f, "/".join(name() for _ in range(rng.randint(1, 5))), rng.random() < 0.3) for f in "fghijk" for _ in range(60)})
+    df = spark.createDataFrame(paths, "folder_id string, path string, d boolean")
+    own = ["*.log", "!c.log", "b/b"]
+    out = rules.ignored_by_files(df, rules.rule_files(lines), own, F.col("d"), few_bytes=few_bytes).collect()
+    listed = {}
+    for r in rules.composed_rules(lines, own).orderBy("layer", "depth", "dir", "line_no").collect():
+        listed.setdefault(r.folder_id, []).append(r.line)
+    listed["k"] = [*builtin_lines(), *own]
+    seen = set()
+    for r in out:
+        list_ = parse_rules(listed[r.folder_id])
+        last = next((x for x in reversed(list_) if (y := rule_regex(x, r.d)) and re.match(y, r.path)), None)
+        assert (r.rule is None) == (last is None) and (last is None or r.rule.negated == last.negated), (r, last)
+        assert r.ignored == (bool(last and not last.negated) or ".git" in r.path.split("/"))
+        seen.add((r.ignored, r.rule is None, bool(r.rule and r.rule.dir)))
+    assert len(out) == len(paths) and len(seen) >= 4
+
+
+def test_nested_lines_read_from_the_root(spark):
+    said = ["x", "/x", "a/b", "!x/", "# c", "**", " "]
+    lines = spark.createDataFrame([("f", "d", i, x) for i, x in enumerate(said)] + [("f", "", 0, "!x")], "folder_id string, dir string, line_no int, line string")
+    out = [(r.layer, r.line) for r in rules.composed_rules(lines, ["own"]).orderBy("layer", "depth", "dir", "line_no").collect()]
+    assert out[len(builtin_lines()) :] == [(1, "!x"), *((2, x) for x in ("d/**/x", "d/x", "d/a/b", "!d/**/x/", "# c", "d/**", " ")), (3, "own")]
+
+
+def test_rule_files_in_shut_directories(spark):
+    found = [("f", "", 0, "x/"), ("f", "x", 0, "!*"), ("f", "x/y", 0, "!*"), ("f", "a*", 0, "*"), ("f", ".git/b", 0, "*"), ("f", "ok", 0, "in/"), ("f", "ok/in", 0, "!*"), ("f", "ok/out", 0, "q")]
+    files_ = rules.rule_files(spark.createDataFrame(found, "folder_id string, dir string, line_no int, line string"))
+    assert sorted(r.dir for r in rules.active_rule_files(files_).collect()) == ["", "ok", "ok/out"]
+    assert rules.active_rule_files(files_.limit(0)).isEmpty()
+
+
 def test_fold_deltas(spark):
     current = _m(spark, ("a", {"A": 1}, 1, False, ["x"], 1), ("b", {"A": 1}, 1, False, ["x"], 1))
     deltas = _m(spark, ("a", {"A": 3}, 3, False, ["z"], 1), ("a", {"A": 2}, 2, False, ["y"], 1), ("b", {"B": 1}, 9, False, ["q"], 1), ("c", {"B": 1}, 5, False, ["n"], 1))
@@ -190,10 +229,6 @@ def test_fold_deltas(spark):
     assert got == {"a": ({"A": 3}, 3, False), "b": ({"A": 1, "B": 1}, 1, True), "c": ({"B": 1}, 5, False)}
 
 
-def _ts(n):
-    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=n)
-
-
 def test_caps_are_per_folder(spark):
     rows = spark.createDataFrame([(f, f"p{i}") for f, n in (("f", 5), ("g", 2), ("h", 3)) for i in range(n)], "folder_id string, path string")
     out = [(r.folder_id, r.path, r.truncated) for r in common.truncated(rows, 3, "path").collect()]

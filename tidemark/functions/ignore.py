@@ -4,8 +4,8 @@ A rule list is ordered and its last match decides; `!` negates. Unlike git, a ru
 lets a path through works below an ignored directory too, and brackets are literal.
 
 Each rule becomes one Java regular expression over the whole path, so a short list is a
-CASE chain of constant patterns inside generated code; long lists go through a broadcast
-table (verdict_by_table). Paths may use / or \\.
+CASE chain of constant patterns inside generated code; long lists are one automaton
+(rulelist.py). Paths may use / or \\.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOOL = "tidemark"  # names the tool's own files: .<tool>-trash, .<tool>-folder, *.<tool>-tmp, *.<tool>-partial
@@ -21,7 +21,6 @@ TOOL = "tidemark"  # names the tool's own files: .<tool>-trash, .<tool>-folder,
 HARD_NAMES = (".git", ".git-rewrite", ".hg", ".svn")
 #: Fixed value: how conflict copies are named, a time and a device between the name and its extension.
 CONFLICT_COPY = r"^(.+)\.sync-conflict-[0-9a-z]+(?:-[0-9a-z]+)?-([A-Z2-7]{10})(\.[^./]*)?$"
-CHAIN = 100  # rules beyond which the table form is used
 
 
 @dataclass(frozen=True)
@@ -55,6 +54,11 @@ def _body(pattern: str) -> str:
     return "".join(_AS.get(m.lastgroup) or re.sub(r"([^\w/ \-])", r"\\\1", m[0], flags=re.ASCII) for m in _piece.finditer(pattern))
 
 
+def segment_regex(segment: str) -> str:
+    """One segment's pattern as a regular expression of the whole segment."""
+    return _body(f"/{segment}")[1:] if segment == "**" else _body(segment)
+
+
 def rule_regex(rule: Rule, is_dir: bool | None = False) -> str | None:
     """A regular expression of the whole path that matches what the rule does; None if nothing.
 
@@ -132,60 +136,3 @@ def explain_ignore(rules: list[Rule], path: Column | str, is_dir: Column | bool
         F.when(~last["negated"], last["pattern"]).alias("rule"),
         F.when(last["negated"], last["pattern"]).alias("negated_rule"),
     )
-
-
-def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """(ord, pattern, negated, file_regex, dir_regex): a rule list as a small table."""
-    rows = [(i, r.pattern, r.negated, rule_regex(r, False), rule_regex(r, True)) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "ord int, pattern string, negated boolean, file_regex string, dir_regex string")
-
-
-def verdict_by_table(paths: DataFrame, rules: DataFrame, path: str = "path", is_dir: Column | None = None) -> DataFrame:
-    """paths with a column `rule`, struct(ord, pattern, negated), for rule lists of any length.
-
-    The list is folded into one array row and broadcast (its size is the rule file's), so
-    each path is tested in place: no row for each pair of path and rule.
-    """
-    folded = rules.agg(F.reverse(F.array_sort(F.collect_list(F.struct("ord", "pattern", "negated", "file_regex", "dir_regex")))).alias("_rules"))
-    d = F.lit(False) if is_dir is None else is_dir
-    hit = F.filter("_rules", lambda r: F.coalesce(F.when(d, F.rlike(_path(path), r["dir_regex"])).otherwise(F.rlike(_path(path), r["file_regex"])), F.lit(False)))
-    first = F.get(hit, 0)
-    return paths.join(F.broadcast(folded)).withColumn("rule", F.when(first.isNotNull(), F.struct(first["ord"].alias("ord"), first["pattern"].alias("pattern"), first["negated"].alias("negated")))).drop("_rules")
-
-
-def rewrite_nested(relative_dir: str, line: str) -> str:
-    """A line of a nested rule file, as it reads from the root."""
-    text = line.strip()
-    negated = text.startswith("!")
-    body = text[1:] if negated else text
-    core = body[:-1] if body.endswith("/") else body
-    if not core or text.startswith("#"):
-        return line
-    inner = core[1:] if core.startswith("/") else core if "/" in core or core == "**" else f"**/{core}"
-    return f"{'!' if negated else ''}{relative_dir}/{inner}{'/' if body.endswith('/') else ''}"
-
-
-def compose_rules(files: DataFrame, own_lines: list[str] = (), use_gitignore: bool = True, tool: str = TOOL) -> list[str]:
-    """Rule lines by rising priority: built-in, the root's file, nested files by depth, own lines.
-
-    files: (dir, line_no, line) of every rule file, dir "" at the root; rule files are read on
-    the driver because their lines become constants of the plan. Files below directories that
-    are ignored already, or whose path holds * ? [ ] or \\, are left out.
-    """
-    lines = builtin_lines(tool)
-    if use_gitignore:
-        by_dir: dict[str, list[str]] = {}
-        for r in files.orderBy("dir", "line_no").toLocalIterator():
-            by_dir.setdefault(r.dir or "", []).append(r.line)
-        lines += by_dir.pop("", [])
-        for d in sorted(by_dir, key=lambda d: (d.count("/"), d)):
-            rules = [(r, re.compile(rule_regex(r, True) or r"$^")) for r in parse_rules(lines)]
-            parts = d.split("/")
-
-            def shut(path: str) -> bool:
-                last = next((r for r, x in reversed(rules) if x.match(path)), None)
-                return bool(last and not last.negated) or path.rsplit("/", 1)[-1].lower() in builtin_lines(tool)
-
-            if not re.search(r"[*?\[\]\\]", d) and not any(shut("/".join(parts[:i])) for i in range(1, len(parts) + 1)):
-                lines += [rewrite_nested(d, x) for x in by_dir[d]]
-    return [*lines, *own_lines]

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import ignore, scalars
-from tidemark.operators import rollback, scan
+from tidemark.functions.rulelist import last_rule
+from tidemark.operators import rollback, rules, scan
 from tidemark.operators.common import KEYS
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import query
@@ -34,9 +35,11 @@ def matching_rule(spark, sf_dir):
 
 @query(f"WITH {_G} SELECT page_id, path, last AS rule FROM v")
 def ignored_by_table(spark, sf_dir):
-    """The form for long lists: the deciding rule, from a broadcast table."""
-    out = ignore.verdict_by_table(fx.pages(spark, sf_dir), ignore.rule_table(spark, RULES))
-    return out.select("page_id", "path", F.when(F.col("rule").isNotNull(), F.col("rule.pattern")).alias("rule"))
+    """The form for long lists: the deciding rule by one automaton, with 5,000 rules before it that never match."""
+    padded = [ignore.Rule(f"never{i}/*.x{i}") for i in range(5000)] + RULES
+    p = fx.pages(spark, sf_dir).select("page_id", "path", last_rule(padded)("path").alias("place"))
+    pattern = F.get(F.array(*[F.lit(r.pattern) for r in RULES]), F.col("place") - 5000)
+    return p.select("page_id", "path", F.when(F.col("place") >= 0, pattern).alias("rule"))
 
 
 _ODD = "CASE page_id % 7 WHEN 0 THEN path || '/.GIT/config' WHEN 1 THEN path || '/x.sync-conflict-k3-ABCDEFGHIJ.txt' WHEN 2 THEN path || '/a.tidemark-TMP' WHEN 3 THEN '.github/' || path WHEN 4 THEN 'a\\.svn\\' || path ELSE path END"
@@ -53,12 +56,37 @@ def explain_ignore(spark, sf_dir):
     return fx.pages(spark, sf_dir).select("page_id", "path", ignore.explain_ignore(RULES, "path").alias("e")).select("page_id", "path", "e.*")
 
 
-@query(f"WITH {_G} SELECT page_id, coalesce(regexp_matches(path, '^(.*/)?x/.*$'), false) OR regexp_matches(path, '^blog\\.[^/]*/.*$') AS ignored FROM v")
+#: Rule files: one at each root, one for each host, one for each language of a host; in shut directories they don't count.
+_RULE_FILES = f"""{_G}, t AS (SELECT page_id, folder_id, path, split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS lang, split_part(path, '/', 3) AS name FROM v),
+k AS (SELECT *, length(host) % 2 = 0 AS even, starts_with(host, 'blog.') AS blog, host = 'spam-farm.example.org' AS spam FROM t),
+r AS (SELECT page_id, path, CASE WHEN spam THEN '' WHEN NOT (even AND lang = 'en') AND left(name, 1) IN ('5', '6') THEN host || '/' || lang WHEN blog AND name LIKE '%.html' THEN host WHEN even AND lang = 'en' THEN host WHEN name LIKE '%.html' THEN '' END AS dir,
+ CASE WHEN spam THEN '/spam-farm.example.org/' WHEN NOT (even AND lang = 'en') AND left(name, 1) = '5' THEN '/5*' WHEN NOT (even AND lang = 'en') AND left(name, 1) = '6' THEN '/6*' WHEN blog AND name LIKE '%.html' THEN '*.html' WHEN even AND lang = 'en' THEN 'en/' WHEN name LIKE '%.html' THEN '*.html' END AS pattern,
+ spam OR CASE WHEN NOT (even AND lang = 'en') AND left(name, 1) = '5' THEN true WHEN NOT (even AND lang = 'en') AND left(name, 1) = '6' THEN false WHEN blog AND name LIKE '%.html' THEN false WHEN even AND lang = 'en' THEN true ELSE name LIKE '%.html' END AS ignored FROM k)
+SELECT page_id, path, dir, pattern, ignored FROM r"""
+
+
+def _by_rule_files(spark, sf_dir, few_bytes):
+    p = fx.pages(spark, sf_dir)
+    part = lambda i: F.split_part("path", F.lit("/"), F.lit(i))
+    host, lang = part(1), F.concat_ws("/", part(1), part(2))
+    row = lambda d, lines: F.struct(d.alias("dir"), lines.alias("lines"))
+    at_host = F.concat(F.when(F.length(host) % 2 == 0, F.array(F.lit("en/"))).otherwise(F.array(F.lit("# none"))), F.when(host.startswith("blog."), F.array(F.lit("!*.html"))).otherwise(F.array(F.lit(""))))
+    each = F.array(row(F.lit(""), F.array(F.lit("*.html"), F.lit("/spam-farm.example.org/"))), row(host, at_host), row(lang, F.array(F.lit("/5*"), F.lit("!/6*"))))
+    files = p.select("folder_id", F.inline(each)).distinct().select("folder_id", "dir", F.posexplode("lines").alias("line_no", "line"))
+    out = rules.ignored_by_files(p, rules.rule_files(files), few_bytes=few_bytes)
+    return out.select("page_id", "path", "rule.dir", "rule.pattern", "ignored")
+
+
+@query(f"WITH {_RULE_FILES}")
 def compose_rules(spark, sf_dir):
-    """Rules composed from the root's and a nested rule file, then applied."""
-    files = spark.createDataFrame([("", 0, "x/"), ("blog.old", 0, "/gone"), ("", 1, "# note"), ("x", 0, "!kept")], "dir string, line_no int, line string")
-    lines = ignore.compose_rules(files, ["/blog.*/"])
-    return fx.pages(spark, sf_dir).select("page_id", ignore.ignored(ignore.parse_rules(lines), "path").alias("ignored"))
+    """Verdicts by a tree's rule files, sent to every task since they are small."""
+    return _by_rule_files(spark, sf_dir, rules.FEW_BYTES)
+
+
+@query(f"WITH {_RULE_FILES}")
+def rules_by_directory(spark, sf_dir):
+    """The same where rule files are too many for that: paths dealt to the files above them."""
+    return _by_rule_files(spark, sf_dir, 0)
 
 
 @query(f"WITH {_G}, d AS (SELECT DISTINCT folder_id, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS dir FROM v WHERE page_id % 5 = 0) SELECT page_id FROM v WHERE EXISTS (SELECT 1 FROM d WHERE d.folder_id = v.folder_id AND (v.path = dir OR starts_with(v.path, dir || '/')))")
