@@ -34,12 +34,13 @@ def placeholders(manifest: DataFrame) -> DataFrame:
     return as_manifest(manifest).where("placeholder and not deleted")
 
 
-def scan_diff(manifest: DataFrame, listing: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+def scan_diff(manifest: DataFrame, listing: DataFrame, hashes: DataFrame | None = None, keep_blocks: bool = False) -> DataFrame:
     """(folder_id, path, change, size, mtime) of a listing (folder_id, path, size, mtime).
 
     change: new, changed, candidate (same size, other time: only these need their content
     hashed), touched (a candidate whose blocks are the manifest's) or same. hashes:
-    (folder_id, path, blocks) of hashed candidates, which settles them.
+    (folder_id, path, blocks) of hashed candidates, which settles them. keep_blocks: with the manifest's
+    blocks, for sources/tree.py's settle_candidates(), which opens candidates only.
     """
     m = as_manifest(manifest).where("not deleted").select(*KEYS, F.struct("size", "mtime", "blocks", "placeholder").alias("e"))
     j = listing.select(*KEYS, "size", "mtime").join(m, KEYS, "left")
@@ -50,7 +51,7 @@ def scan_diff(manifest: DataFrame, listing: DataFrame, hashes: DataFrame | None
         j = j.join(hashes.select(*KEYS, F.col("blocks").alias("_b")), KEYS, "left")
         settled = F.when((F.col("change") == "candidate") & F.col("_b").isNotNull(), F.when(F.col("_b") == e["blocks"], "touched").otherwise("changed")).otherwise(F.col("change"))
         j = j.withColumn("change", settled).drop("_b")
-    return j.drop("e")
+    return (j.withColumn("blocks", e["blocks"]) if keep_blocks else j).drop("e")
 
 
 def tombstones(manifest: DataFrame, seen: DataFrame, device: str, rules: list[Rule] = (), nested: DataFrame | None = None) -> DataFrame:

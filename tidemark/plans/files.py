@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ignore, scalars
 from tidemark.functions.rulelist import last_rule
-from tidemark.operators import rollback, rules, scan
+from tidemark.operators import chunking, rollback, rules, scan
 from tidemark.operators.common import KEYS
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import query
 from tidemark.session import shared_dir
 from tidemark.sources import files as sources
+from tidemark.sources import tree
 
 RULES = ignore.parse_rules(fx.RULES)
 #: DuckDB: the fixture's rules by hand, from the last to the first.
@@ -278,13 +279,51 @@ def read_trash_archive(spark, sf_dir):
     return sources.parse_trash_names(both).where(~F.col("path").contains("-v-")).select(*KEYS, "ts")
 
 
+def _written_tree(spark, sf_dir):
+    """Documents as lines of text files, a directory for each source and language."""
+    base = f"{shared_dir(spark).rstrip('/')}/tree/{uuid.uuid4().hex}"
+    fx.table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source", "lang").text(base)
+    return base
+
+
+_directory = F.regexp_replace("path", "/[^/]*$", "")
+
+
 @query("SELECT 'source=' || source || '/lang=' || lang AS directory, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS size FROM documents GROUP BY ALL")
 def scan_files(spark, sf_dir):
-    """Documents written as lines of text files, a directory for each source and language, then listed without opening one."""
+    """A written tree, listed without opening a file."""
+    listed = sources.scan_files(spark, _written_tree(spark, sf_dir), "data", glob="*.txt")
+    return listed.groupBy(_directory.alias("directory")).agg(F.sum("size").alias("size"))
+
+
+@query("""WITH d AS (SELECT DISTINCT 'source=' || source AS s, 'lang=' || lang AS l FROM documents), k AS (SELECT s, l FROM d WHERE s <> 'source=src3')
+SELECT '' AS directory UNION SELECT s FROM k UNION SELECT s || '/' || l FROM k WHERE l <> 'lang=de' OR s = 'source=src5'""")
+def walked_directories(spark, sf_dir):
+    """The directories that a walk lists: not those of another folder's root inside, nor ignored ones, nor what is below."""
+    nested = spark.createDataFrame([("data", "source=src3"), ("other", "source=src4")], "folder_id string, dir string")
+    rules_ = ignore.parse_rules(["lang=de/", "!source=src5/lang=de/"])
+    _, dirs = tree.walk(spark, _written_tree(spark, sf_dir), "data", rules_, nested, "*.txt")
+    return dirs.select(F.col("path").alias("directory"))
+
+
+@query("""WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS n FROM documents)
+SELECT CASE doc_id % 5 WHEN 0 THEN 'same' WHEN 1 THEN 'touched' WHEN 2 THEN 'changed' WHEN 3 THEN 'changed' ELSE 'new' END AS change, doc_id % 5 IN (1, 2) AS opened, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM d GROUP BY ALL""")
+def scan_diff_by_content(spark, sf_dir):
+    """A file for each document against a manifest with other times, hashes, sizes or no row: only doubtful files are opened."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = f"{shared_dir(spark).rstrip('/')}/tree/{uuid.uuid4().hex}"
-    fx.table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source", "lang").text(base)
-    listed = sources.scan_files(spark, base, "data", glob="*.txt")
-    return listed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory")).agg(F.sum("size").alias("size"))
+    d.select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(base)
+    listing = sources.scan_files(spark, base, "data", glob="*.txt")
+    kind = F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("bigint")
+    listing = listing.withColumn("id", kind)
+    content = d.select(F.col("doc_id").alias("id"), F.concat("text", F.lit("\n")).cast("binary").alias("content"))
+    blocks = chunking.fixed_blocks(content.select(F.lit("data").alias("folder_id"), F.col("id").cast("string").alias("path"), "content"), 4096)
+    blocks = chunking._lists(blocks, "blocks").select(F.col("path").cast("bigint").alias("id"), "blocks")
+    known = listing.where("id % 5 <> 4").join(blocks, "id")
+    off = lambda k, other, c: F.when(F.col("id") % 5 == k, other).otherwise(c)
+    manifest = known.select(*KEYS, off(3, F.col("size") + 1, F.col("size")).alias("size"), F.when(F.col("id") % 5 == 0, F.col("mtime")).otherwise(F.col("mtime") - 5000).alias("mtime"), off(2, F.array(F.lit("x")), F.col("blocks")).alias("blocks"))
+    out = tree.settle_candidates(scan.scan_diff(manifest, listing, keep_blocks=True), {"data": base}, 4096)
+    return out.groupBy("change", "opened").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 #: Extensions that pages' paths get in turn: what each must be taken for, and up to how many MiB it is compared.

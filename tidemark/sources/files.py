@@ -7,20 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType
 
-from tidemark.functions.ignore import TOOL, Rule, ignored_path
+from tidemark.functions.ignore import TOOL, Rule
 from tidemark.functions.scalars import is_real_date
+from tidemark.sources import tree
 
 EVENT = "ts bigint, folderId string, path string, action string, direction string, deviceId string, durationMs bigint"
 
 
-def scan_files(spark: SparkSession, root: str, folder_id: str, rules: list[Rule] = (), content: bool = False, glob: str | None = None) -> DataFrame:
-    """(folder_id, path, size, mtime[, content]) of a tree. Without content no file is opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    base = root.rstrip("/") + "/"
-    path = F.substring_index("path", base, -1)
-    rows = reader.load(root).select(F.lit(folder_id).alias("folder_id"), path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), *(["content"] if content else []))
-    return rows.where(~ignored_path(list(rules), "path"))
+def scan_files(spark: SparkSession, root: str, folder_id: str, rules: list[Rule] = (), glob: str | None = None, nested: DataFrame | None = None, tool: str = TOOL) -> DataFrame:
+    """(folder_id, path, size, mtime) of a tree, walked by tasks; ignored directories and nested roots aren't listed, no file is opened."""
+    return tree.walk(spark, root, folder_id, rules, nested, glob, tool)[0]
 
 
 def base36(text: Column | str) -> Column:
@@ -130,16 +126,3 @@ def parse_calendar(payloads: DataFrame, column: str = "body") -> DataFrame:
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     """Days of one payload a file."""
     return parse_calendar(spark.read.text(path, wholetext=True), "value")
-
-
-def nested_rule_files(spark: SparkSession, root: str, name: str = "gitignore") -> DataFrame:
-    """(dir, line_no, line) of every rule file below a root, for compose_rules().
-
-    Spark's readers skip files whose names begin with a dot, so the tree must hold the rule
-    files without it (as an export does).
-    """
-    base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
-    rel = F.substring_index("path", base, -1)
-    lines = F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n"), "\n", -1)).alias("line_no", "line")
-    return files.select(F.regexp_replace(rel, rf"/?\Q{name}\E$", "").alias("dir"), lines)
