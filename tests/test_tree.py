@@ -69,3 +69,23 @@ def test_only_candidates_are_opened(spark, tmp_path):
     out = {r.path: (r.change, r.opened) for r in tree.settle_candidates(diff, {"f": root}, 1000).collect()}
     assert out == {"same": ("same", False), "touched": ("touched", True), "changed": ("changed", True), "sized": ("changed", False), "new": ("new", False), "gone": ("gone", False), "empty": ("touched", True)}
     assert tree.settle_candidates(diff.where(F.lit(False)), {}, 1000).isEmpty()
+
+
+@pytest.mark.parametrize("span", [1, 100, 5000, 1 << 20])
+def test_chunks_by_ranges(spark, tmp_path, monkeypatch, span):
+    """Files chunked by byte ranges against the same bytes as one cell each."""
+    import numpy as np
+
+    from tidemark.operators import chunking, ranges
+
+    root, rng = str(tmp_path), np.random.default_rng(span)
+    sizes = {"empty": 0, "one": 1, "flat": 3000, "x/a": 31, "x/b": 70_000 if span > 1 else 700, "c d": 9999 if span > 1 else 99}
+    data = {p: bytes(n) if p == "flat" else rng.integers(0, 256, n).astype(np.uint8).tobytes() for p, n in sizes.items()}
+    _write(root, **data)
+    files, _ = tree.walk(spark, root, "f")
+    content = spark.createDataFrame([("f", p, d) for p, d in data.items()], "folder_id string, path string, content binary")
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    found = ranges.cdc_chunks_of_files(files, {"f": root}, 64, 1024, 127, span)
+    assert same(found, chunking.cdc_chunks(content, 64, 1024, 127)) and found.count() > 20
+    assert same(ranges.fixed_blocks_of_files(files, {"f": root}, 333), chunking.fixed_blocks(content, 333))
+    assert ranges.cdc_chunks_of_files(files.limit(0), {}).isEmpty()

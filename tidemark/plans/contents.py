@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import chunking, drift
+from tidemark.operators import chunking, drift, ranges
 from tidemark.operators.common import KEYS
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import query
+from tidemark.session import shared_dir
+from tidemark.sources import tree
 
 PIECE = 512
 _B = f"{fx.SLOTS}, o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY path ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM b)"
@@ -65,19 +69,66 @@ def fixed_blocks(spark, sf_dir):
     return chunking.fixed_blocks(fx.content(spark, sf_dir), PIECE)
 
 
-def _chunks(spark, sf_dir):
-    return chunking.cdc_chunks(fx.content(spark, sf_dir), 256, 4096, (1 << 9) - 1)
+LEAST, MOST, BITS = 256, 4096, 9  # small, since documents are
+
 
+def _cdc(files):
+    """DuckDB: CTEs of the content-defined chunks of files (path, raw); a byte's number is turned back by its place, so a window of XORs slides."""
+    low = lambda x: f"(({x}) & 4294967295::HUGEINT)"
+    rotl = lambda x, r: f"((({x}) & ((1::BIGINT << (32 - ({r}))) - 1)) << ({r})) | (({x}) >> (32 - ({r})))"
+    return f"""RECURSIVE c AS ({files}), k AS (SELECT path, hex(raw) AS hx, octet_length(raw) AS size FROM c),
+s AS (SELECT b, (2654435769 + 1831565813 * (b + 1)) & 4294967295 AS s FROM range(256) r(b)),
+t AS (SELECT b, {low('xor(s, s >> 15)::HUGEINT * (s | 1)::HUGEINT')}::BIGINT AS t FROM s),
+u AS (SELECT b, xor(t, {low("t::HUGEINT + xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT")}::BIGINT) AS t FROM t),
+gear AS (SELECT upper(printf('%02x', b)) AS h, xor(t, t >> 14) AS g FROM u),
+e AS (SELECT path, regexp_extract_all(hx, '..') AS hs FROM k), y AS (SELECT path, unnest(hs) AS h, unnest(range(len(hs))) AS i FROM e),
+z AS (SELECT path, i, {rotl('g', '(32 - i % 32) % 32')} AS g FROM y JOIN gear USING (h)),
+w AS (SELECT path, i, bit_xor(g) OVER (PARTITION BY path ORDER BY i ROWS 31 PRECEDING) AS g FROM z),
+m AS (SELECT path, list(i + 1 ORDER BY i) AS marks FROM w WHERE ({rotl('g', 'i % 32')}) & {(1 << BITS) - 1} = 0 GROUP BY path),
+p AS MATERIALIZED (SELECT k.path, size, marks FROM k LEFT JOIN m USING (path)),
+cuts AS (SELECT path, -1 AS slot, 0::BIGINT AS start, 0::BIGINT AS stop FROM p WHERE size > 0
+ UNION ALL SELECT cuts.path, slot + 1, stop, least(coalesce(list_filter(marks, lambda x: x >= stop + {LEAST})[1], size), stop + {MOST}, size) FROM cuts JOIN p USING (path) WHERE stop < size),
+chunks AS (SELECT path, CAST(slot AS INTEGER) AS slot, start AS "offset", stop - start AS length, sha256(unhex(substr(hx, 2 * start + 1, 2 * (stop - start)))) AS hash FROM cuts JOIN k USING (path) WHERE slot >= 0)"""
 
-@query()
+
+@query(f"""WITH {_cdc(f"WITH {_DOCS} SELECT * FROM d")} SELECT 'f0' AS folder_id, path, slot, "offset", length, hash FROM chunks""")
 def cdc_chunks(spark, sf_dir):
-    """Small parameters, since documents are small; the tests hold it against a plain loop."""
-    return _chunks(spark, sf_dir)
+    return chunking.cdc_chunks(fx.content(spark, sf_dir), LEAST, MOST, (1 << BITS) - 1)
+
+
+_SOURCES = "SELECT source AS path, encode(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS raw FROM documents GROUP BY source"
+
+
+def _big_files(spark, sf_dir):
+    """A file for each source, of all its documents."""
+    base = f"{shared_dir(spark).rstrip('/')}/tree/{uuid.uuid4().hex}"
+    d = fx.table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    d.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(base)
+    return tree.walk(spark, base, "f0", glob="*.txt")[0], {"f0": base}
+
+
+_source = F.regexp_extract("path", "source=([^/]*)/", 1)
+
+
+@query(f"""WITH {_cdc(_SOURCES)} SELECT 'f0' AS folder_id, path, slot, "offset", length, hash FROM chunks""")
+def cdc_chunks_of_files(spark, sf_dir):
+    """Large files, each read as ranges of 10,000 bytes by many tasks."""
+    files, roots = _big_files(spark, sf_dir)
+    return ranges.cdc_chunks_of_files(files, roots, LEAST, MOST, (1 << BITS) - 1, 10_000).withColumn("path", _source)
+
+
+@query(f"""WITH c AS ({_SOURCES}), h AS (SELECT path, hex(raw) AS hx, octet_length(raw) AS size FROM c), p AS (SELECT path, size, CAST(unnest(range(CAST(ceil(size / 65536.0) AS BIGINT))) AS INTEGER) AS slot, hx FROM h)
+SELECT 'f0' AS folder_id, path, slot, CAST(slot AS BIGINT) * 65536 AS "offset", least(65536, size - slot * 65536) AS length, sha256(unhex(substr(hx, slot * 131072 + 1, 131072))) AS hash FROM p""")
+def fixed_blocks_of_files(spark, sf_dir):
+    files, roots = _big_files(spark, sf_dir)
+    return ranges.fixed_blocks_of_files(files, roots, 65536).withColumn("path", _source)
 
 
-@query()
+@query(f"""WITH {_cdc(f"WITH {_DOCS} SELECT * FROM d")}, x AS (SELECT path, count(*) AS n_chunks, string_agg(hash, ',' ORDER BY slot) AS cdh, string_agg(length::VARCHAR, ',' ORDER BY slot) AS clens FROM chunks GROUP BY path),
+pieces AS (SELECT path, CAST(unnest(range(CAST(ceil(size / {PIECE}.0) AS BIGINT))) AS INTEGER) AS slot, hx FROM k), v AS (SELECT path, count(*) AS n_blocks, string_agg(sha256(unhex(substr(hx, slot * {2 * PIECE} + 1, {2 * PIECE}))), ',' ORDER BY slot) AS blocks FROM pieces GROUP BY path)
+SELECT 'f0' AS folder_id, k.path, size, CAST(n_blocks AS INTEGER) AS n_blocks, CAST(n_chunks AS INTEGER) AS n_chunks, sha256(concat_ws(chr(0), size::VARCHAR, blocks, cdh, clens)) AS fingerprint FROM k JOIN x USING (path) JOIN v USING (path)""")
 def file_views(spark, sf_dir):
-    v = chunking.file_views(fx.content(spark, sf_dir), PIECE, 256, 4096, (1 << 9) - 1)
+    v = chunking.file_views(fx.content(spark, sf_dir), PIECE, LEAST, MOST, (1 << BITS) - 1)
     return v.select(*KEYS, "size", F.size("blocks").alias("n_blocks"), F.size("cdh").alias("n_chunks"), scalars.entry_fingerprint("size", "blocks", "cdh", "clens").alias("fingerprint"))
 
 
