@@ -119,13 +119,13 @@ def test_an_edit_repaints_few_chunks():
     assert len(chunks(raw) - chunks(edited)) <= 2
 
 
-def test_reassemble_reports_failures(spark):
-    slots = spark.createDataFrame([("f", "ok", 0, bytearray(b"ab")), ("f", "ok", 1, bytearray(b"c")), ("f", "bad", 0, bytearray(b"x")), ("f", "short", 0, bytearray(b"s"))], "folder_id string, path string, slot int, data binary")
-    h = lambda b: hashlib.sha256(b).hexdigest()
-    want = spark.createDataFrame([("f", "ok", [h(b"ab"), h(b"c")]), ("f", "bad", [h(b"y")]), ("f", "short", [h(b"s"), h(b"t")])], "folder_id string, path string, hashes array<string>")
-    whole, bad = chunking.reassemble(slots, want)
-    assert [(r.path, bytes(r.content)) for r in whole.collect()] == [("ok", b"abc")]
-    assert {r.path: r.reason for r in bad.collect()} == {"bad": "wrong hash", "short": "missing slots"}
+def test_slot_layout_is_a_prefix_sum(spark):
+    lens = {"a": [3, 1, 4], "none": [], "null": None, "gap": [None, 2], "long": list(range(5000))}
+    df = spark.createDataFrame([("f", p, v) for p, v in lens.items()], "folder_id string, path string, lens array<bigint>")
+    got = {}
+    for r in drift.slot_layout(df).orderBy("path", "slot").collect():
+        got.setdefault(r.path, []).append((r.offset, r.length))
+    assert got == {p: [(sum(x or 0 for x in v[:i]) if len(v) < 10 else i * (i - 1) // 2, v[i]) for i in range(len(v))] for p, v in lens.items() if v}
 
 
 def test_scan_and_guard(spark, sides):

@@ -89,3 +89,70 @@ def test_chunks_by_ranges(spark, tmp_path, monkeypatch, span):
     assert same(found, chunking.cdc_chunks(content, 64, 1024, 127)) and found.count() > 20
     assert same(ranges.fixed_blocks_of_files(files, {"f": root}, 333), chunking.fixed_blocks(content, 333))
     assert ranges.cdc_chunks_of_files(files.limit(0), {}).isEmpty()
+
+
+def _slots(spark, rows):
+    return spark.createDataFrame([("f", p, i, bytearray(d)) for p, i, d in rows], "folder_id string, path string, slot int, data binary")
+
+
+def test_assembly(spark, tmp_path):
+    from tidemark.operators.assembly import assemble_files
+
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    parts = {"ok": [b"ab", b"c"], "sub/same": [b"q", b"q", b"q"], "bad": [b"x"], "short": [b"s", b"t"], "empty": [], "late": [b"1", b"2"], "both": [b"m", b"n"]}
+    got = [(p, i, d) for p, v in parts.items() for i, d in enumerate(v) if (p, i) not in {("short", 1), ("both", 1)}]
+    got = [(p, i, b"y" if (p, i) in {("bad", 0), ("both", 0)} else d) for p, i, d in got]
+    got += [("ok", 0, b"ab"), ("ok", 7, b"past"), ("stranger", 0, b"z"), ("late", 1, b"wrong copy")]
+    want = spark.createDataFrame([("f", p, [h(d) for d in v]) for p, v in parts.items()], "folder_id string, path string, hashes array<string>")
+    out = {r.path: (r.size, r.sha256, r.reason) for r in assemble_files(_slots(spark, got), want, {"f": str(tmp_path)}).collect()}
+    good = {p: b"".join(parts[p]) for p in ("ok", "sub/same", "empty")}
+    assert out == {p: (len(d), h(d), None) for p, d in good.items()} | {"bad": (None, None, "wrong hash"), "late": (None, None, "wrong hash"), "short": (None, None, "missing slots"), "both": (None, None, "missing slots")}
+    found = {os.path.relpath(os.path.join(d, n), tmp_path): open(os.path.join(d, n), "rb").read() for d, _, names in os.walk(tmp_path) for n in names}
+    assert found == good  # nothing half-written is left
+    again = assemble_files(_slots(spark, got), want, {"f": str(tmp_path)})
+    assert {r.path: (r.size, r.sha256, r.reason) for r in again.collect()} == out
+    assert assemble_files(_slots(spark, got), want.limit(0), {"f": str(tmp_path)}).isEmpty()
+
+
+def test_a_large_file_is_assembled_as_a_stream(spark, tmp_path):
+    from tidemark.operators.assembly import assemble_files
+    from tidemark.operators.ranges import fixed_blocks_of_files
+
+    one = b"0123456789abcdef" * (1 << 16)
+    slots = spark.range(200).select(F.lit("f").alias("folder_id"), F.lit("big").alias("path"), F.col("id").cast("int").alias("slot"), F.lit(bytearray(one)).alias("data")).repartition(8)
+    want = spark.createDataFrame([("f", "big", [hashlib.sha256(one).hexdigest()] * 200)], "folder_id string, path string, hashes array<string>")
+    out = assemble_files(slots, want, {"f": str(tmp_path)}).collect()
+    assert [(r.size, r.reason) for r in out] == [(200 << 20, None)] and os.path.getsize(tmp_path / "big") == 200 << 20
+    files = spark.createDataFrame([("f", "big", 200 << 20)], "folder_id string, path string, size bigint")
+    assert {(r.length, r.hash) for r in fixed_blocks_of_files(files, {"f": str(tmp_path)}).collect()} == {(1 << 20, hashlib.sha256(one).hexdigest())}
+
+
+def test_history_compaction(spark, tmp_path):
+    from tidemark.sources import history_store as store
+
+    base = str(tmp_path / "h")
+    assert store.read_store(spark, base).isEmpty()
+    events = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("f"), F.col("id") % 2).alias("folder_id"), F.concat(F.lit("p"), "id").alias("path"), *[F.lit("x").alias(c) for c in ("action", "direction", "device_id")])
+    rows = lambda: sorted((r.folder_id, r.seq.n) for r in store.read_store(spark, base).collect())
+    last = lambda n, limit: sorted((f"f{i % 2}", i) for i in range(n) if i >= n - 2 * limit)
+    store.append_events(events(0, 30), base)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(f"{base}/{store.visible(base)[0]}/folder_id=f0")
+    store.append_events(events(30, 40), base)
+    assert rows() == last(40, 100)
+    store.write_generation(spark, base, store.visible(base), 5)  # a compaction that stops here
+    assert rows() == last(40, 100)
+    names = store.visible(base)
+    generation = store.write_generation(spark, base, names, 5)
+    store.append_events(events(40, 44), base)  # comes in between
+    os.makedirs(f"{base}/append-0-unfinished/folder_id=f0")  # and one that never ended
+    store.publish(base, generation, names)
+    assert rows() == sorted([*last(40, 5), *[(f"f{i % 2}", i) for i in range(40, 44)]])
+    assert rows() == (store.publish(base, generation, names), rows())[1]
+    store.compact_history(spark, base, 5)
+    assert rows() == last(44, 5) and len(store.visible(base)) == 1
+    dropped = store.drop_covered(base)
+    assert len(dropped) == 5 and rows() == last(44, 5)
+    store.compact_history(spark, base, 5)
+    store.append_events(events(44, 46), base)
+    store.compact_history(spark, base, 5)
+    assert rows() == last(46, 5)

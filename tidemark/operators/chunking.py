@@ -156,25 +156,6 @@ def chunk_reuse(remote: DataFrame, local: DataFrame, by_position: bool) -> DataF
     return j.groupBy(*KEYS).agg(F.sum(F.when(got, F.col("length")).otherwise(0)).alias("reused"), F.sum(F.when(got, 0).otherwise(F.col("length"))).alias("sent"))
 
 
-def reassemble(slots: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(whole files, failures) of received slots (folder_id, path, slot, data).
-
-    expected: (folder_id, path, hashes). A file is whole if every slot is there with its hash
-    and the content, hashed again, is too; failures carry a reason. A file's bytes meet in one
-    row, as a file must in the end; the hash checks run before, slot by slot.
-    """
-    want = expected.select(*KEYS, F.posexplode("hashes").alias("slot", "hash"))
-    got = slots.select(*KEYS, "slot", "data", F.sha2("data", 256).alias("got")).dropDuplicates([*KEYS, "slot", "got"])
-    j = want.join(got, [*KEYS, "slot"], "left")
-    state = j.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(F.col("got") != F.col("hash")).alias("wrong"))
-    bad = state.where("missing > 0 or wrong > 0").select(*KEYS, F.when(F.col("missing") > 0, "missing slots").otherwise("wrong hash").alias("reason"))
-    parts = j.join(state.where("missing = 0 and wrong = 0").select(*KEYS), KEYS)
-    joined = F.array_sort(F.collect_list(F.struct("slot", "data")))
-    hexed = F.unhex(F.array_join(F.transform(joined, lambda s: F.hex(s["data"])), ""))
-    whole = parts.groupBy(*KEYS).agg(hexed.alias("content"))
-    return whole.withColumn("sha256", F.sha2("content", 256)), bad
-
-
 def partial_progress(layout: DataFrame, held: DataFrame, sizes: DataFrame) -> DataFrame:
     """(folder_id, path, slots_held, bytes_held) of files in flight. held: (folder_id, path, slot)."""
     j = layout.join(held.select(*KEYS, "slot").distinct(), [*KEYS, "slot"], "left_semi")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from tidemark.functions.scalars import chunk_view, pick_slot
 from tidemark.functions.vectors import compare_versions
 from tidemark.operators.common import KEYS, as_manifest, side
+from tidemark.session import ship_package
 
 
 def equal_pairs(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -58,14 +63,27 @@ def stride_sample(rows: DataFrame, n: int, round_: int) -> DataFrame:
     return out.drop("_b", "_n", "_before", "_rows")
 
 
+@arrow_udf(T.ArrayType(T.LongType()))
+def _starts(lens: pa.Array) -> pa.Array:
+    """The sum of the values before each one, list by list."""
+    lens = lens.cast(pa.list_(pa.int64()))
+    flat = lens.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    size = lens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    before = np.concatenate([[0], np.cumsum(flat)])
+    first = ends - size
+    values = before[:-1] - np.repeat(before[first], size)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, pa.int64()))
+
+
 def slot_layout(files: DataFrame, lengths: str = "lens") -> DataFrame:
     """(folder_id, path, slot, offset, length) from a list column of slot lengths.
 
     The prefix sum runs inside each file's row, so no shuffle is needed.
     """
-    lens = F.col(lengths)
-    slots = F.transform(F.sequence(F.lit(0), F.size(lens) - 1), lambda i: F.struct(i.alias("slot"), F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("offset"), F.get(lens, i).cast("bigint").alias("length")))
-    return files.where(F.size(lens) > 0).select(*KEYS, F.inline(slots))
+    ship_package(files.sparkSession)
+    some = files.where(F.size(lengths) > 0).select(*KEYS, F.col(lengths).cast("array<bigint>").alias("l")).withColumn("o", _starts("l"))
+    return some.select(*KEYS, F.posexplode(F.arrays_zip("o", "l")).alias("slot", "s")).select(*KEYS, "slot", F.col("s.o").alias("offset"), F.col("s.l").alias("length"))
 
 
 def fixed_layout(files: DataFrame, block: int, size: str = "size") -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.operators.common import KEYS
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import query
 from tidemark.session import shared_dir
-from tidemark.sources import files, manifest
+from tidemark.sources import files, history_store, manifest
 
 _M1 = fx.duck(f"l AS ({fx.M1_LOCAL}), r AS ({fx.M1_REMOTE})")
 
@@ -86,6 +86,19 @@ def append_history(spark, sf_dir):
 query(f"WITH {fx.EVENTS} SELECT folder_id, count(*) AS good, CAST(1 AS BIGINT) AS bad FROM e GROUP BY folder_id")(append_history)
 
 
+@query(f"WITH {fx.EVENTS} SELECT seq, folder_id, path, action, direction, device_id, epoch_us(ts) // 1000 AS ms FROM e QUALIFY row_number() OVER (PARTITION BY folder_id ORDER BY seq DESC) <= 100")
+def compact_history(spark, sf_dir):
+    """Events appended in four parts, trimmed to each folder's last hundred in between and at the end."""
+    where = f"{shared_dir(spark).rstrip('/')}/history/{uuid.uuid4().hex}"
+    e = fx.events(spark, sf_dir)
+    lo, hi = e.agg(F.min("seq"), F.max("seq")).first()
+    for k in range(4):
+        history_store.append_events(e.where(F.floor((F.col("seq") - lo) * 4 / (hi - lo + 1)) == k), where)
+        if k % 2:
+            history_store.compact_history(spark, where, 100)
+    return history_store.read_store(spark, where).select("seq.n", "folder_id", "path", "action", "direction", "device_id", F.unix_millis("ts").alias("ms")).withColumnRenamed("n", "seq")
+
+
 def _calendar(spark):
     body = '{"days": [{"date": "2024-01-01", "isOffDay": true}, {"date": "2024-02-30", "isOffDay": true}, {"date": "2024-01-13", "isOffDay": false}, {"date": "2024-01-14", "isOffDay": "no"}]}'
     flat = '{"2024-01-15": true, "2024-01-20": false, "2024-13-01": true, "note": "x"}'
