@@ -389,3 +389,26 @@ def test_chat_rows(spark):
     assert got[-7].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
     assert got[1].turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\n\nassistant\n\n").hexdigest()
     assert got[3].loss_chars == 8000
+
+
+PARAGRAPH = "The river rose in the night and by morning the lower fields were under water, so the farmers moved their cattle."
+AROUND = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul></nav>{}<div class="cookie-notice"><p>We use cookies to make this site better.</p></div><footer>© 2024 Some company</footer>'
+ASIDE = '<div class="sidebar"><h3>Related</h3><ul><li><a href="/x">One</a></li></ul></div>'
+
+
+@pytest.mark.parametrize(
+    "main,want",
+    [
+        (f'<div class="zq-wrap"><p>{PARAGRAPH}</p></div>', PARAGRAPH),
+        (f'<div class="zq-wrap"><h1>Flood</h1><p>{PARAGRAPH}</p></div>', f"Flood {PARAGRAPH}"),
+        (f'<div class="grid7"><div class="cell-x"><h1>Flood</h1><p>{PARAGRAPH}</p></div>{ASIDE}</div>', f"Flood {PARAGRAPH}"),
+        (f"<div><div><p>{PARAGRAPH}</p></div>{ASIDE}</div>", PARAGRAPH),
+        ('<div class="zq-wrap"><p>Rain fell.</p></div>', "Rain fell."),
+        (f'<div class="zq-wrap"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>', f"{PARAGRAPH} {PARAGRAPH}"),
+        (ASIDE, ""),
+        (f'<div class="comments"><div class="comment"><p>{PARAGRAPH}</p></div></div>', ""),
+        ("", ""),
+    ],
+)
+def test_articles_of_one_paragraph(main, want):
+    assert html_extract.extract(f"<html><body>{AROUND.format(main)}</body></html>") == want

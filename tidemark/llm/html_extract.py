@@ -4,7 +4,7 @@ A page's block elements form a tree; each is content or not. A node's potential
 its features (tag, words of its class, id and role, link share, length, punctuation), an
 edge's from the child's tag and both ends' states. Sum-product messages go up from the
 leaves and down from the root, so every node gets its exact marginal; text in nodes with a
-marginal of at least 0.5 is the page's main text. All pages of a batch are worked level by
+marginal of at least 0.5 is the page's main text (for pages where none has that, see chosen()). All pages of a batch are worked level by
 level, so a step is a few array operations.
 
 Potentials are smoothed counts from labelled pages that label_pages() makes by rule
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from ._spark import of, spread
 
 LABELLED = 400
+FLOOR = 0.03  # menus, notices and the like have marginals under 0.01
 # Fixed values of HTML: elements by their part in the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript svg math iframe object select option textarea button head title canvas audio video map dialog datalist".split())
@@ -392,9 +393,22 @@ def trained(n: int = LABELLED) -> Model:
     return Model(tables, np.log(edges / edges.sum(axis=2, keepdims=True)), np.log(root / root.sum()))
 
 
+def chosen(page: Page, content: np.ndarray) -> np.ndarray:
+    """The nodes whose text is taken: those of a marginal of 0.5 or more.
+
+    Where none of them has text, as with a single paragraph under a name that nothing is known of, the best
+    one says what content looks like on this page, and those at least half as likely are taken with it.
+    What is below FLOOR is no article: then there is none.
+    """
+    said = np.zeros(len(content), bool)
+    said[[node for node, text, _ in page.runs if text.strip()]] = True
+    best = content[said].max(initial=0)
+    return content >= (0.5 if best >= 0.5 or best < FLOOR else best / 2)
+
+
 def extract(source: str) -> str:
     page = Page(source)
-    return page.text(trained().marginals([page])[0] >= 0.5)
+    return page.text(chosen(page, trained().marginals([page])[0]))
 
 
 def _extracted(batches):
@@ -403,7 +417,7 @@ def _extracted(batches):
         out = []
         for lo in range(0, b.num_rows, 64):
             pages = [Page(x.as_py() or "") for x in b.column(2).slice(lo, 64)]
-            out += [p.text(m >= 0.5) for p, m in zip(pages, model.marginals(pages))] if pages else []
+            out += [p.text(chosen(p, m)) for p, m in zip(pages, model.marginals(pages))] if pages else []
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
