@@ -52,7 +52,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: tuple[str, ..
     gone = found.groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_tie")
     out = d.join(gone, d["doc_id"].eqNullSafe(gone["_id"]) & (d["tie"] == gone["_tie"]), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))  # by a hash set: linear in the lines
+    row = F.array(F.struct(parts.alias("parts"), stay.alias("stay")))  # bound once, so the text isn't split again for each line
+    kept = F.get(F.transform(row, lambda r: F.array_join(F.transform(r["stay"], lambda i: F.get(r["parts"], i)), "\n")), 0)
     return out.select(
         "doc_id",
         "text",
@@ -60,7 +62,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: tuple[str, ..
         *keep,
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
     )
 
 
