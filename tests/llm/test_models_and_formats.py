@@ -29,7 +29,7 @@ ODD = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "ß", "<|endoftext|>"
 
 @pytest.mark.parametrize("kind", [Bpe, packing._Compiled])
 def test_tokens_against_the_library(reference, kind):
-    bpe, r = kind(vocabulary_path()), random.Random(1)
+    bpe, r = kind(open(vocabulary_path(), "rb").read()), random.Random(1)
     texts = ["".join(r.choice(ODD) for _ in range(r.randint(0, 30))) for _ in range(1500)] + ["ab" * 20_000, ""]
     for t in texts:
         ids = np.frombuffer(bpe.packed(t), "<u4")
@@ -38,7 +38,7 @@ def test_tokens_against_the_library(reference, kind):
 
 
 def test_decoding_of_broken_bytes(reference):
-    bpe = Bpe(vocabulary_path())
+    bpe = Bpe(open(vocabulary_path(), "rb").read())
     ids = np.frombuffer(bpe.packed("\U0001f600"), "<u4")[:-1]
     assert bpe.decode(ids) == reference.decode(ids.tolist(), skip_special_tokens=False)
 

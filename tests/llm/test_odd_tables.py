@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -71,6 +72,17 @@ def test_tokens(odd):
     assert {r.n_tokens for r in out if r.doc_id in (1, 2)} == {0}
 
 
+def test_two_vocabularies_of_one_name(odd, tmp_path):
+    """A vocabulary is known by its content: the second one, without merges, gives a token for each byte."""
+    other = tmp_path / "byte_bpe_50k.json"
+    spec = json.load(open(vocabulary_path(), encoding="utf-8"))
+    spec["model"] |= {"merges": [], "vocab": {t: i for t, i in spec["model"]["vocab"].items() if len(t) == 1}}
+    other.write_text(json.dumps(spec))
+    short = odd.where("doc_id = 7")
+    n = [encode_decode_digests(short, p).first().n_tokens for p in (vocabulary_path(), str(other), vocabulary_path())]
+    assert n == [3, 13, 3] and sum(r.length for r in pack(short, str(other)).collect()) == 14
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_packing(odd, monkeypatch, small):
     if small:  # several ranges

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
+from ..session import shared_dir, ship_package
 
 BATCH_BYTES = 8 << 20  # of a batch sent to a Python worker
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -30,8 +30,9 @@ def written(df: DataFrame) -> DataFrame:
 def of(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; a missing one is null. Other columns can't clash.
 
-    Long texts make large batches, so the session's bound of a batch in bytes, if nobody has set one, is lowered.
+    Operators begin here, so this is also where executors get the package. Long texts make large batches, so the session's bound of a batch in bytes, if nobody has set one, is lowered.
     """
+    ship_package(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get(_BATCH) == "67108864b":  # Spark's default
         conf.set(_BATCH, str(BATCH_BYTES))

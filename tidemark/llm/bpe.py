@@ -25,7 +25,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from ._spark import of, spread
@@ -52,10 +52,9 @@ class Bpe(dict):
 
     kept = WORDS_KEPT
 
-    def __init__(self, path: str):
+    def __init__(self, source: bytes):
         super().__init__()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(source)
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -166,22 +165,24 @@ def _picked(strings: list[bytes], ids: np.ndarray) -> tuple[bytes, ...]:
     return itemgetter(*ids.tolist())(strings) if len(ids) > 1 else tuple(strings[i] for i in ids.tolist())
 
 
-def ship_vocabulary(spark: SparkSession, path: str) -> str:
-    """Send the vocabulary file to the executors; its name there."""
-    spark.sparkContext.addFile(path)
-    return path.rsplit("/", 1)[-1]
+def ship_vocabulary(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
+    """The vocabulary file (some megabytes) for the executors, and the digest of its content."""
+    with open(path, "rb") as f:
+        source = f.read()
+    return spark.sparkContext.broadcast(source), hashlib.sha256(source).hexdigest()
 
 
-def vocabulary(name: str, kind: type[Bpe] = Bpe) -> Bpe:
-    """In a task: the vocabulary, read once by each Python worker."""
-    if (name, kind) not in _loaded:
-        _loaded[name, kind] = kind(SparkFiles.get(name))
-    return _loaded[name, kind]
+def vocabulary(shipped: tuple[Broadcast, str], kind: type[Bpe] = Bpe) -> Bpe:
+    """In a task: the vocabulary, read once by each Python worker and known by its content."""
+    held, digest = shipped
+    if (digest, kind) not in _loaded:
+        _loaded[digest, kind] = kind(held.value)
+    return _loaded[digest, kind]
 
 
-def _round_trip(name: str, whole: bool):
+def _round_trip(shipped: tuple[Broadcast, str], whole: bool):
     def run(batches):
-        bpe = vocabulary(name)
+        bpe = vocabulary(shipped)
         names = [b"%d" % i for i in range(len(bpe.strings))]
         for b in batches:
             rows = []
@@ -200,11 +201,11 @@ def _round_trip(name: str, whole: bool):
 
 def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids packed as little-endian 32-bit numbers, decoded the text they give back."""
-    name = ship_vocabulary(docs.sparkSession, vocabulary_path)
-    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_round_trip(name, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary_path)
+    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_round_trip(shipped, True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def encode_decode_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) by the same code, without carrying ids and texts on."""
-    name = ship_vocabulary(docs.sparkSession, vocabulary_path)
-    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_round_trip(name, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary_path)
+    return spread(of(docs, doc_id="long", text="string")).mapInArrow(_round_trip(shipped, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -127,8 +127,8 @@ def range_sorted(docs: DataFrame) -> DataFrame:
 class _Compiled(Bpe):
     """The vocabulary with its merges done by a compiled library: same ids, on whole texts."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, source: bytes):
+        super().__init__(source)
         import tiktoken
 
         special = set(self.specials.values())
@@ -184,7 +184,7 @@ class Packer:
             yield from self._flush()
 
 
-def _packed(name: str, length: int, close_id: int, keep_ids: bool):
+def _packed(shipped, length: int, close_id: int, keep_ids: bool):
     last = np.array([close_id], "<u4").tobytes()
     titles = ["doc_id", "start", "length", "ids" if keep_ids else "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -193,7 +193,7 @@ def _packed(name: str, length: int, close_id: int, keep_ids: bool):
         return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if keep_ids and i == 3 else pa.int64()) for i, v in enumerate(x)], titles)
 
     def run(batches):
-        bpe = vocabulary(name, _Compiled)
+        bpe = vocabulary(shipped, _Compiled)
         packer = Packer(length, TaskContext.get().partitionId() << 33, keep_ids)
         rows: list[tuple] = []
         for b in batches:
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, close_id: in
     ids: the piece's token ids as little-endian 32-bit numbers; without keep_ids their
     CRC-32, as ids_crc32, stands instead.
     """
-    name = ship_vocabulary(docs.sparkSession, vocabulary_path)
+    shipped = ship_vocabulary(docs.sparkSession, vocabulary_path)
     dealt = range_sorted(spread(of(docs, doc_id="long", text="string")))
     kind = "ids binary" if keep_ids else "ids_crc32 long"
-    return dealt.mapInArrow(_packed(name, length, close_id, keep_ids), f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(_packed(shipped, length, close_id, keep_ids), f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")
