@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._spark import cut, of
 
 SAMPLE, PIVOTS = 2048, 32
-SHARD, FAN, PAGE, BLOCK = 8192, 8, 256, 256
+SHARD, FAN, PAGE, BLOCK, TOGETHER = 8192, 8, 256, 256, 16
 LEAST, MOST = -(1 << 63), (1 << 63) - 1  # of a long
 EXACT = 1 << 52  # inner products below this are exact in floating point
 _HIT = "query_id long, vec_id long, score long"
@@ -233,19 +233,24 @@ class Tree:
 
 
 def _searched(root, k: int):
-    """Rows of _TREE with a block of queries (q_ids, q_vectors, q_bounds)."""
+    """Rows of trees and of queries, a tree before the blocks of queries for it: the tree is opened once, when a query may reach it."""
 
     def run(batches):
+        held, tree = None, None
         for b in batches:
             hits = []
             for row in b.to_pylist():
+                if row["q_ids"] is None:
+                    held, tree = row, None
+                    continue
                 most, _ = root.value[row["dim"]]
                 ids, q = np.array(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], "<i8").reshape(-1, row["dim"])
                 bound = np.array(row["q_bounds"], float)
-                away = _distance(np.concatenate([q.astype(float), np.zeros((len(q), 1))], axis=1), np.array([row["centre"]]))[:, 0]
-                near = away - row["radius"] <= bound + 1e-6 * (1 + away)
+                away = _distance(np.concatenate([q.astype(float), np.zeros((len(q), 1))], axis=1), np.array([held["centre"]]))[:, 0]
+                near = away - held["radius"] <= bound + 1e-6 * (1 + away)
                 if near.any():
-                    hits += Tree(row, most).search(ids[near], q[near], bound[near], k)
+                    tree = tree or Tree(held, most)
+                    hits += tree.search(ids[near], q[near], bound[near], k)
             x = list(zip(*hits)) if hits else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], ["query_id", "vec_id", "score"])
 
@@ -256,15 +261,27 @@ def _block(key, rows):
     dim, node, block = (k.as_py() for k in key)
     v = rows.column("v").combine_chunks()
     v = v.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-    columns = [pa.array([dim], pa.int32()), pa.array([node], pa.int32()), pa.array([rows.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([v], pa.binary()), pa.array([rows.column("bound").to_pylist()], pa.list_(pa.float64()))]
-    return pa.Table.from_arrays(columns, ["dim", "node", "q_ids", "q_vectors", "q_bounds"])
+    columns = [pa.array([dim], pa.int32()), pa.array([node], pa.int32()), pa.array([block // TOGETHER], pa.int32()), pa.array([rows.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([v], pa.binary()), pa.array([rows.column("bound").to_pylist()], pa.list_(pa.float64()))]
+    return pa.Table.from_arrays(columns, ["dim", "node", "part", "q_ids", "q_vectors", "q_bounds"])
+
+
+_QUERIES = {"q_ids": "array<long>", "q_vectors": "binary", "q_bounds": "array<double>"}
 
 
-def _blocks(asked: DataFrame) -> DataFrame:
-    """Queries (vec_id, v, dim, node, bound) as blocks of about BLOCK for each node."""
-    sizes = asked.groupBy("dim", "node").agg(F.count("*").alias("rows"))
-    dealt = asked.join(sizes, ["dim", "node"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.ceil(F.col("rows") / BLOCK)).cast("int"))
-    return dealt.select("dim", "node", "block", "vec_id", "v", "bound").groupBy("dim", "node", "block").applyInArrow(_block, "dim int, node int, q_ids array<long>, q_vectors binary, q_bounds array<double>")
+def _searches(asked: DataFrame, trees: DataFrame, shards: DataFrame, root, k: int) -> DataFrame:
+    """Hits of queries (vec_id, v, dim, node, bound) in all trees of their nodes. shards: (dim, node, shards) to look in.
+
+    Queries of a node go as blocks of about BLOCK to each of its trees; a tree is sent once for TOGETHER blocks.
+    """
+    load = asked.groupBy("dim", "node").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    dealt = asked.join(load, ["dim", "node"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
+    blocks = dealt.select("dim", "node", "block", "vec_id", "v", "bound").groupBy("dim", "node", "block").applyInArrow(_block, "dim int, node int, part int, " + ", ".join(f"{c} {t}" for c, t in _QUERIES.items()))
+    each = F.explode(F.expr("sequence(0, shards - 1)")).alias("shard")
+    blocks = blocks.join(shards, ["dim", "node"]).select("dim", "node", "part", each, *_QUERIES)
+    parts = F.explode(F.expr(f"sequence(0, cast(ceil(blocks / {TOGETHER}) as int) - 1)")).alias("part")
+    heads = trees.join(load.select("dim", "node", "blocks"), ["dim", "node"]).select(*trees.columns, parts)
+    rows = heads.unionByName(blocks, allowMissingColumns=True).repartition("dim", "node", "shard", "part")
+    return rows.sortWithinPartitions("dim", "node", "shard", "part", F.col("q_ids").isNotNull()).mapInArrow(_searched(root, k), _HIT)
 
 
 def _reaches(root, radii):
@@ -322,17 +339,14 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) ->
     for r in trees.groupBy("dim", "node").agg(F.max("radius").alias("r")).collect():  # PIVOTS rows for each length
         radii[r.dim][r.node] = r.r
 
-    search = lambda blocks, where: where.join(blocks, ["dim", "node", "shard"]).mapInArrow(_searched(root, k), _HIT)
     near = asked.select("vec_id", "v", "dim").mapInArrow(_nearest(root), "vec_id long, v array<long>, dim int, node int").withColumn("bound", F.lit(float("inf")))
-    first = cut(search(_blocks(near).withColumn("shard", F.lit(0)), trees.where("shard = 0")))
+    first = cut(_searches(near, trees.where("shard = 0"), sizes.withColumn("shards", F.lit(1)), root, k))
     kth = _top(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "score")
     q2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     most = F.element_at(F.create_map(*[F.lit(x) for d, m in longest.items() for x in (d, float(m))]), F.col("dim")) if longest else F.lit(0.0)
     bounded = asked.join(kth, "vec_id", "left").withColumn("bound", F.when(F.col("score").isNull() | (F.col("score") == F.lit(LEAST)), float("inf")).otherwise(F.sqrt(F.greatest(q2 + most - 2.0 * F.col("score"), F.lit(0.0)))))
     reach = bounded.select("vec_id", "v", "dim", "bound").mapInArrow(_reaches(root, radii), "vec_id long, v array<long>, dim int, bound double, node int")
-    each = _blocks(reach).join(sizes, ["dim", "node"]).withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).drop("shards")
-    hits = search(each, trees)
-    return _top(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _top(_searches(reach, trees, sizes, root, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: DuckDB: every pair of query and candidate.
