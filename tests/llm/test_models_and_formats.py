@@ -279,8 +279,11 @@ def _nearest(vectors, k, every):
                 yield q, rank, i, -s
 
 
-def test_search_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [{}, {"SHARD": 90, "BLOCK": 4, "TOGETHER": 2}])
+def test_search_against_brute_force(spark, monkeypatch, sizes):
     monkeypatch.setattr(mtree, "PAGE", 16)
+    for name, n in sizes.items():  # several trees of a node, and several copies of a tree
+        monkeypatch.setattr(mtree, name, n)
     r = np.random.default_rng(3)
     centres = r.normal(size=(6, 8))
     vectors = {i: (centres[i % 6] + r.normal(scale=0.2, size=8)).astype(np.float32).tolist() for i in range(700)}

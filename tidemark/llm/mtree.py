@@ -261,8 +261,8 @@ def _block(key, rows):
     dim, node, block = (k.as_py() for k in key)
     v = rows.column("v").combine_chunks()
     v = v.flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-    columns = [pa.array([dim], pa.int32()), pa.array([node], pa.int32()), pa.array([block // TOGETHER], pa.int32()), pa.array([rows.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([v], pa.binary()), pa.array([rows.column("bound").to_pylist()], pa.list_(pa.float64()))]
-    return pa.Table.from_arrays(columns, ["dim", "node", "part", "q_ids", "q_vectors", "q_bounds"])
+    columns = [pa.array([dim], pa.int32()), pa.array([node], pa.int32()), pa.array([block], pa.int32()), pa.array([rows.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([v], pa.binary()), pa.array([rows.column("bound").to_pylist()], pa.list_(pa.float64()))]
+    return pa.Table.from_arrays(columns, ["dim", "node", "block", "q_ids", "q_vectors", "q_bounds"])
 
 
 _QUERIES = {"q_ids": "array<long>", "q_vectors": "binary", "q_bounds": "array<double>"}
@@ -275,9 +275,9 @@ def _searches(asked: DataFrame, trees: DataFrame, shards: DataFrame, root, k: in
     """
     load = asked.groupBy("dim", "node").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     dealt = asked.join(load, ["dim", "node"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
-    blocks = dealt.select("dim", "node", "block", "vec_id", "v", "bound").groupBy("dim", "node", "block").applyInArrow(_block, "dim int, node int, part int, " + ", ".join(f"{c} {t}" for c, t in _QUERIES.items()))
+    blocks = dealt.select("dim", "node", "block", "vec_id", "v", "bound").groupBy("dim", "node", "block").applyInArrow(_block, "dim int, node int, block int, " + ", ".join(f"{c} {t}" for c, t in _QUERIES.items()))
     each = F.explode(F.expr("sequence(0, shards - 1)")).alias("shard")
-    blocks = blocks.join(shards, ["dim", "node"]).select("dim", "node", "part", each, *_QUERIES)
+    blocks = blocks.join(shards, ["dim", "node"]).select("dim", "node", F.floor(F.col("block") / TOGETHER).cast("int").alias("part"), each, *_QUERIES)
     parts = F.explode(F.expr(f"sequence(0, cast(ceil(blocks / {TOGETHER}) as int) - 1)")).alias("part")
     heads = trees.join(load.select("dim", "node", "blocks"), ["dim", "node"]).select(*trees.columns, parts)
     rows = heads.unionByName(blocks, allowMissingColumns=True).repartition("dim", "node", "shard", "part")
