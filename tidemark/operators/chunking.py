@@ -137,7 +137,8 @@ def chunk_sources(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def missing_chunks(remote: DataFrame, local: DataFrame) -> DataFrame:
-    return chunk_sources(remote, local).where("local_offset is null").drop("local_offset")
+    """Remote chunks that the same file's local version has nowhere."""
+    return remote.join(local.select(*KEYS, "hash"), [*KEYS, "hash"], "left_anti")
 
 
 def shared_chunks(remote: DataFrame, local: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
-from tidemark.operators.common import KEYS, as_manifest
+from tidemark.operators.common import KEYS, as_manifest, parsed_lists, truncated
+from tidemark.session import ship_package
 
 
 def commit_page(commits: DataFrame, limit: int = 20, skip: int = 0, most: int = 100) -> DataFrame:
@@ -32,22 +31,18 @@ def change_status(xy: Column | str, renamed: Column | str) -> Column:
     return F.when(F.instr(x, "D") > 0, "deleted").when(r, "renamed").when((F.instr(x, "A") > 0) | (x == "??"), "added").otherwise("modified")
 
 
-def _records(outputs):
-    """Records and the old paths of renames, one pass over each output."""
-    for batch in outputs:
-        found = []
-        for text in batch:
-            rows, parts = [], iter([] if text is None else [s for s in text.split("\0") if s])
-            for rec in parts:
-                rows.append({"rec": rec, "orig": next(parts, None) if "R" in rec[:2] or "C" in rec[:2] else None})
-            found.append(rows)
-        yield pd.Series(found, dtype=object)
+def _records(output: str):
+    """Records and the old paths of renames."""
+    parts = (s for s in output.split("\0") if s)
+    for rec in parts:
+        yield rec, next(parts, None) if "R" in rec[:2] or "C" in rec[:2] else None
 
 
 def git_entries(exported: DataFrame) -> DataFrame:
     """All entries (*columns but output, pos, path, status, orig_path, staged, dir) of rows (.., output),
     each row parsed for itself; an output is the NUL-separated porcelain status of one export."""
-    records = F.pandas_udf(_records, "array<struct<rec:string,orig:string>>", PandasUDFType.SCALAR_ITER)
+    ship_package(exported.sparkSession)
+    records = parsed_lists(_records, "rec", "orig")
     rest = [c for c in exported.columns if c != "output"]
     rows = exported.select(*rest, F.posexplode(records("output")).alias("pos", "e"))
     xy, raw = F.substring("e.rec", 1, 2), F.substring("e.rec", 4, 1 << 30)
@@ -66,9 +61,7 @@ def git_changes(exported: DataFrame, most: int = 2000) -> DataFrame:
     """(folder_id, path, status, orig_path, staged, dir, truncated) from (folder_id, output): the
     NUL-separated porcelain status of each folder; the first `most` entries of a folder."""
     out = git_entries(exported.select("folder_id", "output"))
-    w = Window.partitionBy("folder_id")
-    out = out.withColumn("_n", F.row_number().over(w.orderBy("pos"))).withColumn("truncated", F.count("*").over(w) > most)
-    return out.where(F.col("_n") <= most).drop("_n", "pos")
+    return truncated(out, most, "pos").drop("pos")
 
 
 def git_change_counts(changes: DataFrame) -> DataFrame:

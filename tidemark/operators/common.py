@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 KEYS = ["folder_id", "path"]
 MANIFEST = {
@@ -45,3 +49,20 @@ def truncated(df: DataFrame, limit: int, *order: Column | str) -> DataFrame:
     w = Window.partitionBy("folder_id")
     top = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= limit + 1)
     return top.withColumn("truncated", F.max("_n").over(w) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+def parsed_lists(parse: Callable[[str], Iterator[tuple]], *names: str) -> Callable[[Column], Column]:
+    """A column function from texts to arrays of structs of strings: what parse() yields for each, as flat Arrow arrays."""
+    kind = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+
+    @arrow_udf(kind)
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            flat, ends = [], [0]
+            for text in texts.to_pylist():
+                flat += parse(text or "")
+                ends.append(len(flat))
+            fields = [pa.array(v, pa.string()) for v in (zip(*flat) if flat else [()] * len(names))]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names))
+
+    return run

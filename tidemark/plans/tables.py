@@ -50,10 +50,22 @@ def decode_manifest(spark, sf_dir):
     return _numbers(manifest.decode_manifest(sent))
 
 
-@query(f"WITH {_M1} SELECT folder_id, count(*) AS entries, 0 AS too_large FROM l GROUP BY folder_id")
+_JSON = """'{"path":"' || path || '","version":[["A",' || va || '],["B",' || vb || ']],"size":' || size || ',"deleted":' || deleted || ',"blocks":[' || CASE WHEN deleted THEN '' ELSE '"' || b0 || '"' END || '],"mtime":' || mtime || '}'"""
+
+
+@query(f"""WITH RECURSIVE {_M1}, z AS (SELECT folder_id, path, strlen({_JSON}) AS n, row_number() OVER (PARTITION BY folder_id ORDER BY path) AS i FROM l),
+s AS (SELECT folder_id, path, i, 0 AS shard, 2 + n AS used FROM z WHERE i = 1
+ UNION ALL SELECT z.folder_id, z.path, z.i, s.shard + CASE WHEN s.used + 1 + n > 4096 THEN 1 ELSE 0 END, CASE WHEN s.used + 1 + n > 4096 THEN 2 + n ELSE s.used + 1 + n END FROM s JOIN z ON z.folder_id = s.folder_id AND z.i = s.i + 1)
+SELECT folder_id, path, '0-' || shard AS shard FROM s""")
 def shard_manifest(spark, sf_dir):
-    """Entries of all shards, and shards of several entries whose encoding passes 4 KiB."""
-    s = manifest.shard_manifest(fx.manifest(spark, sf_dir), 4096)
+    """Shards of up to 4 KiB, each folder in one part: which entry goes to which."""
+    return manifest.shard_manifest(fx.manifest(spark, sf_dir), 4096, 1 << 30).select(*KEYS, "shard")
+
+
+@query(f"WITH {_M1} SELECT folder_id, count(*) AS entries, 0 AS too_large FROM l GROUP BY folder_id")
+def shard_sizes(spark, sf_dir):
+    """Entries of all shards, in parts of about 500 paths, and shards of several entries whose encoding passes 4 KiB."""
+    s = manifest.shard_manifest(fx.manifest(spark, sf_dir), 4096, 500)
     each = s.groupBy("folder_id", "shard").agg(F.count("*").alias("n"), (F.sum(F.octet_length("json") + 1) + 1).alias("bytes"))
     return each.groupBy("folder_id").agg(F.sum("n").alias("entries"), F.count_if((F.col("bytes") > 4096) & (F.col("n") > 1)).cast("int").alias("too_large"))
 

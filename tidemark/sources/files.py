@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from tidemark.functions.ignore import TOOL, Rule
 from tidemark.functions.scalars import is_real_date
+from tidemark.operators.common import parsed_lists
+from tidemark.session import ship_package
 from tidemark.sources import tree
 
 EVENT = "ts bigint, folderId string, path string, action string, direction string, deviceId string, durationMs bigint"
@@ -88,26 +88,21 @@ def parse_commit_files(records: DataFrame, column: str = "value") -> DataFrame:
     Renames and copies (R, C) have two paths, the old one first.
     """
     rest = [c for c in records.columns if c != column]
-    entry = "array<struct<status:string,path:string,orig_path:string>>"
-    return records.select(*rest, F.inline(F.pandas_udf(_name_status, entry, PandasUDFType.SCALAR_ITER)(column)))
-
-
-def _name_status(texts):
-    """The entries of each text, in one pass over its fields; they end at an empty field."""
-    for batch in texts:
-        found = []
-        for text in batch:
-            rows, fields = [], iter((text or "").split("\0"))
-            for status in fields:
-                if not status:
-                    break
-                orig = next(fields, "") if status[0] in "RC" else None
-                path = "" if orig == "" else next(fields, "")
-                if not path:
-                    break
-                rows.append({"status": status, "path": path, "orig_path": orig})
-            found.append(rows)
-        yield pd.Series(found, dtype=object)
+    ship_package(records.sparkSession)
+    return records.select(*rest, F.inline(parsed_lists(_name_status, "status", "path", "orig_path")(column)))
+
+
+def _name_status(text: str):
+    """A text's entries; they end at an empty field."""
+    fields = iter(text.split("\0"))
+    for status in fields:
+        if not status:
+            return
+        orig = next(fields, "") if status[0] in "RC" else None
+        path = "" if orig == "" else next(fields, "")
+        if not path:
+            return
+        yield status, path, orig
 
 
 def parse_calendar(payloads: DataFrame, column: str = "body") -> DataFrame:
