@@ -59,8 +59,8 @@ def traffic_5m(spark, sf_dir):
     return out.select(F.unix_millis("start").alias("start_ms"), "direction", "bytes")
 
 
-@query(f"""WITH {fx.EVENTS}, w AS (SELECT epoch_us(ts) // 1000000 - k AS s, folder_id, bytes FROM e, range(5) r(k) WHERE bytes > 0)
-SELECT 1000 * s AS start_ms, folder_id, sum(bytes) / 5.0 AS bytes_per_second FROM w GROUP BY ALL""")
+@query(f"""WITH {fx.EVENTS}, w AS (SELECT epoch_us(ts) // 1000000 - k AS s, epoch_us(ts) AS us, folder_id, bytes FROM e, range(5) r(k) WHERE bytes > 0)
+SELECT 1000 * s AS start_ms, folder_id, CAST(round(sum(bytes) * 1000000.0::DOUBLE / greatest((s + 5) * 1000000 - min(us), 1000000)) AS BIGINT) AS bytes_per_second FROM w GROUP BY s, folder_id""")
 def transfer_rate(spark, sf_dir):
     out = _done(jobs.transfer_rate(_stream(spark, sf_dir)), "complete")
     return out.select(F.unix_millis("start").alias("start_ms"), "folder_id", "bytes_per_second")

@@ -111,12 +111,13 @@ def traffic_5m(traffic: DataFrame, delay: str = "10 minutes", span: str = "5 min
 def transfer_rate(traffic: DataFrame, delay: str = "10 seconds", span: int = 5) -> DataFrame:
     """(start, folder_id, bytes_per_second) over sliding windows of `span` seconds, one each second.
 
-    In append mode a window comes out once the watermark has passed it; those still open when a
-    stream ends come out in complete mode only.
+    The rate is over the time from the window's first bytes to its end, a second at least. In append mode a
+    window comes out once the watermark has passed it; those still open when a stream ends come out in complete mode only.
     """
     t = traffic.where("bytes > 0").withWatermark("ts", delay)
-    g = t.groupBy(F.window("ts", f"{span} seconds", "1 second"), "folder_id").agg(F.sum("bytes").alias("b"))
-    return g.select(F.col("window.start").alias("start"), "folder_id", (F.col("b") / span).alias("bytes_per_second"))
+    g = t.groupBy(F.window("ts", f"{span} seconds", "1 second"), "folder_id").agg(F.sum("bytes").alias("b"), F.min("ts").alias("first"))
+    micros = F.greatest(F.unix_micros("window.end") - F.unix_micros("first"), F.lit(1_000_000))
+    return g.select(F.col("window.start").alias("start"), "folder_id", F.round(F.col("b") * 1_000_000.0 / micros).cast("bigint").alias("bytes_per_second"))
 
 
 def serving_sessions(requests: DataFrame, delay: str = "1 minute", gap: str = "15 seconds") -> DataFrame:
