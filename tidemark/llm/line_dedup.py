@@ -12,7 +12,9 @@ null doc_id lose boilerplate lines but never count as the one that keeps them.
 Repeated rows get the same result each; an empty table gives no rows; texts of any length
 are split whole; columns that aren't kept can't clash, and kept ones may have any name but
 those of the result. Only DataFrame functions are used. What is found of the lines is cut off
-before it is joined back to them, so adaptive execution can split a line that many rows have.
+before it is joined back to them, so adaptive execution can split a line that many rows have;
+other lines are kept out of these shuffles by a bitmap of bounded size, and for exact counts a
+line's sites are made distinct in each task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, of
+from ._spark import cut, maybe_in, of
 
 MIN_SITES = 10
 LG_K = 10  # sketch of at most 2**10 cells; a relative error of about 3.3 %
@@ -40,15 +42,19 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     likely = sketched.where(F.col("rows") >= min_sites).select("h1", "h2", "keeper", estimate.alias("spread"))
     likely = cut(likely.where(F.col("spread") >= min_sites * (1 - NEAR)))
     sure = F.col("spread") > min_sites * (1 + NEAR)
-    near = lines.join(likely.where(~sure), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("keeper").alias("keeper"), F.count_distinct("source").alias("exact"))
-    return cut(likely.where(sure).select("h1", "h2", "keeper").unionByName(near.where(F.col("exact") >= min_sites).drop("exact")))
+    near = likely.where(~sure).select("h1", "h2", "keeper")
+    on = maybe_in(lines.select("h1", "h2", "source"), "h1", near.select("h1")).where("maybe").select("h1", "h2", "source").distinct()
+    exact = on.join(near, ["h1", "h2"]).groupBy("h1", "h2", "keeper").agg(F.count("source").alias("exact")).where(F.col("exact") >= min_sites)
+    return cut(likely.where(sure).select("h1", "h2", "keeper").unionByName(exact.drop("exact")))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, source, *keep, n_lines, n_removed, kept_text) for each row of docs. keep: further text columns."""
     d = of(docs, doc_id="long", text="string", source="string", **{c: "string" for c in keep}).withColumn("tie", F.xxhash64("text"))
     lines = _lines(d)
-    found = lines.join(boilerplate(lines, min_sites), ["h1", "h2"]).where("doc_id is null or doc_id > keeper")
+    bad = boilerplate(lines, min_sites)
+    found = maybe_in(lines.select("doc_id", "tie", "pos", "h1", "h2"), "h1", bad.select("h1")).where("maybe").drop("maybe")
+    found = found.join(bad, ["h1", "h2"]).where("doc_id is null or doc_id > keeper")
     gone = found.groupBy("doc_id", "tie").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_tie")
     out = d.join(gone, d["doc_id"].eqNullSafe(gone["_id"]) & (d["tie"] == gone["_tie"]), "left")
     parts = F.split("text", "\n", -1)
