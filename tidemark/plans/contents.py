@@ -107,21 +107,22 @@ def _big_files(spark, sf_dir):
     return tree.walk(spark, base, "f0", glob="*.txt")[0], {"f0": base}
 
 
-_source = F.regexp_extract("path", "source=([^/]*)/", 1)
+def _by_source(slots):
+    return slots.withColumn("path", F.regexp_extract("path", "source=([^/]*)/", 1))
 
 
 @query(f"""WITH {_cdc(_SOURCES)} SELECT 'f0' AS folder_id, path, slot, "offset", length, hash FROM chunks""")
 def cdc_chunks_of_files(spark, sf_dir):
     """Large files, each read as ranges of 10,000 bytes by many tasks."""
     files, roots = _big_files(spark, sf_dir)
-    return ranges.cdc_chunks_of_files(files, roots, LEAST, MOST, (1 << BITS) - 1, 10_000).withColumn("path", _source)
+    return _by_source(ranges.cdc_chunks_of_files(files, roots, LEAST, MOST, (1 << BITS) - 1, 10_000))
 
 
 @query(f"""WITH c AS ({_SOURCES}), h AS (SELECT path, hex(raw) AS hx, octet_length(raw) AS size FROM c), p AS (SELECT path, size, CAST(unnest(range(CAST(ceil(size / 65536.0) AS BIGINT))) AS INTEGER) AS slot, hx FROM h)
 SELECT 'f0' AS folder_id, path, slot, CAST(slot AS BIGINT) * 65536 AS "offset", least(65536, size - slot * 65536) AS length, sha256(unhex(substr(hx, slot * 131072 + 1, 131072))) AS hash FROM p""")
 def fixed_blocks_of_files(spark, sf_dir):
     files, roots = _big_files(spark, sf_dir)
-    return ranges.fixed_blocks_of_files(files, roots, 65536).withColumn("path", _source)
+    return _by_source(ranges.fixed_blocks_of_files(files, roots, 65536))
 
 
 @query(f"""WITH {_cdc(f"WITH {_DOCS} SELECT * FROM d")}, x AS (SELECT path, count(*) AS n_chunks, string_agg(hash, ',' ORDER BY slot) AS cdh, string_agg(length::VARCHAR, ',' ORDER BY slot) AS clens FROM chunks GROUP BY path),

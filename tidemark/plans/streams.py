@@ -75,7 +75,7 @@ def serving_sessions(spark, sf_dir):
 
 
 #: Rows arrive up to 16 hours out of order; the watermark waits for two days, and settles what lies before it in the end.
-_ARRIVES = F.unix_millis("ts") + F.pmod("seq", F.lit(3)) * 8 * 3_600_000
+_ARRIVES = "unix_millis(ts) + pmod(seq, 3) * 8 * 3600000"
 _DELAY_MS = 2 * 86_400_000
 _SETTLED = f"epoch_us(ts) < 1000 * ((SELECT max(epoch_us(ts)) // 1000 FROM e) - {_DELAY_MS})"
 
@@ -93,7 +93,7 @@ def single_flight(spark, sf_dir):
     none = F.lit(None).cast("array<string>")
     key = scalars.version_key(F.lit(False), scalars.entry_fingerprint(size, F.array(size.cast("string")), none, none))
     offers = fx.events(spark, sf_dir).select("seq", "ts", *KEYS, key.alias("version_key"), F.coalesce("device_id", F.lit("local")).alias("link"), F.expr("action = 'delete'").alias("released"))
-    base = _in_pieces(spark, offers, _ARRIVES, lambda s, b: jobs.single_flight(s, f"{b}/out", f"{b}/checkpoint", 6 * 3600, "2 days"))
+    base = _in_pieces(spark, offers, F.expr(_ARRIVES), lambda s, b: jobs.single_flight(s, f"{b}/out", f"{b}/checkpoint", 6 * 3600, "2 days"))
     return spark.read.parquet(f"{base}/out").select("seq", *KEYS)
 
 
@@ -102,7 +102,7 @@ SELECT folder_id, epoch_us(ts) AS us FROM w WHERE was AND NOT busy""")
 def completed_folders(spark, sf_dir):
     """Four runs of the stream over events that arrive out of order."""
     progress = fx.events(spark, sf_dir).select("seq", "folder_id", "ts", F.expr("action = 'update'").alias("busy"))
-    base = _in_pieces(spark, progress, _ARRIVES, lambda s, b: jobs.completed_folders(s, f"{b}/out", f"{b}/checkpoint", "2 days"))
+    base = _in_pieces(spark, progress, F.expr(_ARRIVES), lambda s, b: jobs.completed_folders(s, f"{b}/out", f"{b}/checkpoint", "2 days"))
     return spark.read.parquet(f"{base}/out").select("folder_id", F.unix_micros("ts").alias("us"))
 
 
