@@ -166,8 +166,8 @@ def _plain_mix(rows):
         total[source] += n
     order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
-    budget, open_, target = sum(total.values()) * 3 // 2, set(order), {}
-    left = budget
+    left, open_, target = sum(total.values()) * 1.5, set(order), {}
+    budget = int(left)
     while open_:
         level = left / sum(weight[s] for s in open_)
         over = {s for s in open_ if level * weight[s] > 2 * total[s]}

@@ -79,7 +79,8 @@ def targets(sources: DataFrame) -> tuple[DataFrame, int]:
     """(source, rank, source_size, target, base) of (source, source_size), and the budget.
 
     With caps and weights summed over sources in order of cap to weight, the level (words for a unit of
-    weight) is the largest of (budget - caps so far) / (weights not yet capped). base: words of the sources before.
+    weight) is the largest of (share of all words - caps so far) / (weights not yet capped). The budget is the
+    share in whole words. base: words of the sources before.
     """
     kinds = F.array(*map(F.lit, WEIGHTS))
     order = [F.col("source").isNull(), F.col("source")]
@@ -90,7 +91,8 @@ def targets(sources: DataFrame) -> tuple[DataFrame, int]:
     budget = every["words"] * SHARE[0] // SHARE[1]
     cap = (F.col("source_size") * EPOCHS).alias("cap")
     filling = ordered_sums(ranked.select("rank", "weight", cap), [F.col("cap") / F.col("weight"), F.col("rank")], "cap", "weight")
-    level = filling.agg(F.max((F.lit(budget) - F.col("cap_before")).cast("double") / (F.lit(every["weights"]) - F.col("weight_before")).cast("double"))).first()[0]
+    left = F.lit(every["words"] * SHARE[0]) - SHARE[1] * F.col("cap_before")
+    level = filling.agg(F.max(left.cast("double") / (SHARE[1] * (F.lit(every["weights"]) - F.col("weight_before"))).cast("double"))).first()[0]
     target = F.least((F.col("source_size") * EPOCHS).cast("double"), F.lit(level or 0.0) * F.col("weight").cast("double"))
     return ranked.select("source", "rank", "source_size", target.alias("target"), "base"), budget
 
@@ -140,11 +142,11 @@ WITH sized AS (
          md5(coalesce(doc_id::VARCHAR, '') || ':0') AS key FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, [{', '.join(map(str, WEIGHTS))}][1 + rank % {len(WEIGHTS)}] AS weight, {EPOCHS} * source_size AS cap FROM sources),
-total AS (SELECT sum(source_size)::BIGINT * {SHARE[0]} // {SHARE[1]} AS budget, sum(weight)::BIGINT AS weights FROM weighed),
+total AS (SELECT sum(source_size)::BIGINT * {SHARE[0]} AS shared, sum(source_size)::BIGINT * {SHARE[0]} // {SHARE[1]} AS budget, sum(weight)::BIGINT AS weights FROM weighed),
 filling AS (
   SELECT coalesce(sum(cap) OVER w, 0)::BIGINT AS caps, coalesce(sum(weight) OVER w, 0)::BIGINT AS capped FROM weighed
   WINDOW w AS (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT max((budget - caps)::DOUBLE / (weights - capped)::DOUBLE) AS level FROM filling, total),
+level AS (SELECT max((shared - {SHARE[1]} * caps)::DOUBLE / ({SHARE[1]} * (weights - capped))::DOUBLE) AS level FROM filling, total),
 shares AS (SELECT source, rank, source_size, least(cap::DOUBLE, level * weight::DOUBLE) AS target FROM weighed, level),
 queued AS (
   SELECT doc_id, size, source_size, rank, target, floor(target)::BIGINT AS goal,
