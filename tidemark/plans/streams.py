@@ -13,6 +13,8 @@ from tidemark.plans.queries import query
 from tidemark.session import shared_dir
 from tidemark.streaming import jobs, sink
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def _base(spark):
     return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
@@ -46,10 +48,16 @@ def _pieces(df, by, n=4):
 
 def _in_pieces(spark, df, by, start):
     """Runs a stream that start(rows so far as a stream, base) gives for each piece, from the same checkpoint on; gives base."""
-    base = _base(spark)
-    for k, piece in enumerate(_pieces(df, by)):
+    base, before = _base(spark), spark.conf.get(_PARTITIONS)
+    for piece in _pieces(df, by):
         piece.write.mode("append").parquet(f"{base}/in")
-        start(spark.readStream.schema(df.schema).parquet(f"{base}/in"), base).awaitTermination()
+        # a stream keeps the number of state partitions that it starts with: one for each core here
+        spark.conf.set(_PARTITIONS, min(int(before), spark.sparkContext.defaultParallelism))
+        try:
+            query_ = start(spark.readStream.schema(df.schema).parquet(f"{base}/in"), base)
+        finally:
+            spark.conf.set(_PARTITIONS, before)
+        query_.awaitTermination()
     return base
 
 
