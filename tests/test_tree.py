@@ -71,6 +71,30 @@ def test_only_candidates_are_opened(spark, tmp_path):
     assert tree.settle_candidates(diff.where(F.lit(False)), {}, 1000).isEmpty()
 
 
+def test_files_are_written_by_tasks(spark, tmp_path):
+    data = {"a": b"x" * 5000, "d/b": None, "d/é": b"\xff\n"}
+    rows = spark.createDataFrame([("f", p, d) for p, d in data.items()], "folder_id string, path string, content binary").repartition(2)
+    assert tree.write_files(rows, {"f": str(tmp_path)}) == (3, 5002)
+    for p, d in data.items():
+        assert (tmp_path / p).read_bytes() == (d or b"")
+    assert {r.path for r in tree.walk(spark, str(tmp_path), "f")[0].collect()} == set(data)
+    assert tree.write_files(rows.limit(0), {}) == (0, 0)
+
+
+def test_documents_are_files_of_bounded_directories(spark, tmp_path, monkeypatch):
+    """A directory for each document, and a task of the driver's commit for each, took hours at size."""
+    from tidemark.plans import files as plans
+
+    monkeypatch.setattr(plans, "shared_dir", lambda _: str(tmp_path))
+    (tmp_path / "in").mkdir()
+    spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 7 > 0 THEN repeat('ab', int(id)) END AS text").write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    out = {(r.change, r.opened): (r.files, r.bytes) for r in plans.scan_diff_by_content(spark, str(tmp_path / "in")).collect()}
+    size = lambda *k: sum((2 * i if i % 7 else 0) + 1 for i in range(3000) if i % 5 in k)
+    assert out == {("same", False): (600, size(0)), ("touched", True): (600, size(1)), ("changed", True): (600, size(2)), ("changed", False): (600, size(3)), ("new", False): (600, size(4))}
+    (written,) = (tmp_path / "tree").iterdir()
+    assert len(list(written.iterdir())) == 1024
+
+
 @pytest.mark.parametrize("span", [1, 100, 5000, 1 << 20])
 def test_chunks_by_ranges(spark, tmp_path, monkeypatch, span):
     """Files chunked by byte ranges against the same bytes as one cell each."""

@@ -307,16 +307,14 @@ def walked_directories(spark, sf_dir):
 SELECT CASE doc_id % 5 WHEN 0 THEN 'same' WHEN 1 THEN 'touched' WHEN 2 THEN 'changed' WHEN 3 THEN 'changed' ELSE 'new' END AS change, doc_id % 5 IN (1, 2) AS opened, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes FROM d GROUP BY ALL""")
 def scan_diff_by_content(spark, sf_dir):
     """A file for each document against a manifest with other times, hashes, sizes or no row: only doubtful files are opened."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = f"{shared_dir(spark).rstrip('/')}/tree/{uuid.uuid4().hex}"
-    d.select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(base)
+    path = F.concat_ws("/", F.pmod("doc_id", F.lit(1024)).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    content = fx.table(spark, sf_dir, "documents").select(F.lit("data").alias("folder_id"), path.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("content"))
+    tree.write_files(content, {"data": base})
     listing = sources.scan_files(spark, base, "data", glob="*.txt")
-    kind = F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("bigint")
-    listing = listing.withColumn("id", kind)
-    content = d.select(F.col("doc_id").alias("id"), F.concat("text", F.lit("\n")).cast("binary").alias("content"))
-    blocks = chunking.fixed_blocks(content.select(F.lit("data").alias("folder_id"), F.col("id").cast("string").alias("path"), "content"), 4096)
-    blocks = chunking._lists(blocks, "blocks").select(F.col("path").cast("bigint").alias("id"), "blocks")
-    known = listing.where("id % 5 <> 4").join(blocks, "id")
+    listing = listing.withColumn("id", F.regexp_extract("path", r"/(-?\d+)\.txt$", 1).cast("bigint"))
+    blocks = chunking._lists(chunking.fixed_blocks(content, 4096), "blocks")
+    known = listing.where("id % 5 <> 4").join(blocks, KEYS)
     off = lambda k, other, c: F.when(F.col("id") % 5 == k, other).otherwise(c)
     manifest = known.select(*KEYS, off(3, F.col("size") + 1, F.col("size")).alias("size"), F.when(F.col("id") % 5 == 0, F.col("mtime")).otherwise(F.col("mtime") - 5000).alias("mtime"), off(2, F.array(F.lit("x")), F.col("blocks")).alias("blocks"))
     out = tree.settle_candidates(scan.scan_diff(manifest, listing, keep_blocks=True), {"data": base}, 4096)
