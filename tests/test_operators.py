@@ -169,6 +169,29 @@ def test_shards(spark):
     assert len(s) == 40 and all(len(v) == 1 or sum(len(r.json) + 1 for r in v) + 1 <= 600 for v in by.values())
 
 
+def test_a_part_is_packed_as_a_stream(spark):
+    """Batches of a few rows, as Spark gives them of a large part: shards go on over batches, and no part is a group in memory."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(f, part, f"p{i:04}", rng.randint(1, 300)) for f in "fg" for part in (0, 1) for i in range(rng.randint(1, 400))]
+    want = []
+    for f, part in dict.fromkeys((f, part) for f, part, *_ in rows):
+        shards = [[]]
+        for n in (r[3] for r in rows if r[:2] == (f, part)):
+            if shards[-1] and 2 + sum(shards[-1]) + n + len(shards[-1]) > 600:  # brackets, entries, commas
+                shards.append([])
+            shards[-1].append(n)
+        want += [i for i, s in enumerate(shards) for _ in s]
+    table = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], ["folder_id", "part", "path", "bytes"])
+    stream = manifest._shards(600)(iter(table.to_batches(max_chunksize=7)))
+    first = next(stream)
+    assert first.num_rows == 7
+    assert [n for b in (first, *stream) for n in b.column(3).to_pylist()] == want and max(want) > 20
+    s = manifest.shard_manifest(_m(spark, ("p", {"A": 1}, 1, False, [], 1)), 600)
+    assert "FlatMapGroupsInPandas" not in s._jdf.queryExecution().toString()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.txt").write_text("hi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,15 +65,21 @@ def encode_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def _shards(limit: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard, used, out = 0, 2, []
-        for size in rows.sort_values("path")["bytes"]:
-            extra = size + (used > 2)
-            if used > 2 and used + extra > limit:
-                shard, used, extra = shard + 1, 2, size
-            used += extra
-            out.append(shard)
-        return rows.sort_values("path").assign(shard_id=out)[["folder_id", "part", "path", "shard_id"]]
+    """Rows (folder_id, part, path, bytes) in that order, as a stream: of a part, a shard's number and bytes are kept."""
+
+    def run(batches):
+        key, shard, used = None, 0, 2
+        for b in batches:
+            found = []
+            for *this, size in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+                if this != key:
+                    key, shard, used = this, 0, 2
+                extra = size + (used > 2)
+                if used > 2 and used + extra > limit:
+                    shard, used, extra = shard + 1, 2, size
+                used += extra
+                found.append(shard)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(found, pa.int32())], ["folder_id", "part", "path", "shard_id"])
 
     return run
 
@@ -83,12 +89,14 @@ def shard_manifest(manifest: DataFrame, max_bytes: int = 8 << 20, part_rows: int
     stays within max_bytes; a larger entry has a shard for itself.
 
     Packing is sequential, so only (path, bytes) are packed, in independent parts of about
-    part_rows paths of a folder: a folder's last shard of each part may be less full.
+    part_rows paths of a folder: a folder's last shard of each part may be less full. Spark sorts a part,
+    and a task passes through it as a stream.
     """
     e = encode_manifest(manifest).withColumn("bytes", F.octet_length("json").cast("bigint"))
     sizes = e.groupBy("folder_id").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     sized = e.select(*KEYS, "bytes").join(sizes, "folder_id").withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
-    placed = sized.select("folder_id", "part", "path", "bytes").groupBy("folder_id", "part").applyInPandas(_shards(max_bytes), "folder_id string, part int, path string, shard_id int")
+    ordered = sized.select("folder_id", "part", "path", "bytes").repartition("folder_id", "part").sortWithinPartitions("folder_id", "part", "path")
+    placed = ordered.mapInArrow(_shards(max_bytes), "folder_id string, part int, path string, shard_id int")
     return placed.join(e, KEYS).select("folder_id", F.concat_ws("-", F.col("part").cast("string"), F.col("shard_id").cast("string")).alias("shard"), "path", "json")
 
 
