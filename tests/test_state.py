@@ -112,6 +112,26 @@ def test_claims_do_not_hang_on_cuts(seed):
     assert got == want and 0 < len(want) < 60
 
 
+def test_kept_rows_are_packed():
+    """Elements of state, not rows: each cost as much as a thousand; packs that a timer does not reach stay as they are."""
+    import pandas as pd
+
+    rng, handle = random.Random(2), Handle()
+    p = state.Completions()
+    p.init(handle)
+    rows = [(rng.randint(0, 90_000), rng.choice([True, False, None])) for _ in range(5000)]
+    frames = [pd.DataFrame(rows[i : i + 1000], columns=["us", "busy"]) for i in range(0, 4000, 1000)]
+    assert list(state.Framed(p).handleInputRows(("f",), iter(frames), Watermark(0))) == []
+    p.handleInputRows(("f",), iter([Row(us=us + 200_000, busy=b) for us, b in rows[4000:]]), Watermark(0))
+    assert len(p.waiting.v) == 5
+    last = p.waiting.v[4]
+    out = list(state.Framed(p).handleExpiredTimer(("f",), Watermark(60), None))
+    order = sorted((r for r in rows[:4000] if r[0] < 60_000), key=lambda r: (r[0], r[1] is not None, bool(r[1])))
+    want = [b[0] for a, b in zip(order, order[1:]) if a[1] and b[1] is False]
+    assert [us for f in out for us in f["us"]] == want and len(want) > 200
+    assert len(p.waiting.v) == 5 and last in p.waiting.v
+
+
 def test_changes_of_a_key():
     p = state.Changes()
     p.init(Handle())

@@ -84,7 +84,7 @@ def _waiting(rows: DataFrame, keys: list[str], processor, out: str, delay: str,
     ship_package(rows.sparkSession)
     timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
     with state.rocksdb(rows.sparkSession):
-        found = timed.groupBy(*keys).transformWithState(processor, out, "Append", "EventTime")
+        found = timed.groupBy(*keys).transformWithStateInPandas(state.Framed(processor), out, "Append", "EventTime")
         found = found.withColumn("ts", F.timestamp_micros("us")).drop("us")
         out_ = found.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint)
         return out_.trigger(**(trigger or {"availableNow": True})).start()
@@ -97,7 +97,7 @@ def single_flight(offers: DataFrame, target: str, checkpoint: str, ttl: float =
     the path. A row with `released` ends its link's claim. An offer comes out once the watermark has passed it.
     """
     released = F.col("released") if "released" in offers.columns else F.lit(False)
-    rows = offers.select("ts", *KEYS, F.col("seq").cast("bigint").alias("seq"), "version_key", "link", released.alias("released"))
+    rows = offers.select("ts", *KEYS, F.col("seq").cast("bigint").alias("seq"), "version_key", "link", F.coalesce(released, F.lit(False)).alias("released"))
     kinds = "folder_id string, path string, version_key string, link string, us bigint, seq bigint"
     return _waiting(rows, KEYS, state.Claims(round(ttl * 1_000_000)), kinds, delay, target, checkpoint, trigger)
 
