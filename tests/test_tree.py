@@ -115,6 +115,19 @@ def test_chunks_by_ranges(spark, tmp_path, monkeypatch, span):
     assert ranges.cdc_chunks_of_files(files.limit(0), {}).isEmpty()
 
 
+def test_ranges_are_dealt_by_the_files_bytes(spark, tmp_path, monkeypatch):
+    """Rows of a few bytes stand for much reading: their number of tasks must follow what is read."""
+    from tidemark.operators import ranges
+
+    _write(str(tmp_path), a=bytes(50_000), b=bytes(30_000))
+    files, _ = tree.walk(spark, str(tmp_path), "f")
+    monkeypatch.setattr(ranges, "TASK", 10_000)
+    assert ranges._tasks(files) == 8 and ranges._tasks(files.limit(0)) == 4
+    slots = ranges.fixed_blocks_of_files(files, {"f": str(tmp_path)}, 100)
+    assert slots.select(F.spark_partition_id()).distinct().count() == 8 and slots.count() == 800
+    assert ranges._ranges(files, 100, 8).select(F.spark_partition_id()).distinct().count() == 8
+
+
 def _slots(spark, rows):
     return spark.createDataFrame([("f", p, i, bytearray(d)) for p, i, d in rows], "folder_id string, path string, slot int, data binary")
 

@@ -43,12 +43,15 @@ def gear() -> np.ndarray:
 
 def fingerprints(data: np.ndarray) -> np.ndarray:
     """Fingerprint of the last WINDOW bytes at each byte: the exclusive-or of the bytes' numbers,
-    each rotated by its distance. A pure function of the window, so segments need no state."""
-    g = gear()[data]
-    out = g.copy()
-    for k in range(1, min(WINDOW, len(g))):
-        x = g[:-k]
-        out[k:] ^= x << np.uint32(k) | x >> np.uint32(32 - k)
+    each rotated by its distance. A pure function of the window, so segments need no state.
+
+    A window of 2 k bytes is one of k and the one before, rotated by k: five steps for WINDOW = 32."""
+    out, k = gear()[data], 1
+    while k < min(WINDOW, len(out)):
+        x = out[:-k]
+        x = x << np.uint32(k) | x >> np.uint32(32 - k)
+        out[k:] ^= x
+        k *= 2
     return out
 
 

@@ -20,6 +20,7 @@ from tidemark.operators.common import KEYS
 from tidemark.session import ship_package
 
 SPAN = 64 << 20  # bytes of a range
+TASK = 64 << 20  # bytes of files that a task reads
 TOGETHER = 32  # neighbouring chunks that one task digests
 SLOTS = "folder_id string, path string, slot int, offset bigint, length bigint, hash string"
 
@@ -48,11 +49,17 @@ class _Files:
             self.file.close()
 
 
-def _ranges(files: DataFrame, span: int) -> DataFrame:
-    """(folder_id, path, size, at, length): each file's ranges; none of empty files."""
+def _tasks(files: DataFrame) -> int:
+    """How many tasks read the files. Ranges and slots are a few bytes each, so Spark would put thousands of them into one."""
+    (size,) = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK))
+
+
+def _ranges(files: DataFrame, span: int, tasks: int) -> DataFrame:
+    """(folder_id, path, size, at, length): each file's ranges; none of empty files. Neighbouring short ranges are read by one task."""
     at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(span).cast("bigint"))).alias("at")
     rows = files.where("size > 0").select(*KEYS, "size", at)
-    return rows.withColumn("length", F.least(F.lit(span).cast("bigint"), F.col("size") - F.col("at"))).repartition(*KEYS, "at")
+    return rows.withColumn("length", F.least(F.lit(span).cast("bigint"), F.col("size") - F.col("at"))).repartition(tasks, *KEYS, F.floor(F.col("at") / max(span, TASK // TOGETHER)))
 
 
 def _marked(roots: dict[str, str], mask: int):
@@ -115,8 +122,8 @@ def _digested(roots: dict[str, str]):
     return run
 
 
-def _with_digests(slots: DataFrame, roots: dict[str, str]) -> DataFrame:
-    dealt = slots.repartition(*KEYS, F.floor(F.col("slot") / TOGETHER)).sortWithinPartitions(*KEYS, "slot")
+def _with_digests(slots: DataFrame, roots: dict[str, str], tasks: int) -> DataFrame:
+    dealt = slots.repartition(tasks, *KEYS, F.floor(F.col("slot") / TOGETHER)).sortWithinPartitions(*KEYS, "slot")
     return dealt.select(*KEYS, "slot", "offset", "length").mapInArrow(_digested(roots), SLOTS)
 
 
@@ -126,9 +133,10 @@ def cdc_chunks_of_files(files: DataFrame, roots: dict[str, str], least: int = MI
     roots: where each folder's files lie. A file that has become shorter since it was listed is an error.
     """
     ship_package(files.sparkSession)
-    marks = _ranges(files, span).select(*KEYS, "size", "at", "length").mapInArrow(_marked(roots, mask), "folder_id string, path string, size bigint, at bigint, marks array<bigint>")
+    tasks = _tasks(files)
+    marks = _ranges(files, span, tasks).select(*KEYS, "size", "at", "length").mapInArrow(_marked(roots, mask), "folder_id string, path string, size bigint, at bigint, marks array<bigint>")
     marks = marks.repartition(*KEYS).sortWithinPartitions(*KEYS, "at")
-    return _with_digests(marks.mapInArrow(_chosen(least, most, span), "folder_id string, path string, slot int, offset bigint, length bigint"), roots)
+    return _with_digests(marks.mapInArrow(_chosen(least, most, span), "folder_id string, path string, slot int, offset bigint, length bigint"), roots, tasks)
 
 
 def fixed_blocks_of_files(files: DataFrame, roots: dict[str, str], block: int = BLOCK) -> DataFrame:
@@ -136,4 +144,4 @@ def fixed_blocks_of_files(files: DataFrame, roots: dict[str, str], block: int =
     ship_package(files.sparkSession)
     at = F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(block).cast("bigint"))).alias("slot", "offset")
     slots = files.where("size > 0").select(*KEYS, "size", at)
-    return _with_digests(slots.withColumn("length", F.least(F.lit(block).cast("bigint"), F.col("size") - F.col("offset"))), roots)
+    return _with_digests(slots.withColumn("length", F.least(F.lit(block).cast("bigint"), F.col("size") - F.col("offset"))), roots, _tasks(files))
