@@ -169,6 +169,31 @@ def test_shards(spark):
     assert len(s) == 40 and all(len(v) == 1 or sum(len(r.json) + 1 for r in v) + 1 <= 600 for v in by.values())
 
 
+def test_chunk_reuse_by_one_shuffle(spark):
+    """Reuse against plain sets, nulls and repeats included; no join, and as many tasks as are asked for."""
+    rng = random.Random(8)
+    slots = lambda files: [("f", p, i, rng.choice(["a", "b", "c", None]), rng.randint(1, 9)) for p in files for i in range(6)]
+    r, l = slots("pqr"), slots("pqs")
+    kind = "folder_id string, path string, slot int, hash string, length bigint"
+    for by_position in (False, True):
+        key = lambda x: x[1:4] if by_position else (x[1], x[3])
+        have, want = {key(x) for x in l if x[3]}, {}
+        for x in r:
+            want.setdefault(x[1], [0, 0])[key(x) not in have] += x[4]
+        out = chunking.chunk_reuse(spark.createDataFrame(r, kind), spark.createDataFrame(l, kind), by_position, 7)
+        assert {x.path: [x.reused, x.sent] for x in out.collect()} == want
+        plan = out._jdf.queryExecution().toString()
+        assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_slots_are_dealt_by_their_number(spark, monkeypatch):
+    from tidemark.plans import fixtures as fx
+
+    monkeypatch.setattr(fx, "SLOTS_A_TASK", 500)
+    tasks = fx.slot_tasks(spark, "/root/testdata/sf0.001")
+    assert tasks >= 12 and fx.slots(spark, "/root/testdata/sf0.001", "local").rdd.getNumPartitions() == tasks
+
+
 def test_a_part_is_packed_as_a_stream(spark):
     """Batches of a few rows, as Spark gives them of a large part: shards go on over batches, and no part is a group in memory."""
     import pyarrow as pa

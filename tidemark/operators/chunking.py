@@ -149,15 +149,19 @@ def shared_chunks(remote: DataFrame, local: DataFrame) -> DataFrame:
     return remote.select(*KEYS, "hash").intersect(local.select(*KEYS, "hash"))
 
 
-def chunk_reuse(remote: DataFrame, local: DataFrame, by_position: bool) -> DataFrame:
-    """(folder_id, path, reused, sent) bytes of a file's update; by position as fixed blocks are, or by hash."""
-    if by_position:
-        have = local.select(*KEYS, "slot", "hash", F.lit(True).alias("have")).distinct()
-        j = remote.join(have, [*KEYS, "slot", "hash"], "left")
-        got = F.coalesce("have", F.lit(False))
-    else:
-        j, got = chunk_sources(remote, local), F.col("local_offset").isNotNull()
-    return j.groupBy(*KEYS).agg(F.sum(F.when(got, F.col("length")).otherwise(0)).alias("reused"), F.sum(F.when(got, 0).otherwise(F.col("length"))).alias("sent"))
+def chunk_reuse(remote: DataFrame, local: DataFrame, by_position: bool, tasks: int | None = None) -> DataFrame:
+    """(folder_id, path, reused, sent) bytes of a file's update; by position as fixed blocks are, or by hash.
+
+    Both sides of a file meet in one shuffle and are added up by hash, then by file: no join, no sort.
+    tasks: how many do so; Spark's number of shuffle partitions by default.
+    """
+    keys = [*KEYS, "slot", "hash"] if by_position else [*KEYS, "hash"]
+    none = F.lit(None).cast("bigint")
+    both = remote.select(*keys, F.col("length").cast("bigint").alias("length"), F.lit(True).alias("theirs")).unionByName(local.select(*keys, none.alias("length"), F.lit(False).alias("theirs")))
+    both = both.repartition(tasks, *KEYS) if tasks else both.repartition(*KEYS)
+    each = both.groupBy(*keys).agg(F.sum("length").alias("length"), F.bool_or("theirs").alias("theirs"), F.bool_or(~F.col("theirs")).alias("ours")).where("theirs")
+    got = F.col("ours") & ~F.greatest(*[F.col(k).isNull() for k in keys])  # a null is equal to nothing
+    return each.groupBy(*KEYS).agg(F.sum(F.when(got, F.col("length")).otherwise(0)).alias("reused"), F.sum(F.when(got, 0).otherwise(F.col("length"))).alias("sent"))
 
 
 def partial_progress(layout: DataFrame, held: DataFrame, sizes: DataFrame) -> DataFrame:

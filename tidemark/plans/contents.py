@@ -42,9 +42,9 @@ def shared_chunks(spark, sf_dir):
 @query(f"""WITH {_HAVE} SELECT folder_id, o.path, CAST(sum(CASE WHEN f.path IS NOT NULL THEN length ELSE 0 END) AS BIGINT) AS chunks_reused, CAST(sum(CASE WHEN f.path IS NULL THEN length ELSE 0 END) AS BIGINT) AS chunks_sent,
  CAST(sum(CASE WHEN remote_hash = o.local_hash THEN length ELSE 0 END) AS BIGINT) AS blocks_reused FROM o LEFT JOIN f ON f.path = o.path AND f.local_hash = o.remote_hash GROUP BY ALL""")
 def chunk_reuse(spark, sf_dir):
-    r, l = fx.slots(spark, sf_dir, "remote"), fx.slots(spark, sf_dir, "local")
-    by_hash = chunking.chunk_reuse(r, l, False).select(*KEYS, F.col("reused").alias("chunks_reused"), F.col("sent").alias("chunks_sent"))
-    return by_hash.join(chunking.chunk_reuse(r, l, True).select(*KEYS, F.col("reused").alias("blocks_reused")), KEYS)
+    r, l, tasks = fx.slots(spark, sf_dir, "remote", False), fx.slots(spark, sf_dir, "local", False), fx.slot_tasks(spark, sf_dir)
+    by_hash = chunking.chunk_reuse(r, l, False, tasks).select(*KEYS, F.col("reused").alias("chunks_reused"), F.col("sent").alias("chunks_sent"))
+    return by_hash.join(chunking.chunk_reuse(r, l, True, tasks).select(*KEYS, F.col("reused").alias("blocks_reused")), KEYS)
 
 
 @query(f"WITH {_B} SELECT folder_id, path, slot, place AS \"offset\", length FROM o")

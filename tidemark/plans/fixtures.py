@@ -74,11 +74,23 @@ def manifest(spark: SparkSession, sf_dir: str, remote: bool = False) -> DataFram
     return m.select("folder_id", "path", version.alias("version"), "size", "deleted", blocks.alias("blocks"), "mtime")
 
 
-def slots(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """M2's slots of one side, with offsets."""
+SLOTS_A_TASK = 500_000  # rows of lineitem that a task sorts at a time
+
+
+def slot_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """In how many tasks slots are sorted: by lineitem's rows, since a fixed number would make tasks grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // SLOTS_A_TASK))
+
+
+def slots(spark: SparkSession, sf_dir: str, side: str, offsets: bool = True) -> DataFrame:
+    """M2's slots of one side; with offsets, and then dealt by path."""
     from pyspark.sql import Window
 
-    m = spark_sql(spark, sf_dir, M2)
+    tasks = slot_tasks(spark, sf_dir)
+    m = spark.sql(M2, lineitem=table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey"))
+    if not offsets:
+        return m.select("folder_id", "path", "slot", F.col(f"{side}_hash").alias("hash"), "length")
+    m = m.repartition(tasks, "path")
     w = Window.partitionBy("path").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return m.select("folder_id", "path", "slot", F.col(f"{side}_hash").alias("hash"), "length", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"))
 
