@@ -132,6 +132,21 @@ def test_kept_rows_are_packed():
     assert len(p.waiting.v) == 5 and last in p.waiting.v
 
 
+def test_deltas_come_as_frames():
+    """A trigger's deltas of a path as frames, in any order; what a row only passes on is one column."""
+    import pandas as pd
+
+    p = state.FoldDeltas()
+    p.init(Handle())
+    row = lambda seq, rest, **v: (seq, [*v], [*v.values()], rest)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["seq", *state.FLAT])
+    (out,) = p.handleInputRows(("f", "p"), iter([frame(row(3, "c", A=1, B=1), row(1, "a", A=1)), frame(row(2, "b", A=2))]), None)
+    assert out.values.tolist() == [["f", "p", ["A", "B"], [2, 1], "b", True]]
+    assert list(p.handleInputRows(("f", "p"), iter([frame(row(4, "d", A=2))]), None)) == []
+    (out,) = p.handleInputRows(("f", "p"), iter([frame(row(5, "e", A=2, B=2))]), None)
+    assert out.rest.tolist() == ["e"] and not out.conflict[0]
+
+
 def test_changes_of_a_key():
     p = state.Changes()
     p.init(Handle())

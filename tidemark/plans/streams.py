@@ -162,6 +162,9 @@ def apply_deltas(spark, sf_dir):
     stale = F.when(F.col("seq") % 5 == 0, 1).otherwise(0)
     deltas = fx.events(spark, sf_dir).select("seq", *KEYS, count("local").alias("a"), F.greatest(count("remote") - stale, F.lit(0)).alias("b"), "bytes")
     deltas = deltas.select("seq", *KEYS, F.create_map(F.lit("A"), F.col("a"), F.lit("B"), F.col("b")).alias("version"), F.col("bytes").alias("size"), F.lit(False).alias("deleted"))
+    at = f"{_base(spark)}/deltas"
+    deltas.write.parquet(at)  # else each of the four pieces would count all events again
+    deltas = spark.read.schema(deltas.schema).parquet(at)
     none = deltas.drop("seq").limit(0)
     base = _in_pieces(spark, deltas, F.col("seq"), lambda s, b: jobs.apply_deltas(s, none, f"{b}/out", f"{b}/checkpoint"))
     out = jobs.current_manifest(none, f"{base}/out")

@@ -50,8 +50,10 @@ def _manifest_changes(deltas: DataFrame, initial: DataFrame) -> DataFrame:
     new = deltas.select(*KEYS, "seq", *[(F.col(c) if c in deltas.columns else F.lit(None)).cast(k).alias(c) for c, k in MANIFEST.items()])
     rows = state.flat(new.fillna(False, ["deleted", "placeholder"]), *KEYS, "seq").groupBy(*KEYS)
     first = state.flat(as_manifest(initial), *KEYS).groupBy(*KEYS)
-    out = rows.transformWithState(state.FoldDeltas(), f"folder_id string, path string, {state.FOLDED}", "Update", "None", initialState=first)
-    return out.withColumn("version", F.map_from_arrays("devices", "counts")).select(*KEYS, *MANIFEST, "conflict")
+    out = rows.transformWithStateInPandas(state.FoldDeltas(), f"folder_id string, path string, {state.FOLDED}", "Update", "None", initialState=first)
+    rest = F.from_json("rest", state.REST).alias("rest")
+    out = out.select(*KEYS, F.map_from_arrays("devices", "counts").alias("version"), rest, "conflict")
+    return out.select(*KEYS, "version", "rest.*", "conflict").select(*KEYS, *MANIFEST, "conflict")
 
 
 def apply_deltas(deltas: DataFrame, initial: DataFrame, base: str, checkpoint: str, **trigger) -> StreamingQuery:

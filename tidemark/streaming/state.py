@@ -51,15 +51,16 @@ def merged(a: dict, b: dict) -> dict:
 
 
 _REST = {c: k for c, k in MANIFEST.items() if c != "version"}
-#: A manifest row as processors take and give it: its vector as two lists, since Arrow has no maps for them.
-FLAT = {"devices": "array<string>", "counts": "array<bigint>", **_REST}
-FOLDED = ", ".join([*(f"{c} {k}" for c, k in FLAT.items()), "conflict boolean"])
+#: A manifest row as processors take and give it: its vector as two lists, since Arrow has no maps for them, and the rest, which they only pass on, as JSON.
+FLAT = ("devices", "counts", "rest")
+FOLDED = "devices array<string>, counts array<bigint>, rest string, conflict boolean"
+REST = ", ".join(f"{c} {k}" for c, k in _REST.items())
 
 
 def flat(df: DataFrame, *keys: str) -> DataFrame:
     """(*keys, *FLAT) of a manifest."""
     v = F.coalesce("version", F.expr("cast(map() as map<string,bigint>)"))
-    return df.select(*keys, F.map_keys(v).alias("devices"), F.map_values(v).alias("counts"), *_REST)
+    return df.select(*keys, F.map_keys(v).alias("devices"), F.map_values(v).alias("counts"), F.to_json(F.struct(*_REST)).alias("rest"))
 
 
 class FoldDeltas(StatefulProcessor):
@@ -72,26 +73,25 @@ class FoldDeltas(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.row = handle.getValueState("row", FOLDED)
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.row.update((*(initialState[c] for c in FLAT), False))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        devices, counts, rest = (initialState[c].iloc[0] for c in FLAT)
+        self.row.update(([*devices], [*map(int, counts)], rest, False))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = before = tuple(self.row.get()) if self.row.exists() else None
-        for r in sorted(rows, key=lambda r: r["seq"]):
-            new = (*(r[c] for c in FLAT), False)
-            if now is None:
-                now = new
-                continue
-            ours, theirs = dict(zip(*now[:2])), dict(zip(*new[:2]))
-            how = relation(ours, theirs)
+        ours = dict(zip(*now[:2])) if now else None
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for devices, counts, rest in zip(*(new[c] for c in FLAT)):
+            theirs = dict(zip(devices, map(int, counts)))
+            how = "b-newer" if ours is None else relation(ours, theirs)
             if how == "b-newer":
-                now = new
+                ours, now = theirs, ([*theirs], [*theirs.values()], rest, False)
             elif how == "concurrent":
-                both = merged(ours, theirs)
-                now = ([*both], [*both.values()], *now[2:-1], True)
+                ours = merged(ours, theirs)
+                now = ([*ours], [*ours.values()], now[2], True)
         if now != before:
             self.row.update(now)
-            yield Row("folder_id", "path", *FLAT, "conflict")(*key, *now)
+            yield pd.DataFrame([(*key, *now)], columns=["folder_id", "path", *FLAT, "conflict"])
 
     def close(self) -> None:
         pass
